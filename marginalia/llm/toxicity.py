@@ -253,5 +253,5 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: li
     columns = keep if keep is not None else ["doc_id"]
     names = [*columns, "score", "predicted"]
     source = docs.select(*dict.fromkeys([*columns, "text"]))
-    out = source.mapInPandas(run, docs.select(*columns).schema.add("score", "double").add("predicted", "int"))
+    out = source.mapInPandas(run, docs.select(*columns).schema.add("score", "double").add("predicted", "integer"))
     return out if keep is not None else out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
