@@ -262,13 +262,11 @@ def _merge(runs: DataFrame, length: int, shards: int) -> DataFrame:
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs (cls, text), cls unique -> cls, spans (binary int32 pairs of first and last start of repeated windows)."""
     rows = stash(anchor_rows(docs, length, gram), "anchors")
-    by = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rh").alias("r0"), F.max("rh").alias("r1")).where("n > 1")
-    by = stash(by, "anchor-groups")
-    plain = by.where("r0 = r1")
-    mixed = by.where("r0 <> r1").select("h", "n")
-    whole = rows.join(plain.select("h"), "h", "left_semi").select("cls", "lo", "hi", F.lit(None).cast("binary").alias("starts"))
+    by = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rh").alias("r0"), F.max("rh").alias("r1")).where("n > 1").select("h", (F.col("r0") != F.col("r1")).alias("mixed"))
+    again = stash(rows.join(by, "h"), "repeated-anchors")
+    whole = again.where("not mixed").select("cls", "lo", "hi", F.lit(None).cast("binary").alias("starts"))
     # one row of each distinct run; equal runs also repeat whole
-    mine = stash(rows.join(mixed.select("h"), "h"), "mixed-rows")
+    mine = again.where("mixed").drop("mixed")
     distinct = mine.groupBy("h", "rh").agg(F.count("*").alias("n"), F.min(F.struct("cls", "lo", "hi")).alias("x"))
     distinct = stash(distinct.select("h", "rh", "n", "x.cls", "x.lo", "x.hi"), "runs")
     per = distinct.groupBy("h").agg(F.count("*").alias("runs"))
