@@ -72,8 +72,6 @@ def max_recall(keys: DataFrame, mentions: DataFrame, cands: DataFrame) -> DataFr
 def differences(reference: DataFrame, response: DataFrame) -> DataFrame:
     """Rows that only one side has, with their number: side is reference or response."""
     cols = reference.columns
-    count = lambda df, n: df.select(*cols).groupBy(*cols).agg(F.count("*").alias(n))
-    a, b = count(reference, "n_ref"), count(response, "n_resp")
-    on = [a[c].eqNullSafe(b[c]) for c in cols]
-    j = a.join(b, on, "full").select(*[F.coalesce(a[c], b[c]).alias(c) for c in cols], (F.coalesce("n_ref", F.lit(0)) - F.coalesce("n_resp", F.lit(0))).alias("d"))
+    signed = reference.select(*cols, F.lit(1).alias("d")).unionByName(response.select(*cols, F.lit(-1).alias("d")))
+    j = signed.groupBy(*cols).agg(F.sum("d").alias("d"))
     return j.where("d <> 0").select(*cols, F.when(F.col("d") > 0, "reference").otherwise("response").alias("side"), F.abs("d").alias("n"))

@@ -18,7 +18,7 @@ def expected(sql: str, sf_dir: str) -> pd.DataFrame:
 
 
 def norm(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, bool) or type(v).__name__ in ("bool_", "bool"):
         return bool(v)
