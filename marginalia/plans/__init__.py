@@ -1 +1,5 @@
-"""plans of the annotation engine."""
+"""Named queries; importing this package registers all of them."""
+
+from marginalia.plans import data_queries, link_queries, span_queries, text_queries
+
+__all__ = ["data_queries", "link_queries", "span_queries", "text_queries"]
