@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import bits_for, positions, stash, tune
-from marginalia.llm.tokens import UnitTokenizer, tokenizer_path
+from marginalia.llm.tokens import tokenizer_path, unit_tokenizer
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     """doc_id, piece, start, length, ids_crc32 of every row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = UnitTokenizer(tokenizer_path(tokenizer), True)
+        tok = unit_tokenizer(tokenizer_path(tokenizer), True)
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
