@@ -6,8 +6,8 @@ are judged by their parts. A word's evidence is its log-likelihood ratio. A text
 the whole, of its most toxic window and the share of strongly toxic words; a logistic layer turns these into a score.
 The layer is fitted on ratios that the models of the other half of the sample give, then the models are fitted on all.
 
-Training rows: labelled documents whose crc32(doc_id as text) mod 5 is not 0, the `max_rows` of each class with the
-smallest hash of their text (a documented bound; all of them where there are fewer). Labels, lang, source and doc_id
+Training rows: labelled documents whose crc32(doc_id as text) mod 5 is not 0, of each class the `max_rows` distinct
+texts with the smallest hashes (a documented bound; all of them where there are fewer). Labels, lang, source and doc_id
 are never inputs of a score. Scoring reads every whole text.
 
 Null and empty texts score as texts without evidence. Labels that are null are not used; without labels of both
@@ -227,11 +227,20 @@ def train(texts: list[str], labels: list[int]) -> Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], list[int]]:
-    """At most max_rows labelled texts of each class that are not held out."""
-    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct()
-    rows = known.where(~held_out()).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").select("toxic", "text", F.xxhash64("text").alias("h"))
-    got = [r for y in (1, 0) for r in rows.where(F.col("toxic") == y).orderBy("h", "text").limit(max_rows).collect()]
-    return [r.text for r in got], [r.toxic for r in got]
+    """At most max_rows distinct labelled texts of each class that are not held out.
+
+    They are chosen by hashes alone; then only the chosen texts, of which there is a fixed number, come to the driver.
+    """
+    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct().where(~held_out())
+    h = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    hashed = known.join(docs.select("doc_id", h), "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
+    chosen = [r for y in (1, 0) for r in hashed.where(F.col("toxic") == y).orderBy("h").limit(max_rows).collect()]
+    if not chosen:
+        return [], []
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.h) for r in chosen], known.select("doc_id").schema.add("h", "long")).distinct()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h).join(F.broadcast(wanted), ["doc_id", "h"]).groupBy("h").agg(F.first("text").alias("text"))  # at most 2 * max_rows rows are broadcast
+    by_hash = {r.h: r.text for r in texts.collect()}
+    return [by_hash[r.h] for r in chosen], [r.toxic for r in chosen]
 
 
 def held_out():
