@@ -55,7 +55,7 @@ def _bytes(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _grams(seq: np.ndarray, owner: np.ndarray, order: int) -> np.ndarray:
     """Key of the gram of each order (0 to order) that ends at each byte; 0 where a word has no such gram."""
     out = np.zeros((order + 1, len(seq)), np.uint64)
-    for n in range(1, order + 1):
+    for n in range(1, min(order, len(seq)) + 1):
         key = np.zeros(len(seq), np.uint64)
         with np.errstate(over="ignore"):
             for back in range(n - 1, -1, -1):
@@ -150,7 +150,7 @@ class Model:
 class Scorer:
     """Scores of texts; the ratios of words are kept between texts."""
 
-    def __init__(self, model: Model, layer: np.ndarray | None = None):
+    def __init__(self, model: Model | None, layer: np.ndarray | None = None):
         self.model, self.layer, self.cache = model, layer, {}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -215,7 +215,7 @@ def train(texts: list[str], labels: list[int]) -> Scorer:
         return Model(counts)
 
     if min((y == 1).sum(), (y == 0).sum()) < 2:
-        return Scorer(Model({0: Counter(), 1: Counter()}))
+        return Scorer(None)
     half = np.zeros(len(y), np.int64)
     for c in (0, 1):
         half[y == c] = np.arange((y == c).sum()) % 2
