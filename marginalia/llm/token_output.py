@@ -5,7 +5,7 @@ A file (`MAGIC`) holds a run of documents in ascending doc_id order: their doc_i
 same state, so any block can be read alone. For each id, the id that last followed the two ids before (order 2) is
 offered, then the one that last followed the one before (order 1); whether it is taken is coded with a probability
 mixed from counters of orders 0, 1 and 2, whose weights follow how well each did. Otherwise the upper byte is coded
-with adaptive order-0 counts and the lower as it is. All arithmetic is on integers, so decoding repeats it exactly.
+with adaptive order-0 counts and the lower as it is. All arithmetic is exact (integers, or floats that hold integers), so decoding repeats it.
 Blocks are independent, so many are coded side by side as the lanes of numpy arrays.
 
 Null texts are empty and have the end id alone. Rows that share a doc_id stand side by side, ordered by their texts.
@@ -26,15 +26,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import new_path, stash, tune
-from marginalia.llm.tokens import UnitTokenizer, tokenizer_path
+from marginalia.llm.tokens import tokenizer_path, unit_tokenizer
 
 MAGIC = b"TIDS1\0"
-BLOCK, LANES = 4096, 768
+BLOCK, LANES = 1024, 3072
+#: Places for contexts of one and of two ids in a block's tables.
+ONE, TWO = 512, 1024
 FILE_IDS = 3_000_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 NONE = 0xFFFF
 TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 40)
 LOW56 = np.uint64((1 << 56) - 1)
+#: x @ SUMS: running sums of 16 small integers, exact in 32-bit floats.
+SUMS = np.triu(np.ones((16, 16), np.float32))
+
+
+def _floor(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of integers below 2**34 and 2**18, exactly: a 64-bit quotient can't round up to the next integer."""
+    return (a / b).astype(np.int64)
 
 
 class Lanes:
@@ -42,11 +51,11 @@ class Lanes:
 
     def __init__(self, n: int, steps: int, data: list[bytes] | None = None):
         self.rows = np.arange(n)
-        self.cand1, self.cand2 = np.full((n, 1024), NONE, np.uint16), np.full((n, 4096), NONE, np.uint16)
-        self.q0, self.q1, self.q2 = np.full(n, 6000, np.int32), np.full((n, 1024), 6000, np.uint16), np.full((n, 4096), 6000, np.uint16)
-        self.s0, self.s1 = np.full(n, 6000, np.int32), np.full((n, 1024), 6000, np.uint16)
+        self.cand1, self.cand2 = np.full((n, ONE), NONE, np.uint16), np.full((n, TWO), NONE, np.uint16)
+        self.q0, self.q1, self.q2 = np.full(n, 6000, np.int32), np.full((n, ONE), 6000, np.uint16), np.full((n, TWO), 6000, np.uint16)
+        self.s0, self.s1 = np.full(n, 6000, np.int32), np.full((n, ONE), 6000, np.uint16)
         self.w = np.full((3, n), 1 << 14, np.int64)
-        self.count, self.group = np.ones((n, 16, 16), np.int32), np.full((n, 16), 16, np.int32)
+        self.count, self.group = np.ones((n, 16, 16), np.float32), np.full((n, 16), 16, np.float32)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, LOW56, np.uint64)
         self.a, self.b = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.ptr = np.zeros(n, np.int64)
@@ -102,12 +111,12 @@ class Lanes:
         """Code the next id of the first k lanes (x), or decode it (None)."""
         act, rows = slice(0, k), self.rows[:k]
         a, b = self.a[act], self.b[act]
-        h1 = ((b * 40503) >> 4) & 1023
-        h2 = ((a * 30011 + b * 51787) >> 3) & 4095
+        h1 = ((b * 40503) >> 4) & (ONE - 1)
+        h2 = ((a * 30011 + b * 51787) >> 3) & (TWO - 1)
         c1, c2 = self.cand1[rows, h1], self.cand2[rows, h2]
         q0, q1, q2 = self.q0[act], self.q1[rows, h1].astype(np.int64), self.q2[rows, h2].astype(np.int64)
         w0, w1, w2 = self.w[0, act], self.w[1, act], self.w[2, act]
-        p = np.clip((w0 * q0 + w1 * q1 + w2 * q2) // (w0 + w1 + w2), 64, 65472)
+        p = np.clip(_floor(w0 * q0 + w1 * q1 + w2 * q2, w0 + w1 + w2), 64, 65472)
         hit = self.bit(act, p, None if x is None else x == c2)
         goal = np.where(hit, 65535, 0)
         for i, (w, q) in enumerate(((w0, q0), (w1, q1), (w2, q2))):
@@ -141,7 +150,7 @@ class Lanes:
 
     def literal(self, rows: np.ndarray, x: np.ndarray | None) -> np.ndarray:
         group = self.group[rows]
-        cum = np.cumsum(group, axis=1)
+        cum = (group @ SUMS).astype(np.int64)
         total = cum[:, -1]
         unit = self.range[rows] // total.astype(np.uint64)
         i = np.arange(len(rows))
@@ -150,13 +159,14 @@ class Lanes:
             g = (cum <= target[:, None]).sum(axis=1)
         else:
             g = x >> 12
-        below = cum[i, g] - group[i, g]
+        below = cum[i, g] - group[i, g].astype(np.int64)
         count = self.count[rows, g]
-        inner = np.cumsum(count, axis=1)
+        inner = (count @ SUMS).astype(np.int64)
         s = (inner <= (target - below)[:, None]).sum(axis=1) if x is None else (x >> 8) & 15
-        below = below + inner[i, s] - count[i, s]
+        mine = count[i, s].astype(np.int64)
+        below = below + inner[i, s] - mine
         self.low[rows] += unit * below.astype(np.uint64)
-        rng = unit * count[i, s].astype(np.uint64)
+        rng = unit * mine.astype(np.uint64)
         byte = rng >> np.uint64(8)
         lower = np.minimum(((self.code[rows] - self.low[rows]) & LOW56) // byte, np.uint64(255)).astype(np.int64) if x is None else x & 255
         self.low[rows] += byte * lower.astype(np.uint64)
@@ -165,7 +175,7 @@ class Lanes:
         self.group[rows, g] += 24
         full = rows[total > 8000]
         if len(full):
-            self.count[full] = (self.count[full] + 1) >> 1
+            self.count[full] = np.floor((self.count[full] + 1) / 2)
             self.group[full] = self.count[full].sum(axis=2)
         return (g << 12) | (s << 8) | lower
 
@@ -260,7 +270,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tok, part, seq, rows = UnitTokenizer(tokenizer_path(tokenizer), False), TaskContext.get().partitionId(), 0, []
+        tok, part, seq, rows = unit_tokenizer(tokenizer_path(tokenizer), False), TaskContext.get().partitionId(), 0, []
         doc_ids: list[int] = []
         ids: list[np.ndarray] = []
         size = 0
@@ -316,4 +326,4 @@ def token_output(docs: DataFrame, folder: str | None = None) -> DataFrame:
     ahead = lambda *p: Window.partitionBy(*p[:-1] or [F.lit(0)]).orderBy(p[-1]).rowsBetween(Window.unboundedPreceding, -1)
     by_part = listed.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(ahead("part")), F.lit(0))).select("part", "base")  # a row for each write task
     files = listed.join(by_part, "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_ids").over(ahead("part", "seq")), F.lit(0)))
-    return read_back(files.repartition(max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path"))
+    return read_back(files.repartitionByRange(max(1, listed.count()), "start"))  # a task for each file
