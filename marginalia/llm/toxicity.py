@@ -17,7 +17,6 @@ classes every score is 0. Repeated rows get equal scores; an empty table gives n
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
