@@ -300,3 +300,19 @@ def events_tumbling(spark, sf_dir):
   SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, s""")
 def events_sessions(spark, sf_dir):
     return streams.sessions(table(spark, sf_dir, "events"), "8 hours", "user_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND lang = 'de'")
+def corpus_subset(spark, sf_dir):
+    """A view on part of a corpus: by a table of names, then by a condition."""
+    from marginalia.sources import corpora
+
+    d = corpora.subset(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
+    return corpora.subset(d, F.col("lang") == "de").select("doc_id", "lang")
+
+
+@query("SELECT l_returnflag AS doc_id, count(*) FILTER (l_quantity < 10) AS removed, count(*) AS n FROM lineitem GROUP BY ALL")
+def removal_counters(spark, sf_dir):
+    """How many spans a filter took from each document."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_returnflag").alias("doc_id")).agg(F.count_if(F.col("l_quantity") < 10).alias("removed"), F.count("*").alias("n"))

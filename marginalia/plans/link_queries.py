@@ -412,3 +412,30 @@ def ml_train_apply(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("sc_quantity"), F.col("l_discount").alias("sc_discount"), F.col("l_returnflag").alias("nm_flag"), F.when(F.col("l_quantity") > 25, "true").otherwise("false").alias("class"))
     model = learning.fit(li)
     return learning.apply(model, li.drop("class")).groupBy("nm_flag", "class").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CANDS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, mention_id ORDER BY freq DESC, inst) - 1 AS rk, count(*) OVER (PARTITION BY doc_id, mention_id) AS size FROM cands) SELECT doc_id, mention_id, inst, round(1 - rk / size + 0.001, 6) AS rank_score FROM r")
+def result_rank_score(spark, sf_dir):
+    """Scores of a result list by place alone."""
+    from marginalia.operators.gazetteer import rank_score
+
+    w = Window.partitionBy("doc_id", "mention_id")
+    r = cands(spark, sf_dir).withColumns({"rk": F.row_number().over(w.orderBy(F.desc("freq"), "inst")) - 1, "size": F.count("*").over(w)})
+    return r.select("doc_id", "mention_id", "inst", F.round(rank_score(F.col("rk"), F.col("size")), 6).alias("rank_score"))
+
+
+@query("SELECT l_returnflag AS doc_id, l_partkey AS mention_id, l_suppkey AS inst FROM lineitem GROUP BY ALL")
+def candidate_dedupe(spark, sf_dir):
+    """Of candidates with one inst in a list one stays."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("doc_id"), F.col("l_partkey").alias("mention_id"), F.col("l_suppkey").alias("inst"), "l_linenumber")
+    none = li.select("doc_id", "mention_id", F.col("mention_id").alias("target")).where("false")
+    return C.merge_lists(li, none, "inst").select("doc_id", "mention_id", "inst")
+
+
+@query("SELECT doc_id, n_chars // 2 AS size, CAST(n_chars // 2 >= 100 AS BIGINT) AS kept FROM documents")
+def original_span_switch(spark, sf_dir):
+    """Mentions inside the original text, before what expansions appended."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr("n_chars div 2").alias("size"))
+    m = d.select("doc_id", F.lit(1).alias("mention_id"), F.lit(90).alias("start"), F.lit(100).alias("stop"))
+    kept = entities.in_original(m, d).select("doc_id", F.lit(1).alias("kept"))
+    return d.join(kept, "doc_id", "left").select("doc_id", "size", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))

@@ -420,3 +420,38 @@ def gazetteer_anywhere(spark, sf_dir):
     """Matches inside words, by an automaton; no SQL, tested against str.find."""
     found = gazetteer.match_anywhere(documents(spark, sf_dir), ["the", "theou", "tion", "ment dan", "rd an"])
     return found.groupBy("doc_id", "norm").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
+@query(f"""{MATCHES}, {SENTENCES}, b AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, start) AS mx FROM m), l AS (SELECT DISTINCT doc_id, start, stop FROM b WHERE stop = mx)
+  SELECT doc_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM sent s WHERE s.doc_id = l.doc_id AND l.start >= s.start AND l.stop <= s.stop)) AS inside FROM l GROUP BY doc_id""")
+def in_sentence_filter(spark, sf_dir):
+    """Dictionary matches that lie within one sentence, and all of them."""
+    t = tokens.tokenize(documents(spark, sf_dir))
+    m = gazetteer.match(t, dictionary(spark, sf_dir), 3).select("doc_id", "start", "stop").distinct().withColumn("ann_id", F.col("start"))
+    inside = spans.matched(m, tokens.sentences(t), "within").groupBy("doc_id").agg(F.count("*").alias("inside"))
+    return m.groupBy("doc_id").agg(F.count("*").alias("n")).join(inside, "doc_id", "left").fillna(0, ["inside"])
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, count(*) AS n FROM seen WHERE NOT (kind = 'number' OR lower(string) IN ('the', 'of', 'and', 'der', 'die', 'le', 'la', 'de')) GROUP BY doc_id")
+def stop_word_filter(spark, sf_dir):
+    """Spans that are exactly a stop word or a number go."""
+    t = tokens.visible(tokens.tokenize(documents(spark, sf_dir))).withColumn("ann_id", F.col("tok_no"))
+    stops = t.where(F.lower("string").isin("the", "of", "and", "der", "die", "le", "la", "de"))
+    return spans.drop_stop_words(t.select("doc_id", "ann_id", "start", "stop"), stops, t).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {TOKENS}, w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tok_no) AS i FROM seen), f AS (SELECT doc_id, i FROM w WHERE orth = 'allCaps' AND length(string) > 3)
+  SELECT f.doc_id, count(DISTINCT f.i) AS spots, count(DISTINCT w.string) AS nouns FROM f JOIN w ON w.doc_id = f.doc_id AND w.i BETWEEN f.i - 4 AND f.i + 4 AND w.i <> f.i WHERE w.orth = 'upperInitial' GROUP BY f.doc_id""")
+def noun_context(spark, sf_dir):
+    """Names near a mention, as its context."""
+    seen = tokens.visible(tokens.tokenize(documents(spark, sf_dir))).withColumn("tok_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")))
+    spots = seen.where("orth = 'allCaps' and length(string) > 3").withColumn("ann_id", F.col("start"))
+    near = spans.context_tokens(spots, seen, 4).where(X.token_orth(F.col("string")) == "upperInitial")
+    return near.groupBy("doc_id").agg(F.countDistinct("ann_id").alias("spots"), F.countDistinct("string").alias("nouns"))
+
+
+@query(f"SELECT coalesce(value, 'none') AS value, count(*) AS n FROM (SELECT p_partkey, coalesce(CASE WHEN lower(p_name) = 'small ring' THEN 'small jewel' END, CASE WHEN p_size > 25 THEN 'old' END) AS value FROM part) GROUP BY ALL")
+def feature_overwrite(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") > 25, "old").alias("value"))
+    out = gazetteer.by_feature(p, inline(spark, WORDS_DICT), "p_name", "OverwriteFeatures")
+    return out.groupBy(F.coalesce("value", F.lit("none")).alias("value")).agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ def directory(spark: SparkSession, path: str, extensions: list[str] | None = Non
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recurse).lower())
     if extensions:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}")
-    return reader.load(path).select(F.col("path").alias("name"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return reader.load(path).select(F.col("path").alias("name"), F.decode("content", "UTF-8").alias("text"))
 
 
 def jdbc(spark: SparkSession, url: str, table: str, name: str = "name", content: str = "content", query: str | None = None, partitions: int = 1, bounds: tuple[str, int, int] | None = None, **options: str) -> DataFrame:
