@@ -57,3 +57,8 @@ def reset(annotations: DataFrame, *asets: str, types: tuple[str, ...] = ()) -> D
     """Annotations without those of the sets (of the types only, if any are named)."""
     gone = F.col("aset").isin(*asets)
     return annotations.where(~(gone & F.col("type").isin(*types)) if types else ~gone)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df from the session's checkpoint folder, so that long loops have short plans; df itself where no folder is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.model import cut_lineage
+
 LINKS_TOTAL = 1e7
 
 
@@ -93,7 +95,6 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, start:
     Each round is one join and one aggregation; every few rounds the ranks go to the checkpoint folder, if one is set.
     Nodes without links out pass nothing on.
     """
-    sc = edges.sparkSession.sparkContext
     out = edges.groupBy("src").agg(F.sum("cnt").alias("total"))
     share = edges.join(out, "src").select("src", "dst", (F.col("cnt") / F.col("total")).alias("p"))
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
@@ -106,6 +107,6 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, start:
     for i in range(rounds):
         got = share.join(rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("in"))
         rank = base.join(got, base["node"] == got["dst"], "left").select("node", ((1 - damping) * F.col("w") + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
-        if (i + 1) % every == 0 and i + 1 < rounds and sc.getCheckpointDir():
-            rank = rank.checkpoint()
+        if (i + 1) % every == 0 and i + 1 < rounds:
+            rank = cut_lineage(rank)
     return rank

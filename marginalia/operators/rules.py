@@ -163,14 +163,23 @@ def named_entities(docs: DataFrame, rules: list[tuple[str, str]] | None = None)
     return docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
 
 
-def located(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """start and stop of each match: the place of the match_no-th piece, walking the text piece by piece."""
-    text = docs.select("doc_id", "text")
-    piece = F.split(F.col("text"), F.concat(F.lit(r"\Q"), F.col("string"), F.lit(r"\E")), -1)
-    same = Window.partitionBy("doc_id", "type", "rule_no", "string").orderBy("match_no")
-    f = found.withColumn("_k", F.row_number().over(same)).join(text, "doc_id")
-    start = F.aggregate(F.slice(piece, F.lit(1), F.col("_k")), F.lit(0), lambda s, x: s + F.length(x)) + (F.col("_k") - 1) * F.length("string")
-    return f.withColumn("start", start.cast("int")).withColumn("stop", F.col("start") + F.length("string")).drop("text", "_k")
+def find_spans(df: DataFrame, column: str, pattern: str, key: str = "doc_id") -> DataFrame:
+    """find_all with start and stop: what stands between the matches is cut out by the same expression, and the lengths are summed up."""
+    found = F.regexp_extract_all(column, F.lit(f"({pattern})"), F.lit(1))
+    gaps = F.transform(F.split(column, pattern, -1), lambda x: F.length(x))
+    both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda s, g: F.struct(s.alias("string"), g.alias("gap")))
+    rows = df.select(key, F.posexplode(both).alias("match_no", "m")).select(key, "match_no", "m.string", "m.gap")
+    stop = F.sum(F.col("gap") + F.length("string")).over(Window.partitionBy(key).orderBy("match_no")).cast("int")
+    return rows.withColumn("stop", stop).select(key, "match_no", (F.col("stop") - F.length("string")).alias("start"), "stop", "string")
+
+
+def entity_spans(docs: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """doc_id, type, rule_no, start, stop, string of every match of the name rules; `control` picks among them."""
+    out = None
+    for n, (type_, pattern) in enumerate(NAME_RULES if rules is None else rules):
+        one = find_spans(docs, "text", pattern).select("doc_id", F.lit(type_).alias("type"), F.lit(n).alias("rule_no"), "start", "stop", "string")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # Tags of a token in one letter each, so that a rule over a sequence of tokens is an expression over a string.

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 4096
+#: Characters that an article and the white space about it may take at most.
+ARTICLE_GAP = 64
 
 
 def predicate(kind: str, s: Column, e: Column, bs: Column, be: Column) -> Column:
@@ -118,10 +120,13 @@ def resolve_overlaps(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     m = mentions.select("doc_id", "ann_id", "start", "stop")
     pairs = span_join(m, m, "overlap").where("start < b_start or (start = b_start and stop > b_stop) or stop > b_stop and start < b_start")
     inner = pairs.where("stop >= b_stop").select("doc_id", F.col("b_ann_id").alias("ann_id"))
-    partial = pairs.where("start < b_start and stop < b_stop").join(docs.select("doc_id", "text"), "doc_id")
+    partial = pairs.where("start < b_start and stop < b_stop")
+    # only a short gap can be an article, so few pairs need the text
+    near = partial.where(f"b_start - start <= {ARTICLE_GAP}").join(docs.select("doc_id", "text"), "doc_id")
     between = F.lower(F.trim(F.expr("substring(text, start + 1, b_start - start)")))
     loser = F.when(between.isin("", "the", "a", "an"), F.col("ann_id")).otherwise(F.col("b_ann_id"))
-    gone = inner.unionByName(partial.select("doc_id", loser.alias("ann_id"))).distinct()
+    far = partial.where(f"b_start - start > {ARTICLE_GAP}").select("doc_id", F.col("b_ann_id").alias("ann_id"))
+    gone = inner.unionByName(near.select("doc_id", loser.alias("ann_id"))).unionByName(far).distinct()
     return mentions.join(gone, ["doc_id", "ann_id"], "left_anti")
 
 
@@ -143,12 +148,21 @@ def context_tokens(spans: DataFrame, tokens: DataFrame, window: int) -> DataFram
 
 def context_words(spans: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """words: the distinct words of `length` characters (and two more) on either side of each span, cut ones left out."""
-    j = spans.join(docs.select("doc_id", "text"), "doc_id")
-    lo, hi = F.greatest(F.col("start") - (length + 2), F.lit(0)), F.least(F.col("stop") + (length + 2), F.length("text"))
-    j = j.withColumns({"_lo": lo, "_hi": hi, "_n": F.length("text")}).withColumn("_w", F.split(F.expr("substring(text, _lo + 1, _hi - _lo)"), "[ \\t\\n\\r\\f]+"))
-    first, last = F.when(F.col("_lo") > 0, 2).otherwise(1), F.when(F.col("_hi") < F.col("_n"), 1).otherwise(0)
-    kept = F.slice(F.col("_w"), first, F.greatest(F.size("_w") - (first - 1) - last, F.lit(0)))
-    return j.withColumn("words", F.array_sort(F.array_distinct(F.filter(kept, lambda x: x != "")))).drop("text", "_lo", "_hi", "_n", "_w")
+    # a document's spans are gathered first, so that its text is in one row only
+    rest = [c for c in spans.columns if c != "doc_id"]
+    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("_spans"))
+    j = lists.join(docs.select("doc_id", "text"), "doc_id").withColumn("_n", F.length("text"))
+
+    def cut(x: Column) -> Column:
+        lo, hi = F.greatest(x["start"] - (length + 2), F.lit(0)), F.least(x["stop"] + (length + 2), F.col("_n"))
+        words = F.split(F.substr("text", lo + 1, hi - lo), "[ \\t\\n\\r\\f]+")
+        return F.struct(x.alias("x"), words.alias("w"), (lo > 0).alias("cut_first"), (hi < F.col("_n")).alias("cut_last"))
+
+    j = j.select("doc_id", F.explode(F.transform("_spans", cut)).alias("s"))
+    first, last = F.when(F.col("s.cut_first"), 2).otherwise(1), F.when(F.col("s.cut_last"), 1).otherwise(0)
+    kept = F.slice(F.col("s.w"), first, F.greatest(F.size("s.w") - (first - 1) - last, F.lit(0)))
+    words = F.array_sort(F.array_distinct(F.filter(kept, lambda x: x != "")))
+    return j.select("doc_id", *[F.col("s.x")[c].alias(c) for c in rest], words.alias("words"))
 
 
 def previous_tokens(tokens: DataFrame, k: int = 5) -> DataFrame:

@@ -455,3 +455,11 @@ def feature_overwrite(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") > 25, "old").alias("value"))
     out = gazetteer.by_feature(p, inline(spark, WORDS_DICT), "p_name", "OverwriteFeatures")
     return out.groupBy(F.coalesce("value", F.lit("none")).alias("value")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS f, string_split_regex(text, '[0-9]+') AS g FROM documents), e AS (SELECT doc_id, unnest(f) AS s, unnest(g[1:len(f)]) AS gap, generate_subscripts(f, 1) AS i FROM m),
+  p AS (SELECT doc_id, i, s, sum(length(gap) + length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM e) SELECT doc_id, CAST(i - 1 AS BIGINT) AS match_no, CAST(stop - length(s) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, s AS string FROM p""")
+def regex_spans(spark, sf_dir):
+    """Matches of one expression with their places."""
+    f = rules.find_spans(documents(spark, sf_dir), "text", "[0-9]+")
+    return f.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("match_no", "start", "stop")], "string")

@@ -84,12 +84,15 @@ def test_rule_file_preferences(spark):
         rules.annotate(d, parsed, "NONE")
 
 
-def test_found_strings_are_located(spark):
-    d = docs(spark, "Dr Bell saw Dr Bell. Mount Etna and Mount Etna")
-    for r in rules.located(rules.named_entities(d), d).collect():
-        assert "Dr Bell saw Dr Bell. Mount Etna and Mount Etna"[r.start : r.stop] == r.string
-    starts = sorted((r.type, r.start) for r in rules.located(rules.named_entities(d), d).collect() if r.type == "Person")
-    assert starts == [("Person", 0), ("Person", 12)]
+def test_found_strings_have_offsets(spark):
+    text = "Dr Bell saw Dr Bell. Mount Etna and Mount Etna"
+    d = docs(spark, text, None, "", "12,7;300 ü4")
+    got = rules.entity_spans(d).collect()
+    assert all(text[r.start : r.stop] == r.string for r in got)
+    assert sorted(r.start for r in got if r.type == "Person") == [0, 12]
+    for t, i in ((text, 1), ("12,7;300 ü4", 4)):
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+|Etna", t)]
+        assert [(r.start, r.stop, r.string) for r in rules.find_spans(d, "text", "[0-9]+|Etna").where(F.col("doc_id") == i).orderBy("match_no").collect()] == want
 
 
 def test_control_styles(spark):
