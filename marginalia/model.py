@@ -11,7 +11,7 @@ Offsets count code points, begin at 0 and are half open.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ANNOTATIONS = "doc_id long, aset string, ann_id long, type string, start int, stop int, features map<string,string>"
@@ -62,3 +62,14 @@ def reset(annotations: DataFrame, *asets: str, types: tuple[str, ...] = ()) -> D
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df from the session's checkpoint folder, so that long loops have short plans; df itself where no folder is set."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """Session settings that right results need.
+
+    With spark.sql.unionOutputPartitioning (new in Spark 4.1) a union of inputs that are dealt alike counts as dealt so
+    itself; adaptive execution may then have put the partitions of its inputs together differently, and a grouping or
+    window after the union sees parts of its groups only.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark

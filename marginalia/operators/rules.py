@@ -182,50 +182,23 @@ def entity_spans(docs: DataFrame, rules: list[tuple[str, str]] | None = None) ->
     return out
 
 
-# Tags of a token in one letter each, so that a rule over a sequence of tokens is an expression over a string.
-TAG_LETTERS = {"MD": "m", "VB": "b", "VBP": "p", "VBZ": "z", "VBD": "d", "VBN": "n", "VBG": "g", "RB": "r", "TO": "t", "NN": "N", "NNS": "N", "NNP": "P", "NNPS": "P", "DT": "D", "JJ": "J", "IN": "I", "PRP": "R", "CC": "C", "CD": "K"}
-#: Verb groups, the first that matches at a token wins: (tense, voice, expression over letters; h, e: forms of have and be).
-VERB_GROUPS = [
-    ("FutPer", "active", "mr?hr?n"), ("FutCon", "active", "mr?er?g"), ("SimFut", "passive", "mr?er?n"), ("SimFut", "active", "mr?b"),
-    ("PerCon", "active", "hr?er?g"), ("Per", "passive", "hr?er?n"), ("Per", "active", "hr?n"),
-    ("Con", "active", "er?g"), ("Sim", "passive", "er?n"), ("Inf", "active", "tr?b"), ("SimPas", "active", "d"), ("SimPre", "active", "[pz]"),
-]
-
-
-def tag_string(tokens: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each sequence: its tags in letters (x: any other)."""
-    letter = F.lit("x")
-    for tag, c in TAG_LETTERS.items():
-        letter = F.when(F.col("tag") == tag, c).otherwise(letter)
-    word = F.lower("string")
-    letter = F.when(word.isin("have", "has", "had", "having"), "h").when(word.isin("am", "is", "are", "was", "were", "be", "been", "being"), "e").otherwise(letter)
-    t = tokens.withColumn("_c", letter).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tok_no", "_c"))).alias("_s"))
-    return t.withColumn("tags", F.array_join(F.transform("_s", lambda x: x["_c"]), "")).drop("_s")
-
-
-def verb_groups(tagged: DataFrame, by: list[str]) -> DataFrame:
-    """tagged (tags) -> group_no, tags, tense, voice, negated-or-modified flag of each verb group."""
-    every = "|".join(p for *_, p in VERB_GROUPS)
-    g = tagged.select(*by, F.posexplode(F.regexp_extract_all("tags", F.lit(f"({every})"), F.lit(1))).alias("group_no", "tags"))
-    tense, voice = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for t, v, p in reversed(VERB_GROUPS):
-        fits = F.col("tags").rlike(f"^(?:{p})$")
-        tense, voice = F.when(fits, t).otherwise(tense), F.when(fits, v).otherwise(voice)
-    return g.withColumns({"tense": tense, "voice": voice, "modified": F.col("tags").contains("r")})
-
-
-def control(found: DataFrame, style: str, *order: str) -> DataFrame:
-    """Keep matches as a grammar's control style does: all; appelt (longest from a start, then by priority and rule, and none inside one kept); first (shortest); once (one for a document)."""
+def control(found: DataFrame, style: str, *order: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Keep matches as a grammar's control style does: all; appelt (longest from a start, then by the order, and none inside one kept); first (shortest from a start); once (one for each key).
+
+    keys: what matches never cross (a document, or a sentence of it).
+    """
     if style == "all":
         return found
     if style == "once":
-        w = Window.partitionBy("doc_id").orderBy("start", *order)
+        w = Window.partitionBy(*keys).orderBy("start", *order)
     else:
-        w = Window.partitionBy("doc_id", "start").orderBy(F.desc("stop") if style == "appelt" else F.asc("stop"), *order)
+        w = Window.partitionBy(*keys, "start").orderBy(F.desc("stop") if style == "appelt" else F.asc("stop"), *order)
     one = found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     if style != "appelt":
         return one
-    # what starts inside an earlier match that was kept goes: walked in order within the document
-    rows = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_s"))
-    kept = F.aggregate("_s", F.struct(F.lit(-1).alias("e"), F.array().cast("array<int>").alias("k")), lambda acc, x: F.when(x["start"] >= acc["e"], F.struct(x["stop"].alias("e"), F.concat(acc["k"], F.array(x["start"])).alias("k"))).otherwise(acc), lambda acc: acc["k"])
-    return one.join(rows.select("doc_id", F.explode(kept).alias("start")), ["doc_id", "start"], "left_semi")
+    # what starts inside an earlier match that was kept goes: walked in order, key by key, in one row
+    rest = [c for c in found.columns if c not in keys]
+    rows = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rest)), lambda a, b: a["start"] - b["start"]).alias("_s"))
+    nothing = F.struct(F.lit(-1).cast(found.schema["stop"].dataType).alias("e"), F.filter("_s", lambda x: F.lit(False)).alias("k"))
+    kept = F.aggregate("_s", nothing, lambda acc, x: F.when(x["start"] >= acc["e"], F.struct(x["stop"].alias("e"), F.concat(acc["k"], F.array(x)).alias("k"))).otherwise(acc), lambda acc: acc["k"])
+    return rows.select(*keys, F.explode(kept).alias("x")).select(*keys, *[F.col("x")[c].alias(c) for c in rest]).select(*found.columns)

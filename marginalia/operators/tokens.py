@@ -25,7 +25,7 @@ def tiles(docs: DataFrame, pattern: str = TILE) -> DataFrame:
     """doc_id, tok_no (from 0), start, stop, string of every tile. Null and empty texts have none."""
     dealt = docs.select("doc_id", "text").repartition("doc_id")
     out = dealt.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("tok_no", "string"))
-    stop = F.sum(F.length("string")).over(Window.partitionBy("doc_id").orderBy("tok_no")).cast("int")
+    stop = F.sum(F.length("string")).over(Window.partitionBy("doc_id").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     return out.withColumn("stop", stop).select("doc_id", "tok_no", (F.col("stop") - F.length("string")).alias("start"), "stop", "string")
 
 
@@ -81,14 +81,14 @@ def sentence_numbers(tokens: DataFrame, newline_splits: bool = False) -> DataFra
     """sent_no of every token, from 0.
 
     A run of . ! ? followed by white space or the end of the text closes a sentence, unless it is one full stop after
-    an abbreviation or it is five dots and more; an empty line closes one too (with newline_splits any line end).
+    an abbreviation or an initial or it is five dots and more; an empty line closes one too (with newline_splits any line end).
     """
     w = Window.partitionBy("doc_id").orderBy("tok_no")
     s = F.col("string")
     nxt, prev = F.lead("string", 1).over(w), F.lag("string", 1).over(w)
     mark = s.isin(".", "!", "?") & (nxt.isNull() | nxt.rlike(r"^[ \t\n\r\f]$"))
     dots = F.concat(s, *[F.lag("string", k).over(w) for k in range(1, 5)]) == "....."
-    mark = mark & ~F.coalesce((s == ".") & prev.isin(ABBREVIATIONS), F.lit(False)) & ~F.coalesce(dots, F.lit(False))
+    mark = mark & ~F.coalesce((s == ".") & (prev.isin(ABBREVIATIONS) | prev.rlike(r"^\p{Lu}$")), F.lit(False)) & ~F.coalesce(dots, F.lit(False))
     blank = (s == "\n") & (F.lit(True) if newline_splits else F.coalesce(prev == "\n", F.lit(False)))
     closes = tokens.withColumn("_closes", (mark | blank).cast("int"))
     return closes.withColumn("sent_no", F.coalesce(F.sum("_closes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_closes")

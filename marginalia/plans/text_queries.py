@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import gazetteer, negation, rules, spans, tagging, tokens
+from marginalia.operators import gazetteer, grammar, negation, rules, spans, tagging, tokens
 from marginalia.plans.registry import inline, query, table
 
 # SQL of the plain tokens, for the queries below.
@@ -99,7 +99,7 @@ def retweet_detect(spark, sf_dir):
 ABBREVIATIONS = ", ".join(f"'{a}'" for a in tokens.ABBREVIATIONS)
 SENTENCES = rf"""
 s0 AS (SELECT *, lead(string) OVER d AS nxt, lag(string) OVER d AS prev, lag(string, 2) OVER d AS p2, lag(string, 3) OVER d AS p3, lag(string, 4) OVER d AS p4 FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY tok_no)),
-s1 AS (SELECT *, CASE WHEN (string IN ('.', '!', '?') AND (nxt IS NULL OR regexp_matches(nxt, '^[ \t\n\r\f]$')) AND NOT coalesce(string = '.' AND prev IN ({ABBREVIATIONS}), false)
+s1 AS (SELECT *, CASE WHEN (string IN ('.', '!', '?') AND (nxt IS NULL OR regexp_matches(nxt, '^[ \t\n\r\f]$')) AND NOT coalesce(string = '.' AND (prev IN ({ABBREVIATIONS}) OR regexp_matches(prev, '^\p{{Lu}}$')), false)
   AND NOT coalesce(string || prev || p2 || p3 || p4 = '.....', false)) OR (string = chr(10) AND coalesce(prev = chr(10), false)) THEN 1 ELSE 0 END AS closes FROM s0),
 s2 AS (SELECT *, coalesce(sum(closes) OVER (PARTITION BY doc_id ORDER BY tok_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_no FROM s1),
 sent AS (SELECT doc_id, CAST(sent_no AS BIGINT) AS sent_no, min(start) FILTER (kind NOT IN ('space', 'control')) AS start, max(stop) FILTER (kind NOT IN ('space', 'control')) AS stop,
@@ -279,13 +279,43 @@ def named_entities_french(spark, sf_dir):
     return rules.named_entities(inline(spark, FRENCH), rules.FRENCH_RULES).select("doc_id", "type", "string")
 
 
-TAGGED = "(VALUES (1, 1, 'He', 'PRP'), (1, 2, 'has', 'VBZ'), (1, 3, 'never', 'RB'), (1, 4, 'been', 'VBN'), (1, 5, 'seen', 'VBN'), (2, 1, 'She', 'PRP'), (2, 2, 'will', 'MD'), (2, 3, 'not', 'RB'), (2, 4, 'go', 'VB'), (2, 5, 'and', 'CC'), (2, 6, 'sings', 'VBZ'), (3, 1, 'Dogs', 'NNS')) AS t(doc_id, tok_no, string, tag)"
+TAGGED = "(VALUES (1, 'He/PRP has/VBZ never/RB been/VBN seen/VBN'), (2, 'She/PRP will/MD not/RB go/VB and/CC sings/VBZ'), (3, 'Dogs/NNS'), (4, 'It/PRP was/VBD being/VBG built/VBN to/TO last/VB'), (5, 'They/PRP did/VBD not/RB try/VB seeing/VBG'), (6, 'It/PRP might/MD have/VB been/VBN working/VBG')) AS t(doc_id, tagged)"
 
 
-@query("SELECT * FROM (VALUES (1, CAST(0 AS BIGINT), 'hren', 'Per', 'passive', true), (2, 0, 'mrb', 'SimFut', 'active', true), (2, 1, 'z', 'SimPre', 'active', false)) AS t(doc_id, group_no, tags, tense, voice, modified)")
+@query("""SELECT * FROM (VALUES (1, 'has never been seen', 'finite', 'PerPre', 'passive', true), (2, 'will not go', 'finite', 'SimFut', 'active', true), (2, 'sings', 'finite', 'SimPre', 'active', false),
+  (4, 'was being built', 'finite', 'ConPas', 'passive', false), (4, 'to last', 'infinitive', 'SimInf', 'active', false), (5, 'did not try', 'finite', 'SimPas', 'active', true), (5, 'seeing', 'participle', 'Pre', 'active', false),
+  (6, 'might have been working', 'modal', 'PerConModal', 'active', false)) AS t(doc_id, words, kind, tense, voice, negated)""")
 def verb_groups(spark, sf_dir):
-    g = rules.verb_groups(rules.tag_string(inline(spark, TAGGED), ["doc_id"]), ["doc_id"])
-    return g.withColumn("group_no", F.col("group_no").cast("long"))
+    """Rules over sequences of word classes."""
+    t = inline(spark, TAGGED).select("doc_id", F.posexplode(F.split("tagged", " ")).alias("tok_no", "w"))
+    t = t.select("doc_id", F.lit(0).alias("sent_no"), "tok_no", F.col("tok_no").alias("start"), (F.col("tok_no") + 1).alias("stop"), F.substring_index("w", "/", 1).alias("string"), F.substring_index("w", "/", -1).alias("tag"))
+    g = grammar.verb_groups(t).select("doc_id", "first", F.explode(F.sequence("first", "last")).alias("tok_no"), "kind", "tense", "voice", "negated")
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_no", "string"))), lambda x: x["string"]), " ")
+    return g.join(t, ["doc_id", "tok_no"]).groupBy("doc_id", "first", "kind", "tense", "voice", "negated").agg(words.alias("words")).select("doc_id", "words", "kind", "tense", "voice", "negated")
+
+
+REPORTS = "(VALUES (1, 'Mr. J. Smith met Anna Bell, director of Green & Old Valley Ltd, near Mount Etna.'), (2, 'The University of York hired Kolb, 46, in Quern.'), (3, 'said Zorn. Paris is big'), (4, 'chairman Brack')) AS t(doc_id, text)"
+KNOWN_NAMES = "(VALUES ('ANNA', 'first_name'), ('PARIS', 'location'), ('PARIS', 'first_name'), ('YORK', 'location')) AS t(norm, kind)"
+
+
+@query("""SELECT * FROM (VALUES (1, 'Mr. J. Smith', 'Person', 'PersonTitle'), (1, 'Anna Bell', 'Person', 'PersonFull'), (1, 'director', 'JobTitle', 'JobTitle'), (1, 'Green & Old Valley Ltd', 'Organization', 'CompanyEnding'), (1, 'Mount Etna', 'Location', 'LocationKey'),
+  (2, 'University of York', 'Organization', 'KeyOf'), (2, 'Kolb', 'Person', 'PersonContext'), (2, 'Quern', 'Location', 'LocationContext'), (3, 'Zorn', 'Person', 'SaysPerson'), (3, 'Paris', 'Person', 'FirstName'), (4, 'chairman', 'JobTitle', 'JobTitle'), (4, 'Brack', 'Person', 'JobTitlePerson')) AS t(doc_id, string, type, rule)""")
+def name_grammar(spark, sf_dir):
+    """Phases of rules over coded tokens: titles, endings, keys and dictionaries, then what stands next to unknown names."""
+    docs = inline(spark, REPORTS)
+    t = tokens.sentence_numbers(tokens.tokenize(docs))
+    look = gazetteer.match(t, inline(spark, KNOWN_NAMES), 2)
+    n = grammar.find_names(grammar.numbered(t), look).join(docs, "doc_id")
+    return n.select("doc_id", F.expr("substring(text, start + 1, stop - start)").alias("string"), "type", "rule").where("type <> 'Unknown' and string <> 'The'")
+
+
+@query(rf"WITH {TOKENS}, {SENTENCES}, c AS (SELECT doc_id, sent_no, string_agg(CASE WHEN regexp_matches(string, '^\p{{Lu}}$') THEN 'I' WHEN orth = 'upperInitial' THEN 'U' WHEN orth = 'allCaps' THEN 'A' ELSE 'o' END, '' ORDER BY tok_no) AS codes FROM s2 WHERE kind NOT IN ('space', 'control') GROUP BY ALL), m AS (SELECT doc_id, unnest(regexp_extract_all(codes, '[UA]+o?[UA]')) AS m FROM c) SELECT doc_id, count(*) AS n, CAST(sum(length(m)) AS BIGINT) AS length FROM m GROUP BY doc_id")
+def sequence_rules(spark, sf_dir):
+    """One rule over the coded tokens of every sentence of the corpus."""
+    t = grammar.numbered(tokens.sentence_numbers(tokens.tokenize(documents(spark, sf_dir))))
+    code = grammar.code_of([(F.col("string").rlike(r"^\p{Lu}$"), "I"), (F.col("orth") == "upperInitial", "U"), (F.col("orth") == "allCaps", "A")])
+    m = grammar.match_sequences(t.withColumn("code", code), [grammar.SequenceRule("[UA]+o?[UA]", "Name")], style="all")
+    return m.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("codes")).alias("length"))
 
 
 LEXICON = "(VALUES ('the', 'DT'), ('of', 'IN'), ('and', 'CC'), ('is', 'VBZ'), ('it', 'PRP'), ('to', 'TO'), ('in', 'IN'), ('on', 'IN')) AS t(word, tag)"

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.model import settle
+
 
 def annotate_stream(docs: DataFrame, steps: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available_now: bool = True):
     """Run a chain of per-document steps over each micro-batch and append the result as Parquet, one folder a batch.
@@ -15,6 +17,7 @@ def annotate_stream(docs: DataFrame, steps: Callable[[DataFrame], DataFrame], pa
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        settle(batch.sparkSession)
         steps(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

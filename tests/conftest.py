@@ -17,5 +17,8 @@ def spark(tmp_path_factory):
     }
     session = SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    from marginalia.model import settle
+
+    settle(session)
     yield session
     session.stop()
