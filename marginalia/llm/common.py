@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.model import settle
+
 #: Rows of one Arrow batch to a Python worker; texts may be long, so fewer than Spark's own 10,000.
 ARROW_ROWS = 1000
 #: At most 2**MAX_BITS buckets per part in `positions`; this bounds what it broadcasts.
@@ -28,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts to Python workers."""
+    settle(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -38,7 +41,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str = "stash") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    spark = settle(df.sparkSession)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -56,7 +59,7 @@ def unstash(df: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def bits_for(rows: int, parts: int = 1, per_bucket: int = 20_000) -> int:
