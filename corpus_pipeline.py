@@ -28,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id stays."""
-    groups = simhash.components(simhash.fingerprints(docs, SHINGLE))
+    """Of each group of near copies (similarity of five-word shingles 0.8 or more) the row with the smallest doc_id stays."""
+    groups = simhash.near_groups(docs, SHINGLE)
     keep = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
 

@@ -10,7 +10,12 @@ distances to any pivot differ by more than `DISTANCE` can't be near (triangle in
 survivors are verified by XOR. Keys with over `HOT_KEY` distinct fingerprints are cut again, by two of four bytes of
 the other 32 bits, which leaves at most 2**16 fingerprints to a key. Only links of a spanning forest leave a key.
 
-Null and empty texts have fingerprint zero and link like any other. Repeated rows share a class; an empty table
+`near_groups` finds near copies by the similarity of their shingle sets (SIMILARITY and more), of which fingerprints of 64
+bits are too coarse a measure. Texts meet on the KEYS least hashes of their shingles (two texts of similarity 0.8 share
+none with a chance of 0.2 ** KEYS); pivot tables and fingerprints discard pairs, and survivors are verified on
+sketches of the SKETCH least hashes, which hold the whole set of most texts.
+
+Null and empty texts have fingerprint zero and link like any other. Repeated rows share a class; a doc_id names one text; an empty table
 gives no rows. Only doc_id and text are read, whole.
 """
 
@@ -31,6 +36,8 @@ DISTANCE = 2
 SHINGLE = 3
 SEED = 42
 HOT_KEY = 4096
+#: Similarity of shingle sets; least hashes on which texts meet, and on which they are compared; bits that near copies differ in at most.
+SIMILARITY, KEYS, SKETCH, BITS = 0.8, 5, 160, 28
 #: Reference fingerprints: fixed pseudo-random numbers, the same in every run.
 PIVOTS = np.random.default_rng(20240501).integers(0, 2**64, 12, dtype=np.uint64)
 
@@ -127,15 +134,109 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     again = F.array(*[F.struct(F.lit(s + 1).alias("s"), F.shiftleft(byte(j), 8).bitwiseOR(byte(i)).alias("k2")) for s, (i, j) in enumerate(pairs)])
     hot = hot.withColumn("rest", rest).select("cls", "fp", "t", "k", F.explode(again).alias("y")).select("cls", "fp", "t", "k", "y.s", "y.k2")
     rows = small.select("cls", "fp", "t", "k", "s", "k2").unionByName(hot).select("cls", "fp", F.xxhash64("t", "k", "s", "k2").alias("key"))
-    n = max(8, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(n, "key").sortWithinPartitions("key")
+
+    def work(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return near_pairs(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), distance)
+
+    return by_key(rows, work, ["fp"])
+
+
+def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """prints (doc_id, fp) -> doc_id, fp, component_id (the smallest doc_id reachable)."""
+    prints = stash(prints, "simhash")
+    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("cls")), "simhash-classes")
+    roots = connected_components(links(classes, distance))
+    known = classes.join(roots, F.col("cls") == F.col("node"), "left").select("fp", F.coalesce("root", "cls").alias("component_id"))
+    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fp, n (distinct shingles), keys (least hashes), sketch (upper halves of the least hashes, ascending)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                h = hashes(text, shingle)
+                fp, h = fingerprint(h), np.unique(h)
+                least = h[:SKETCH] if len(h) else np.zeros(1, np.uint64)
+                rows.append((doc, fp, len(h), least[:KEYS].view(np.int64).tolist(), (least >> np.uint64(32)).astype("<u4").tobytes()))
+            out = pd.DataFrame(rows, columns=["doc_id", "fp", "n", "keys", "sketch"])
+            yield out.assign(fp=out["fp"].to_numpy(np.uint64).view(np.int64))
+
+    tune(docs.sparkSession)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select("doc_id").schema)
+    return docs.select("doc_id", "text").mapInPandas(run, f"{schema}, fp long, n int, keys array<long>, sketch binary")
+
+
+NONE = np.uint32(0xFFFFFFFF)
+
+
+def grid(blobs: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one array, filled up with NONE."""
+    lens = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    out = np.full((len(blobs), SKETCH), NONE, np.uint32)
+    out[np.arange(SKETCH)[None, :] < lens[:, None]] = np.minimum(np.frombuffer(b"".join(blobs), "<u4"), NONE - np.uint32(1))
+    return out
+
+
+def jaccard(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Similarity of the sets behind rows of sketches: exact where both are held whole, else over the hashes that both hold."""
+    top = np.minimum(np.where(nx > SKETCH, x[:, -1], NONE - np.uint32(1)), np.where(ny > SKETCH, y[:, -1], NONE - np.uint32(1)))
+    z = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    inside = z <= top[:, None]
+    both = ((z[:, 1:] == z[:, :-1]) & inside[:, 1:]).sum(axis=1)
+    return both / np.maximum(1, inside.sum(axis=1) - both)
+
+
+def similar_pairs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (i, root) among rows of equal key whose sets are similar; rows in any order."""
+    order = np.lexsort((n, key))
+    key, fp, n, sketch = key[order], fp[order], n[order], sketch[order]
+    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+    root, live, step = np.arange(len(fp)), np.arange(len(fp)), 0
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    while len(live):
+        step += 1
+        live = live[live + step < len(fp)]
+        # sorted by size, so what is too large now is so from here on
+        live = live[(key[live] == key[live + step]) & (n[live] >= similarity * n[live + step])]
+        i = live[root[live] != root[live + step]]
+        i = i[np.abs(table[i] - table[i + step]).max(axis=1, initial=0) <= BITS]
+        i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= BITS]
+        for at in range(0, len(i), 20_000):
+            a = i[at : at + 20_000]
+            for x in a[jaccard(sketch[a], n[a], sketch[a + step], n[a + step]) >= similarity].tolist():
+                p, q = find(x), find(x + step)
+                root[max(p, q)] = min(p, q)
+        if len(i):
+            while (flat := root[root]).tobytes() != root.tobytes():
+                root = flat
+        if step % 64 == 0 and len(live):  # a key whose rows are all linked has nothing left to find
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            whole = np.minimum.reduceat(root, cut) == np.maximum.reduceat(root, cut)
+            live = live[~np.repeat(whole, np.diff(np.append(cut, len(key))))[live]]
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return order[moved], order[root[moved]]
+
+
+def by_key(rows: DataFrame, work, columns: list[str]) -> DataFrame:
+    """work(rows of whole keys) -> (i, j), the links (a, b) of their cls; rows are dealt and sorted by key, keys are never cut."""
+    n = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select("cls", "key", *columns).repartition(n, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
 
         def done(b: pd.DataFrame) -> pd.DataFrame:
-            cls, fp, key = b["cls"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["key"].to_numpy()
-            i, j = near_pairs(key, fp, distance)
+            cls = b["cls"].to_numpy()
+            i, j = work(b)
             return pd.DataFrame({"a": cls[i], "b": cls[j]})
 
         for b in batches:
@@ -155,13 +256,26 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long").distinct()
 
 
-def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """prints (doc_id, fp) -> doc_id, fp, component_id (the smallest doc_id reachable)."""
-    prints = stash(prints, "simhash")
-    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("cls")), "simhash-classes")
-    roots = connected_components(links(classes, distance))
-    known = classes.join(roots, F.col("cls") == F.col("node"), "left").select("fp", F.coalesce("root", "cls").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable by similarities of `similarity` and more) of every row of docs.
+
+    Keys of over HOT_KEY texts are cut again, by each other key of a text: near copies share most of their keys.
+    """
+    prints = stash(sketches(docs, shingle), "sketches")
+    alike = ["fp", "n", "sketch"]
+    classes = stash(prints.groupBy(*alike).agg(F.min("doc_id").alias("cls"), F.first("keys").alias("keys")), "sketch-classes")
+    rows = classes.select("cls", *alike, "keys", F.explode("keys").alias("key"))
+    size = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    rows = rows.join(size, "key")
+    hot = rows.where(f"m > {HOT_KEY}").withColumn("other", F.explode(F.filter("keys", lambda k: k != F.col("key")))).withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")))
+    rows = rows.where(f"m <= {HOT_KEY}").select("cls", "key", *alike).unionByName(hot.select("cls", "key", *alike).distinct())
+
+    def work(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return similar_pairs(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["n"].to_numpy(), grid(b["sketch"].tolist()), similarity)
+
+    roots = connected_components(by_key(rows, work, alike))
+    known = classes.join(roots, F.col("cls") == F.col("node"), "left").select(*alike, F.coalesce("root", "cls").alias("component_id"))
+    return prints.join(known, alike).select("doc_id", "component_id")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def test_pipeline_by_hand(spark, tmp_path):
         docs.append((2000 + i, " ".join(t)))
         t[r.randrange(len(t))] = "changed"
         docs.append((2100 + i, " ".join(t)))
-    docs += [(3000, None), (3001, ""), (3002, 'the password = "h7Gk29sLqPzX81vB" of ' + docs[5][1])]
+    docs += [(3000, None), (3001, ""), (3002, 'the password = "h7Gk29sLqPzX81vB" of ' + " ".join(docs[5][1].split()[::-1]))]
     df = spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -36,15 +36,7 @@ def test_pipeline_by_hand(spark, tmp_path):
     for d, t in left:
         last[t or ""] = max(last.get(t or "", -1), d)
     left = [(d, t) for d, t in left if last[t or ""] == d]
-    fp = {d: test_simhash.fingerprint(t, corpus_pipeline.SHINGLE) for d, t in left}
-    comp = {d: d for d in fp}
-    ids = sorted(fp)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if (fp[a] ^ fp[b]).bit_count() <= 2 and comp[a] != comp[b]:
-                lo, hi = sorted((comp[a], comp[b]))
-                comp = {k: lo if v == hi else v for k, v in comp.items()}
-    kept = set(comp.values())
+    kept = {c for _, c in test_simhash.groups_by_hand(left)}
     assert len(kept) < len(left)
     clean = {d: t for d, t in left if d in kept}
     assert {x.doc_id for x in got} == kept

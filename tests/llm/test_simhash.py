@@ -83,3 +83,64 @@ def test_links_between_planted_fingerprints(spark):
 
 def test_empty_table(spark):
     assert simhash.simhash_dedup(edge.empty(spark)).collect() == []
+
+
+def shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else {b""}
+
+
+def groups_by_hand(docs, similarity=0.8):
+    sets = [(d, shingles(t)) for d, t in docs]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted((d, least[find(i)]) for i, (d, _) in enumerate(sets))
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_near_groups_against_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(2000)]
+    docs, base = [], [r.choice(words) for _ in range(120)]
+    for i in range(30):
+        t = [r.choice(words) for _ in range(r.randint(10, 150))]
+        docs.append((20_000 + i * 10, " ".join(t)))
+        for k in range(1, 6):  # fewer and more edits than a similarity of 0.8 allows
+            u = list(t)
+            for _ in range(r.randint(0, 4)):
+                u[r.randrange(len(u))] = r.choice(words)
+            docs.append((20_000 + i * 10 + k, " ".join(u)))
+    for k in range(60):  # a large group of near copies of one text
+        u = list(base)
+        u[r.randrange(len(u))] = r.choice(words)
+        docs.append((5000 + k, " ".join(u)))
+    docs += edge.rows() + [(7000, "tiny"), (7001, "TINY"), (7002, " \n ")]
+    got = sorted((x.doc_id, x.component_id) for x in simhash.near_groups(edge.frame(spark, docs)).collect())
+    assert got == groups_by_hand(docs)
+
+
+def test_jaccard_of_sketches():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, m, shared in ((50, 60, 30), (100, 100, 100), (0, 0, 0), (5000, 4000, 3500), (160, 400, 150)):
+        both = r.choice(2**32 - 2, shared + n + m, replace=False).astype("<u4")
+        a, b = np.sort(np.concatenate([both[:shared], both[shared : shared + n - shared]])), np.sort(np.concatenate([both[:shared], both[shared + n : shared + n + m - shared]]))
+        g = simhash.grid([a[: simhash.SKETCH].tobytes(), b[: simhash.SKETCH].tobytes()])
+        got = simhash.jaccard(g[:1], np.array([len(a)]), g[1:], np.array([len(b)]))[0]
+        want = shared / max(1, len(a) + len(b) - shared)
+        assert abs(got - want) < (1e-9 if max(n, m) <= simhash.SKETCH else 0.12)
