@@ -261,21 +261,23 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
 
     Keys of over HOT_KEY texts are cut again, by each other key of a text: near copies share most of their keys.
     """
-    prints = stash(sketches(docs, shingle), "sketches")
+    same = ["k", "fp", "n"]  # texts of one sketch, by its hash beside fingerprint and size
+    prints = stash(sketches(docs, shingle).withColumn("k", F.xxhash64("sketch")), "sketches")
+    classes = stash(prints.groupBy(*same).agg(F.min("doc_id").alias("cls"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sketch-classes")
+    # keys are counted and cut without the sketches, which then go only where two texts meet
+    met = classes.select("cls", "keys", F.explode("keys").alias("key"))
+    met = met.join(met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+    hot = met.where(f"m > {HOT_KEY}").withColumn("other", F.explode(F.filter("keys", lambda k: k != F.col("key")))).select("cls", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
+    met = met.where(f"m <= {HOT_KEY}").select("cls", "key").unionByName(hot)
     alike = ["fp", "n", "sketch"]
-    classes = stash(prints.groupBy(*alike).agg(F.min("doc_id").alias("cls"), F.first("keys").alias("keys")), "sketch-classes")
-    rows = classes.select("cls", *alike, "keys", F.explode("keys").alias("key"))
-    size = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    rows = rows.join(size, "key")
-    hot = rows.where(f"m > {HOT_KEY}").withColumn("other", F.explode(F.filter("keys", lambda k: k != F.col("key")))).withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")))
-    rows = rows.where(f"m <= {HOT_KEY}").select("cls", "key", *alike).unionByName(hot.select("cls", "key", *alike).distinct())
+    rows = met.join(classes.select("cls", *alike), "cls")
 
     def work(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return similar_pairs(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["n"].to_numpy(), grid(b["sketch"].tolist()), similarity)
 
     roots = connected_components(by_key(rows, work, alike))
-    known = classes.join(roots, F.col("cls") == F.col("node"), "left").select(*alike, F.coalesce("root", "cls").alias("component_id"))
-    return prints.join(known, alike).select("doc_id", "component_id")
+    known = classes.join(roots, F.col("cls") == F.col("node"), "left").select(*same, F.coalesce("root", "cls").alias("component_id"))
+    return prints.join(known, same).select("doc_id", "component_id")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
