@@ -110,7 +110,7 @@ def groups_by_hand(docs, similarity=0.8):
     return sorted((d, least[find(i)]) for i, (d, _) in enumerate(sets))
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
+@pytest.mark.parametrize("hot", [4096, 25, 3])
 def test_near_groups_against_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT_KEY", hot)
     r = random.Random(12)
