@@ -36,8 +36,9 @@ DISTANCE = 2
 SHINGLE = 3
 SEED = 42
 HOT_KEY = 4096
-#: Similarity of shingle sets; least hashes on which texts meet, and on which they are compared; bits that near copies differ in at most.
-SIMILARITY, KEYS, SKETCH, BITS = 0.8, 5, 160, 28
+#: Similarity of shingle sets; least hashes on which texts meet, by which hot keys are cut, and on which texts are compared; bits that near
+#: copies differ in at most.
+SIMILARITY, KEYS, CUTS, SKETCH, BITS = 0.8, 8, 16, 160, 28
 #: Reference fingerprints: fixed pseudo-random numbers, the same in every run.
 PIVOTS = np.random.default_rng(20240501).integers(0, 2**64, 12, dtype=np.uint64)
 
@@ -160,7 +161,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 h = hashes(text, shingle)
                 fp, h = fingerprint(h), np.unique(h)
                 least = h[:SKETCH] if len(h) else np.zeros(1, np.uint64)
-                rows.append((doc, fp, len(h), least[:KEYS].view(np.int64).tolist(), (least >> np.uint64(32)).astype("<u4").tobytes()))
+                rows.append((doc, fp, len(h), least[:CUTS].view(np.int64).tolist(), (least >> np.uint64(32)).astype("<u4").tobytes()))
             out = pd.DataFrame(rows, columns=["doc_id", "fp", "n", "keys", "sketch"])
             yield out.assign(fp=out["fp"].to_numpy(np.uint64).view(np.int64))
 
@@ -265,14 +266,14 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     """doc_id, component_id (the smallest doc_id reachable by similarities of `similarity` and more) of every row of docs.
 
     A key of over HOT_KEY texts is cut by bands of their size: a text goes to its own and the next band, and two texts of
-    similar size have one in common, so nothing is lost. What is still larger is cut by each other key of a text; of two
-    texts of similarity 0.8 that meet there, 99 % have another key in common.
+    similar size have one in common, so nothing is lost. What is still larger is cut by each other of the CUTS least
+    hashes of a text; two texts of similarity 0.8 that meet there have none other in common with a chance below 0.01 %.
     """
     same = ["k", "fp", "n"]  # texts of one sketch, by its hash beside fingerprint and size
     prints = stash(sketches(docs, shingle).withColumn("k", F.xxhash64("sketch")), "sketches")
     classes = stash(prints.groupBy(*same).agg(F.min("doc_id").alias("cls"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sketch-classes")
     # keys are counted and cut without the sketches, which then go only where two texts meet
-    met = shared(classes.select("cls", "n", "keys", F.explode("keys").alias("key")))
+    met = shared(classes.select("cls", "n", "keys", F.explode(F.slice("keys", 1, KEYS)).alias("key")))
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.01 / similarity))).cast("int")
     banded = shared(met.where(f"m > {HOT_KEY}").withColumn("band", F.explode(F.array(band, band + 1))).select("cls", "keys", F.col("key").alias("of"), F.xxhash64("key", "band").alias("key")))
     cut = banded.where(f"m > {HOT_KEY}").withColumn("other", F.explode(F.filter("keys", lambda k: k != F.col("of")))).select("cls", F.xxhash64("key", "other").alias("key"))
