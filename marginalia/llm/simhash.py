@@ -12,8 +12,10 @@ the other 32 bits, which leaves at most 2**16 fingerprints to a key. Only links
 
 `near_groups` finds near copies by the similarity of their shingle sets (SIMILARITY and more), of which fingerprints of 64
 bits are too coarse a measure. Texts meet on the KEYS least hashes of their shingles (two texts of similarity 0.8 share
-none with a chance of 0.2 ** KEYS); pivot tables and fingerprints discard pairs, and survivors are verified on
-sketches of the SKETCH least hashes, which hold the whole set of most texts.
+none with a chance of 0.2 ** KEYS); pivot tables and fingerprints discard pairs, and so does the similarity of sketches of
+the SKETCH least hashes. It decides only where both texts have no more shingles than that; else it is an estimate, MARGIN
+is asked of it, and survivors are verified on their whole shingle sets. First a spanning forest of each key is verified;
+where one of its links is refuted, so is every pair of the key's linked texts that the verified links leave apart.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share a class; a doc_id names one text; an empty table
 gives no rows. Only doc_id and text are read, whole.
@@ -39,6 +41,8 @@ HOT_KEY = 4096
 #: Similarity of shingle sets; least hashes on which texts meet, by which hot keys are cut, and on which texts are compared; bits that near
 #: copies differ in at most.
 SIMILARITY, KEYS, CUTS, SKETCH, BITS = 0.8, 8, 16, 160, 28
+#: How far under the similarity asked for an estimate may be: 4.7 standard deviations of one from SKETCH hashes at 0.8.
+MARGIN = 0.15
 #: Reference fingerprints: fixed pseudo-random numbers, the same in every run.
 PIVOTS = np.random.default_rng(20240501).integers(0, 2**64, 12, dtype=np.uint64)
 
@@ -136,10 +140,12 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     hot = hot.withColumn("rest", rest).select("cls", "fp", "t", "k", F.explode(again).alias("y")).select("cls", "fp", "t", "k", "y.s", "y.k2")
     rows = small.select("cls", "fp", "t", "k", "s", "k2").unionByName(hot).select("cls", "fp", F.xxhash64("t", "k", "s", "k2").alias("key"))
 
-    def work(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return near_pairs(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), distance)
+    def work(b: pd.DataFrame) -> pd.DataFrame:
+        cls = b["cls"].to_numpy()
+        i, j = near_pairs(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), distance)
+        return pd.DataFrame({"a": cls[i], "b": cls[j]})
 
-    return by_key(rows, work, ["fp"])
+    return by_key(rows, work, ["fp"], "a long, b long").distinct()
 
 
 def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -152,7 +158,7 @@ def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp, n (distinct shingles), keys (least hashes), sketch (upper halves of the least hashes, ascending)."""
+    """doc_id, fp, n (distinct shingles), k (of the whole set), keys (least hashes), sketch (upper halves of the least hashes, ascending)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -161,13 +167,13 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 h = hashes(text, shingle)
                 fp, h = fingerprint(h), np.unique(h)
                 least = h[:SKETCH] if len(h) else np.zeros(1, np.uint64)
-                rows.append((doc, fp, len(h), least[:CUTS].view(np.int64).tolist(), (least >> np.uint64(32)).astype("<u4").tobytes()))
-            out = pd.DataFrame(rows, columns=["doc_id", "fp", "n", "keys", "sketch"])
-            yield out.assign(fp=out["fp"].to_numpy(np.uint64).view(np.int64))
+                rows.append((doc, fp, len(h), xxhash.xxh64_intdigest(h.tobytes(), SEED), least[:CUTS].view(np.int64).tolist(), (least >> np.uint64(32)).astype("<u4").tobytes()))
+            out = pd.DataFrame(rows, columns=["doc_id", "fp", "n", "k", "keys", "sketch"])
+            yield out.assign(**{c: out[c].to_numpy(np.uint64).view(np.int64) for c in ("fp", "k")})
 
     tune(docs.sparkSession)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select("doc_id").schema)
-    return docs.select("doc_id", "text").mapInPandas(run, f"{schema}, fp long, n int, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInPandas(run, f"{schema}, fp long, n int, k long, keys array<long>, sketch binary")
 
 
 NONE = np.uint32(0xFFFFFFFF)
@@ -190,12 +196,16 @@ def jaccard(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.
     return both / np.maximum(1, inside.sum(axis=1) - both)
 
 
-def similar_pairs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (i, root) among rows of equal key whose sets are similar; rows in any order."""
+def similar_pairs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of equal key whose sets are similar, or may be where a sketch doesn't hold them whole; rows in any order.
+
+    A spanning forest, of likely pairs as far as they go; with apart every pair whose rows differ in it.
+    """
     order = np.lexsort((n, key))
     key, fp, n, sketch = key[order], fp[order], n[order], sketch[order]
     table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int16)
-    root, live, step = np.arange(len(fp)), np.arange(len(fp)), 0
+    root = np.arange(len(fp)) if apart is None else apart[order]
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -203,58 +213,80 @@ def similar_pairs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, sketch: np.nda
             i = root[i]
         return i
 
-    while len(live):
-        step += 1
-        live = live[live + step < len(fp)]
-        # sorted by size, so what is too large now is so from here on
-        live = live[(key[live] == key[live + step]) & (n[live] >= similarity * n[live + step])]
-        i = live[root[live] != root[live + step]]
-        i = i[np.abs(table[i] - table[i + step]).max(axis=1, initial=0) <= BITS]
-        i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= BITS]
-        for at in range(0, len(i), 20_000):
-            a = i[at : at + 20_000]
-            for x in a[jaccard(sketch[a], n[a], sketch[a + step], n[a + step]) >= similarity].tolist():
-                p, q = find(x), find(x + step)
-                root[max(p, q)] = min(p, q)
-        if len(i):
-            while (flat := root[root]).tobytes() != root.tobytes():
-                root = flat
-        if step % 64 == 0 and len(live):  # a key whose rows are all linked has nothing left to find
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            whole = np.minimum.reduceat(root, cut) == np.maximum.reduceat(root, cut)
-            live = live[~np.repeat(whole, np.diff(np.append(cut, len(key))))[live]]
-    moved = np.flatnonzero(root != np.arange(len(root)))
-    return order[moved], order[root[moved]]
+    for margin in (0, MARGIN) if apart is None else (MARGIN,):
+        live, step = np.arange(len(fp)), 0
+        while len(live):
+            step += 1
+            live = live[live + step < len(fp)]
+            # sorted by size, so what is too large now is so from here on
+            live = live[(key[live] == key[live + step]) & (n[live] >= similarity * n[live + step])]
+            i = live[root[live] != root[live + step]]
+            i = i[np.abs(table[i] - table[i + step]).max(axis=1, initial=0) <= BITS]
+            i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= BITS]
+            for at in range(0, len(i), 20_000):
+                a = i[at : at + 20_000]
+                # n grows with the row, so the second set is the larger one
+                x = a[jaccard(sketch[a], n[a], sketch[a + step], n[a + step]) >= similarity - np.where(n[a + step] > SKETCH, margin, 0)]
+                if apart is None:
+                    new = []
+                    for y in x.tolist():
+                        p, q = find(y), find(y + step)
+                        if p != q:
+                            root[max(p, q)] = min(p, q)
+                            new.append(y)
+                    x = np.array(new, np.int64)
+                pairs.append((x, x + step))
+            if len(i) and apart is None:
+                while (flat := root[root]).tobytes() != root.tobytes():
+                    root = flat
+            if step % 64 == 0 and len(live):  # a key whose rows are all linked has nothing left to find
+                cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                whole = np.minimum.reduceat(root, cut) == np.maximum.reduceat(root, cut)
+                live = live[~np.repeat(whole, np.diff(np.append(cut, len(key))))[live]]
+    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    return order[i], order[j]
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """pairs (a, b) of doc_id -> a, b, alike: whether their whole shingle sets are similar. Only texts of pairs are fetched."""
+    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    texts = stash(docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            alike = []
+            for s, t in zip(b["text_a"], b["text_b"], strict=True):
+                x, y = np.unique(hashes(s, shingle)), np.unique(hashes(t, shingle))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(both / max(1, len(x) + len(y) - both) >= similarity)
+            yield b[["a", "b"]].assign(alike=np.array(alike, bool))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long, alike boolean")
 
 
-def by_key(rows: DataFrame, work, columns: list[str]) -> DataFrame:
-    """work(rows of whole keys) -> (i, j), the links (a, b) of their cls; rows are dealt and sorted by key, keys are never cut."""
+def by_key(rows: DataFrame, work, columns: list[str], schema: str) -> DataFrame:
+    """work(rows of whole keys) -> rows of the schema; rows are dealt and sorted by key, keys are never cut."""
     n = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.select("cls", "key", *columns).repartition(n, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
-
-        def done(b: pd.DataFrame) -> pd.DataFrame:
-            cls = b["cls"].to_numpy()
-            i, j = work(b)
-            return pd.DataFrame({"a": cls[i], "b": cls[j]})
-
         for b in batches:
             last = b["key"].iloc[-1] if len(b) else None
             if len(b) and b["key"].iloc[0] != last:  # a key ended in this batch: all before the last key is whole
                 cut = int(np.searchsorted(b["key"].to_numpy(), last))
-                yield done(pd.concat([*rest, b.iloc[:cut]]))
+                yield work(pd.concat([*rest, b.iloc[:cut]]))
                 rest = [b.iloc[cut:]]
             elif len(b):
                 if rest and rest[-1]["key"].iloc[-1] != last:
-                    yield done(pd.concat(rest))
+                    yield work(pd.concat(rest))
                     rest = []
                 rest.append(b)
         if rest:
-            yield done(pd.concat(rest))
+            yield work(pd.concat(rest))
 
-    return rows.mapInPandas(run, "a long, b long").distinct()
+    return rows.mapInPandas(run, schema)
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -269,8 +301,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     similar size have one in common, so nothing is lost. What is still larger is cut by each other of the CUTS least
     hashes of a text; two texts of similarity 0.8 that meet there have none other in common with a chance below 0.01 %.
     """
-    same = ["k", "fp", "n"]  # texts of one sketch, by its hash beside fingerprint and size
-    prints = stash(sketches(docs, shingle).withColumn("k", F.xxhash64("sketch")), "sketches")
+    same = ["k", "fp", "n"]  # texts of one set, by its hash beside fingerprint and size
+    prints = stash(sketches(docs, shingle), "sketches")
     classes = stash(prints.groupBy(*same).agg(F.min("doc_id").alias("cls"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sketch-classes")
     # keys are counted and cut without the sketches, which then go only where two texts meet
     met = shared(classes.select("cls", "n", "keys", F.explode(F.slice("keys", 1, KEYS)).alias("key")))
@@ -278,13 +310,28 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     banded = shared(met.where(f"m > {HOT_KEY}").withColumn("band", F.explode(F.array(band, band + 1))).select("cls", "keys", F.col("key").alias("of"), F.xxhash64("key", "band").alias("key")))
     cut = banded.where(f"m > {HOT_KEY}").withColumn("other", F.explode(F.filter("keys", lambda k: k != F.col("of")))).select("cls", F.xxhash64("key", "other").alias("key"))
     met = met.where(f"m <= {HOT_KEY}").select("cls", "key").unionByName(banded.where(f"m <= {HOT_KEY}").select("cls", "key")).unionByName(shared(cut).select("cls", "key"))
-    alike = ["fp", "n", "sketch"]
-    rows = met.join(classes.select("cls", *alike), "cls")
-
-    def work(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return similar_pairs(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["n"].to_numpy(), grid(b["sketch"].tolist()), similarity)
-
-    roots = connected_components(by_key(rows, work, alike))
+    held = ["fp", "n", "sketch"]
+
+    def work(b: pd.DataFrame) -> pd.DataFrame:
+        cls, key, n = (b[c].to_numpy() for c in ("cls", "key", "n"))
+        apart = b["root"].to_numpy() if "root" in b else None
+        i, j = similar_pairs(key, b["fp"].to_numpy().view(np.uint64), n, grid(b["sketch"].tolist()), similarity, apart)
+        return pd.DataFrame({"key": key[i], "a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j]), "whole": np.maximum(n[i], n[j]) <= SKETCH})
+
+    schema = "key long, a long, b long, whole boolean"
+    forest = stash(by_key(met.join(classes.select("cls", *held), "cls"), work, held, schema), "forest")
+    checked = stash(verified(forest.where("not whole").select("a", "b").distinct(), docs, shingle, similarity), "checked")
+    sure = forest.where("whole").select("a", "b").unionByName(checked.where("alike").select("a", "b")).distinct()
+    roots = connected_components(sure)
+    refuted = checked.where("not alike").select("a", "b")
+    if not refuted.isEmpty():
+        # where a link of a key's forest fails, the texts it held together may be linked by others
+        keys = forest.where("not whole").join(refuted, ["a", "b"]).select("key").distinct()
+        left = forest.join(keys, "key").select("key", F.explode(F.array("a", "b")).alias("cls")).distinct()
+        left = left.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+        more = stash(by_key(left.join(classes.select("cls", *held), "cls"), work, [*held, "root"], schema).select("a", "b", "whole").distinct(), "more-pairs")
+        again = verified(more.where("not whole").select("a", "b").join(refuted, ["a", "b"], "left_anti"), docs, shingle, similarity)
+        roots = connected_components(sure.unionByName(more.where("whole").select("a", "b")).unionByName(again.where("alike").select("a", "b")))
     known = classes.join(roots, F.col("cls") == F.col("node"), "left").select(*same, F.coalesce("root", "cls").alias("component_id"))
     return prints.join(known, same).select("doc_id", "component_id")
 

@@ -144,3 +144,37 @@ def test_jaccard_of_sketches():
         got = simhash.jaccard(g[:1], np.array([len(a)]), g[1:], np.array([len(b)]))[0]
         want = shared / max(1, len(a) + len(b) - shared)
         assert abs(got - want) < (1e-9 if max(n, m) <= simhash.SKETCH else 0.12)
+
+
+def test_near_groups_of_long_texts(spark):
+    """Texts of 200 to 2,000 words, longer than a sketch, on both sides of the similarity asked for."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for i in range(60):
+        t = [r.choice(words) for _ in range(r.randint(200, 2000))]
+        docs.append((10_000 + i * 10, " ".join(t)))
+        for k in range(1, 5):  # an edit touches five shingles, so similarities are 0.75 to 0.85
+            u = list(t)
+            for at in r.sample(range(len(u)), round(len(u) * r.uniform(0.018, 0.03))):
+                u[at] = "new" + r.choice(words)
+            docs.append((10_000 + i * 10 + k, " ".join(u)))
+    got = sorted((x.doc_id, x.component_id) for x in simhash.near_groups(edge.frame(spark, docs)).collect())
+    want = groups_by_hand(docs)
+    assert got == want and len(docs) > len({c for _, c in want}) > 60
+
+
+def test_refuted_links_give_way_to_others(spark, monkeypatch):
+    """With a margin that lets every pair through, forests hold many false links, and nothing else may change."""
+    monkeypatch.setattr(simhash, "MARGIN", 0.6)
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    base = [r.choice(words) for _ in range(400)]
+    docs = []
+    for i in range(80):
+        u = list(base)
+        for at in r.sample(range(len(u)), r.randint(2, 14)):
+            u[at] = "new" + r.choice(words)
+        docs.append((i, " ".join(u)))
+    got = sorted((x.doc_id, x.component_id) for x in simhash.near_groups(edge.frame(spark, docs)).collect())
+    assert got == groups_by_hand(docs)
