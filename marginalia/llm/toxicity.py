@@ -8,7 +8,7 @@ The layer is fitted on ratios that the models of the other half of the sample gi
 
 Training rows: labelled documents whose crc32(doc_id as text) mod 5 is not 0, of each class the `max_rows` distinct
 texts with the smallest hashes (a documented bound; all of them where there are fewer). Labels, lang, source and doc_id
-are never inputs of a score. Scoring reads every whole text.
+are never inputs of a score. Scoring reads every whole text, and long runs without white space in overlapping parts.
 
 Null and empty texts score as texts without evidence. Labels that are null are not used; without labels of both
 classes every score is 0. Repeated rows get equal scores; an empty table gives no rows.
@@ -33,7 +33,8 @@ DISCOUNT = 0.75
 WINDOW = 24
 STRONG = 3.0
 CACHE = 600_000
-#: A word is what stands between white space, without marks at its ends; only its first and last bytes matter if it is long.
+#: A word is what stands between white space, without marks at its ends. A run of over LONGEST characters counts as words
+#: of that length that overlap by half, so all of it is read, and an expression of up to half the length stands whole in one.
 EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 LONGEST = 40
 JUMP = 18
@@ -41,12 +42,16 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    ws = (text or "").lower().split()
+    if max(map(len, ws), default=0) <= LONGEST:
+        return ws
+    half = LONGEST // 2
+    return [w[i : i + LONGEST] for w in ws for i in range(0, max(1, len(w) - half), half)]
 
 
 def _bytes(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All words as one byte sequence, each between a 1 and a 2, and the number of its word for each byte."""
-    raw = [b"\1" + w.strip(EDGE).encode("utf-8", "surrogatepass")[:LONGEST] + b"\2" for w in vocabulary]
+    raw = [b"\1" + w.strip(EDGE).encode("utf-8", "surrogatepass") + b"\2" for w in vocabulary]
     lens = np.fromiter(map(len, raw), np.int64, len(raw))
     return np.frombuffer(b"".join(raw), np.uint8), np.repeat(np.arange(len(raw)), lens)
 

@@ -54,3 +54,39 @@ def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(edge.frame(spark, docs[:5]), none).collect()} == {0.0}
     assert toxicity.score(edge.empty(spark), lab).collect() == []
+
+
+def test_parts_of_long_runs_cover_them():
+    for n in (1, 39, 40, 41, 59, 60, 61, 80, 81, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = toxicity.words("ab " + run + " cd")[1:-1]
+        assert max(map(len, parts)) <= 40 and set("".join(parts)) == set(run)
+        assert all(any(run[i : i + 20] in p for p in parts) for i in range(n))
+
+
+def test_expression_late_in_a_long_run():
+    docs, labels = corpus()
+    scorer = toxicity.train([t for _, t in docs], [y for _, y in labels])
+    clean = [t.split() for (_, t), (_, y) in zip(docs, labels, strict=True) if not y and len(t) > 600][:20]
+    for glue in ("_", ","):
+        runs = [glue.join(t) for t in clean]
+        bad = [glue.join([*t, "grobian", "stinkers", "dullard", *t[:2]]) for t in clean]
+        low, high = scorer.scores(runs), scorer.scores(bad)
+        assert (high > low).all() and high.mean() > 0.5 > low.mean()
+
+
+def test_text_without_spaces(spark):
+    r = random.Random(7)
+    signs, bad = [chr(0x4E00 + i) for i in range(300)], ["\u9b31\u9b32\u9b33", "\u9e1f\u9e20\u9e21\u9e22"]
+    docs, labels = [], []
+    for i in range(400):
+        t = [r.choice(signs) for _ in range(r.randint(100, 300))]
+        toxic = int(i % 3 == 0)
+        if toxic:
+            t[r.randrange(60, len(t))] = r.choice(bad)
+        docs.append((i, "".join(t)))
+        labels.append((i, toxic))
+    got = toxicity.score(edge.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    want = dict(labels)
+    held = [x.predicted == want[x.doc_id] for x in got if x.held_out]
+    assert sum(held) / len(held) > 0.95
