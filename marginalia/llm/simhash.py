@@ -164,8 +164,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                h = hashes(text, shingle)
-                fp, h = fingerprint(h), np.unique(h)
+                h = np.unique(hashes(text, shingle))
+                fp = fingerprint(h)  # of the set, as the similarity is
                 least = h[:SKETCH] if len(h) else np.zeros(1, np.uint64)
                 rows.append((doc, fp, len(h), xxhash.xxh64_intdigest(h.tobytes(), SEED), least[:CUTS].view(np.int64).tolist(), (least >> np.uint64(32)).astype("<u4").tobytes()))
             out = pd.DataFrame(rows, columns=["doc_id", "fp", "n", "k", "keys", "sketch"])

@@ -178,3 +178,15 @@ def test_refuted_links_give_way_to_others(spark, monkeypatch):
         docs.append((i, " ".join(u)))
     got = sorted((x.doc_id, x.component_id) for x in simhash.near_groups(edge.frame(spark, docs)).collect())
     assert got == groups_by_hand(docs)
+
+
+def test_repeated_lines_do_not_part_equal_sets(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for i in range(120):
+        t = " ".join(r.choice(words) for _ in range(r.randint(150, 400)))
+        line = " ".join(r.choice(words) for _ in range(6))
+        docs += [(1000 + 2 * i, f"{t} {line}"), (1001 + 2 * i, f"{t} " + " ".join([line] * 1000))]
+    got = sorted((x.doc_id, x.component_id) for x in simhash.near_groups(edge.frame(spark, docs)).collect())
+    assert got == [(d, d - d % 2) for d, _ in docs]
