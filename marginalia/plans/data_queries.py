@@ -223,6 +223,25 @@ def export_json(spark, sf_dir):
     return sinks.document_json(inline(spark, XML_DOCS), inline(spark, XML_MENTIONS).drop("inst").withColumn("type", F.lit("M")))
 
 
+def document_mentions(spark, sf_dir):
+    from marginalia.plans.text_queries import mentions
+
+    return mentions(spark, sf_dir).select("doc_id", "start", "stop", F.col("norm").alias("inst")).distinct()
+
+
+@query()
+def export_inline_xml_documents(spark, sf_dir):
+    """The dictionary matches of each document in its text; no SQL, tested by hand."""
+    return sinks.inline_xml(table(spark, sf_dir, "documents").select("doc_id", "text"), document_mentions(spark, sf_dir))
+
+
+@query()
+def export_json_documents(spark, sf_dir):
+    """The dictionary matches of each document by the first letter of their entry; no SQL, tested by hand."""
+    m = document_mentions(spark, sf_dir).select("doc_id", "start", "stop", F.substring("inst", 1, 1).alias("type"))
+    return sinks.document_json(table(spark, sf_dir, "documents").select("doc_id", "text"), m)
+
+
 @query("SELECT '<table><caption>T</caption><tr><td>1</td><td>2</td><td>correct</td></tr><tr><td></td><td>3</td><td>spurious</td></tr></table>' AS html")
 def export_difference_html(spark, sf_dir):
     o = inline(spark, "(VALUES ('T', 1, 1, 2, 'correct'), ('T', 1, NULL, 3, 'spurious')) AS t(type, doc_id, key_id, response_id, outcome)")

@@ -81,6 +81,21 @@ def pair_related_filter(spark, sf_dir):
     return C.related_pairs(pairs, inline(spark, PAIR_CANDS), inline(spark, PAIR_EDGES))
 
 
+@query("""WITH p AS (SELECT o_orderkey AS doc_id, o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+  a AS (SELECT doc_id, 1 AS mention_id, 'c' || (c + x) AS inst FROM p, (VALUES (0), (1)) AS v(x)), b AS (SELECT doc_id, 2 AS mention_id, 's' || (s + x) AS inst FROM p, (VALUES (0), (1)) AS v(x)),
+  e AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber > 1),
+  l AS (SELECT a.doc_id, src, dst FROM a JOIN e ON src = a.inst JOIN b ON b.doc_id = a.doc_id AND dst = b.inst), g AS (SELECT doc_id, 1 AS mention_id, src AS inst FROM l UNION SELECT doc_id, 2, dst FROM l)
+  SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) AS k WHERE doc_id NOT IN (SELECT doc_id FROM g) OR EXISTS (SELECT 1 FROM g WHERE g.doc_id = k.doc_id AND g.mention_id = k.mention_id AND g.inst = k.inst)""")
+def pair_related_edges(spark, sf_dir):
+    """An order's customer and first supplier as a pair, two candidates each; the links are those of the other lines."""
+    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    p = j.where("l_linenumber = 1").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s"))
+    two = lambda i, c: p.select("doc_id", F.lit(i).alias("mention_id"), F.explode(F.array(F.col(c), F.col(c) + 1)).alias("k")).select("doc_id", "mention_id", F.concat(F.lit(c), F.col("k").cast("string")).alias("inst"))
+    edges = j.where("l_linenumber > 1").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+    pairs = p.select("doc_id", F.lit(1).alias("first_id"), F.lit(2).alias("second_id"))
+    return C.related_pairs(pairs, two(1, "c").unionByName(two(2, "s")), edges)
+
+
 SHORT = "(VALUES (1, 'The United Nations (UN) and the World Health Organization (WHO), later WHO'), (2, 'Bank of England (BOE) (X) none (YZ)'), (3, 'Red Green (AB)')) AS t(doc_id, text)"
 
 
@@ -131,6 +146,23 @@ def prefix_the_reduce(spark, sf_dir):
     return C.reduce_the(inline(spark, THE_CANDS), C.the_prefixed(inline(spark, THE_MENTIONS)))
 
 
+@query(f"""WITH {TOKENS}, p AS (SELECT doc_id, string, lead(string) OVER d AS gap, lead(string, 2) OVER d AS w, lead(kind, 2) OVER d AS k FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY tok_no))
+  SELECT doc_id, CAST(sum(CASE WHEN length(w) % 2 = 0 THEN 1 ELSE 3 END) AS BIGINT) AS n, CAST(sum(CASE WHEN length(w) % 2 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS mentions FROM p WHERE string IN ('The', 'the') AND gap = ' ' AND k = 'word' GROUP BY doc_id""")
+def prefix_the_reduce_documents(spark, sf_dir):
+    """'the X' has the insts X and the X; X has another one and, where its length is even, X."""
+    from marginalia.operators.tokens import tokenize
+
+    d = Window.partitionBy("doc_id").orderBy("tok_no")
+    t = tokenize(table(spark, sf_dir, "documents"))
+    t = t.withColumns({"gap": F.lead("string").over(d), "w": F.lead("string", 2).over(d), "k": F.lead("kind", 2).over(d), "z": F.lead("stop", 2).over(d)}).where("string in ('The', 'the') and gap = ' ' and k = 'word'")
+    outer = t.select("doc_id", (F.col("start") * 2).alias("mention_id"), "start", F.col("z").alias("stop"), F.concat_ws(" ", "string", "w").alias("string"), F.array("w", F.concat(F.lit("the "), "w")).alias("i"))
+    other = F.concat(F.lit("other "), "w")
+    inner = t.select("doc_id", ((F.col("stop") + 1) * 2 + 1).alias("mention_id"), (F.col("stop") + 1).alias("start"), F.col("z").alias("stop"), F.col("w").alias("string"), F.when(F.length("w") % 2 == 0, F.array(other, "w")).otherwise(F.array(other)).alias("i"))
+    m = outer.unionByName(inner)
+    left = C.reduce_the(m.select("doc_id", "mention_id", F.explode("i").alias("inst")), C.the_prefixed(m.drop("i")))
+    return left.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("mention_id").alias("mentions"))
+
+
 OWNERS = "(VALUES (1, 1, 0, 7, 'Anna''s'), (1, 2, 0, 4, 'Anna'), (1, 3, 9, 12, 'Bob')) AS t(doc_id, mention_id, start, stop, string)"
 OWNER_CANDS = "(VALUES (1, 1, 'annas', 'Anna''s', 1), (1, 2, 'anna', 'Anna', 2), (1, 3, 'bob', 'Bob', 3)) AS t(doc_id, mention_id, inst, label, freq)"
 

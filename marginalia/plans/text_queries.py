@@ -372,13 +372,29 @@ CONCEPTS = "(VALUES ('FEVER'), ('COUGH'), ('ASTHMA'), ('PAIN'), ('STROKE')) AS t
 @query("""SELECT * FROM (VALUES (1, 'FEVER', 'Negated', 'Recent', 'Patient'), (1, 'COUGH', 'Affirmed', 'Recent', 'Patient'), (2, 'ASTHMA', 'Affirmed', 'Recent', 'Other'), (3, 'PAIN', 'Negated', 'Recent', 'Patient'), (3, 'PAIN', 'Affirmed', 'Recent', 'Patient'),
   (4, 'COUGH', 'Affirmed', 'Recent', 'Patient'), (5, 'STROKE', 'Affirmed', 'historical', 'Patient')) AS t(doc_id, norm, negation, temporality, experiencer)""")
 def context_negation(spark, sf_dir):
-    t = tokens.sentence_numbers(tokens.tokenize(inline(spark, NOTES)))
+    con = tag_context(spark, tokens.tokenize(inline(spark, NOTES)), inline(spark, TRIGGERS), inline(spark, CONCEPTS), 1)
+    return con.select("doc_id", "norm", "negation", "temporality", "experiencer")
+
+
+def tag_context(spark, toks, triggers, concepts, longest):
+    t = tokens.sentence_numbers(toks)
     s = t.groupBy("doc_id", "sent_no").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     in_sentence = lambda df: spans.span_join(df, s.select("doc_id", "start", "stop", "sent_no"), "within").withColumnRenamed("b_sent_no", "sent_no").drop("b_start", "b_stop")
-    trig = in_sentence(gazetteer.match(t, inline(spark, TRIGGERS), 3, longest_only=False)).drop("norm")
+    trig = in_sentence(gazetteer.match(t, triggers, 3, longest_only=False)).drop("norm")
     ends = in_sentence(gazetteer.match(t, inline(spark, "(VALUES ('BUT'), ('HOWEVER')) AS t(norm)"), 1)).drop("norm")
-    con = in_sentence(gazetteer.match(t, inline(spark, CONCEPTS), 1)).withColumn("ann_id", F.col("start"))
-    return negation.tag(con, trig, ends, s.select("doc_id", "sent_no", "stop")).select("doc_id", "norm", "negation", "temporality", "experiencer")
+    con = in_sentence(gazetteer.match(t, concepts, longest)).withColumn("ann_id", F.col("start"))
+    return negation.tag(con, trig, ends, s.select("doc_id", "sent_no", "stop"))
+
+
+NEGATIONS = "(VALUES ('NO', 'negation', 'Negated', false), ('NOT', 'negation', 'Negated', false), ('WITHOUT', 'negation', 'Negated', false), ('NEVER', 'negation', 'Negated', false)) AS t(norm, kind, value, pseudo)"
+
+
+@query()
+def context_negation_documents(spark, sf_dir):
+    """Dictionary matches of the documents after no, not, without and never; no SQL, tested against a scan by hand."""
+    norms = dictionary(spark, sf_dir).select("norm").distinct()
+    con = tag_context(spark, tokens.tokenize(documents(spark, sf_dir)), inline(spark, NEGATIONS), norms, 3)
+    return con.groupBy("doc_id", "negation").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
 @query(f"""WITH {TOKENS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tok_no) AS i FROM seen), f AS (SELECT doc_id, i, string FROM n WHERE lower(string) IN ('no', 'not', 'nicht', 'sans')),
