@@ -5,6 +5,7 @@ so the ids of a text are those of its units in order. A unit of Latin letters wi
 straight to the library's BPE model; any other goes through the whole library tokenizer. (`tests/llm` checks the ids
 against the library on whole texts.) Where the same vocabulary also lies there as ranks, a text of plain characters
 only is encoded by those at once, after a check that both files agree: the ids are the same, and take less time.
+A text that holds the literal of a special token goes through the library whole, which gives that token's own id.
 """
 
 from __future__ import annotations
@@ -65,7 +66,9 @@ class UnitTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        literals = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
+        #: In any case, as a normalizer may lower it; the library decides.
+        self.special = re.compile("|".join(map(re.escape, literals)), re.I) if literals else None
         self.model, self.chars = self.tok.model, _byte_chars()
         self.byte_level, self.limit = byte_level, cache
         ranks = path.removesuffix(".json") + ".tiktoken"
@@ -105,6 +108,8 @@ class UnitTokenizer:
     def ids(self, text: str | None) -> np.ndarray:
         """uint16 ids of the text (both vocabularies are below 65,536)."""
         text = text or ""
+        if self.special and self.special.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint16)
         if self.ranked and self.SAFE.fullmatch(text):
             return np.array(self.ranked.encode_ordinary(text), np.uint16)
         if len(self.cache) + len(self.spaced) > self.limit:
@@ -113,7 +118,7 @@ class UnitTokenizer:
         if not self.byte_level:
             return np.frombuffer(self._look(text.split() if not self.ODD.search(text) else [u for u in text.split(" ") if u], self.cache), "<u2")
         lines = [line.split(" ") for line in text.split("\n")]
-        if len(text.split()) == sum(map(len, lines)):  # only single spaces and line ends, each between two words
+        if text.split() == [w for line in lines for w in line]:  # only single spaces and line ends, each between two words
             newline = self._look(["\n"], self.cache)
             return np.frombuffer(newline.join([self._look(w[:1], self.cache) + self._look(w[1:], self.spaced, " ") for w in lines]), "<u2")
         units, now = [], ""

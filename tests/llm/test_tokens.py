@@ -7,17 +7,16 @@ from tokenizers import Tokenizer
 
 from marginalia.llm.tokens import UnitTokenizer, tokenizer_path
 
-PIECES = ["the", "Éçeau", "naïve", "x" * 30, "12345", "3.14", "don't", "'s", "...", "!?", "\n", "\n\n", "\t", "  ", " ", "日本語", "🙂👍🏽", "a_b", "A.B.", " ", "\x1c", "\x85", "<|endoftext|>", "ſß", "é", "\r\n", "word.", "Ωmega", " ", "１２"]
+PIECES = ["the", "Éçeau", "naïve", "x" * 30, "12345", "3.14", "don't", "'s", "...", "!?", "\n", "\n\n", "\t", "  ", " ", "日本語", "🙂👍🏽", "a_b", "A.B.", " ", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endo", "ftext|>", "<|endoftext|> ", "ſß", "é", "\r\n", "word.", "Ωmega", " ", "１２"]
 
 
 @pytest.mark.parametrize("name,byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_ids_are_the_library_s(name, byte_level):
     lib = Tokenizer.from_file(tokenizer_path(name))
-    lib.encode_special_tokens = True
     unit = UnitTokenizer(tokenizer_path(name), byte_level, cache=50)
     r = random.Random(3)
     texts = ["", " ", "\n", *PIECES]
-    for _ in range(400):
+    for _ in range(3000):
         sep = r.choice(["", " ", " ", "\n"])
         texts.append(sep.join(r.choice(PIECES) for _ in range(r.randint(1, 40))))
     for t in texts:
@@ -25,9 +24,13 @@ def test_ids_are_the_library_s(name, byte_level):
     assert unit.ids(None).tolist() == []
 
 
+@pytest.mark.parametrize("name,byte_level,want", [("byte_bpe_50k.json", True, [64, 220, 50256, 275]), ("word_bpe_49k.json", False, [320, 49407, 321])])
+def test_special_tokens_keep_their_ids(name, byte_level, want):
+    assert UnitTokenizer(tokenizer_path(name), byte_level).ids("a <|endoftext|> b").tolist() == want
+
+
 def test_plain_texts_by_ranks():
     lib = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     unit = UnitTokenizer(tokenizer_path("byte_bpe_50k.json"), True)
     assert unit.ranked is not None
     r = random.Random(9)
