@@ -76,11 +76,12 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return h[m], first, last, m
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first depth symbols (at least), and ranks by them. data: small integers.
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Suffixes in order. data: small integers.
 
     Larsson and Sadakane's refinement: sorted by the first symbols, then each group of equals by the rank of the
-    suffix as far on, doubling; groups of one are never touched again.
+    suffix as far on, doubling; groups of one are never touched again. Equals are refined to the end: the bound of
+    `common_prefixes` needs whole suffixes in order.
     """
     n = len(data)
     pad = np.concatenate([data.astype(np.uint64), np.zeros(FIRST, np.uint64)])
@@ -94,7 +95,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(n, np.int64)
     rank[sa] = group
     h = FIRST
-    while h < depth:
+    while True:
         at = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(at):
             break
@@ -110,7 +111,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         group[at] = np.repeat(at[place], np.diff(np.append(place, len(at))))
         rank[sa[at]] = group[at]
         h *= 2
-    return sa, rank
+    return sa
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, ends: np.ndarray, limit: int) -> np.ndarray:
@@ -166,7 +167,7 @@ def repeated_starts(runs: list[bytes], starts: np.ndarray, length: int = LENGTH)
     inside = np.ones(total, bool)
     inside[begin + lens] = False
     data[inside] = flat.astype(np.uint16) + 1
-    sa, _ = suffix_array(data, length)
+    sa = suffix_array(data)
     window = np.concatenate([np.arange(b, b + s) for b, s in zip(begin, starts, strict=True)]) if len(runs) else np.zeros(0, np.int64)
     valid = np.zeros(total, bool)
     valid[window] = True

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from marginalia.llm import suffix_dedup
+from tests.llm import edge
 
 
 def brute(docs, length):
@@ -47,5 +48,23 @@ def test_hot_anchor_is_split_and_merged(spark, monkeypatch):
     assert sorted(tuple(r) for r in suffix_dedup.suffix_dedup(df).collect()) == brute(docs, suffix_dedup.LENGTH)
 
 
+def test_many_rows_of_one_hot_run(spark, monkeypatch):
+    """A passage in 1,000 texts: most times in equal surroundings, in others in surroundings of its own."""
+    monkeypatch.setattr(suffix_dedup, "HOT_ANCHOR", 40)
+    r = random.Random(8)
+    text = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    passage, around = text(170), text(300)
+    docs = [(i, text(30) + around + passage + around + text(30)) for i in range(800)]
+    docs += [(800 + i, text(r.randint(40, 300)) + around[r.randint(0, 300) :] + passage + around[: r.randint(0, 300)] + text(100)) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(x) for x in suffix_dedup.suffix_dedup(df).collect()) == brute(docs, suffix_dedup.LENGTH)
+
+
+@pytest.mark.parametrize("rows", [edge.rows(), [(1, "a" * 400), (1, "b" * 400), (1, "a" * 400)]])
+def test_edges(spark, rows):
+    got = sorted(tuple(x) for x in suffix_dedup.suffix_dedup(edge.frame(spark, rows)).collect())
+    assert got == brute(rows, suffix_dedup.LENGTH)
+
+
 def test_empty_table(spark):
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
