@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from marginalia.model import settle
 
-#: Rows of one Arrow batch to a Python worker; texts may be long, so fewer than Spark's own 10,000.
-ARROW_ROWS = 1000
-#: At most 2**MAX_BITS buckets per part in `positions`; this bounds what it broadcasts.
-MAX_BITS = 12
+#: Rows and bytes of one Arrow batch to a Python worker, at most; texts may be long. (A row larger than that goes alone.)
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+#: At most 2**MAX_BITS buckets per part in `positions`: one window sums up their totals.
+MAX_BITS = 22
 
 
 @functools.lru_cache(maxsize=1)
@@ -24,8 +24,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+    return folder or _own_dir()
 
 
 def tune(spark: SparkSession) -> None:
@@ -33,6 +36,7 @@ def tune(spark: SparkSession) -> None:
     settle(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -53,16 +57,28 @@ def unstash(df: DataFrame) -> None:
     """Delete what `stash` wrote, once nothing reads it any more."""
     path = getattr(df, "_stash_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as make it differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bits_for(rows: int, parts: int = 1, per_bucket: int = 20_000) -> int:
+def bits_for(rows: int, parts: int = 1, per_bucket: int = 4_000) -> int:
     """Bits of the bucket number that keep a bucket of one part near per_bucket rows."""
     return max(0, min(MAX_BITS, math.ceil(math.log2(max(1, rows / max(1, parts) / per_bucket)))))
 
@@ -71,7 +87,8 @@ def positions(df: DataFrame, part: list[str], hashed: Column, ties: list, bits:
     """Add out: how much weight (rows, by default) stands before a row in its part, ordered by `hashed`, then ties.
 
     Two levels: rows are bucketed by the top bits of the hash, the buckets' totals (at most parts x 2**bits rows)
-    are summed up in order and broadcast, and a window numbers the rows inside each bucket. No window holds a whole part.
+    are summed up in order, and a window numbers the rows inside each bucket; it is dealt as the join with the totals is.
+    No window holds a whole part. Names that begin with "_" and the name of out are taken: df must not have them.
     """
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
     keyed = df.withColumn("_h", hashed).withColumn("_b", F.shiftrightunsigned(F.col("_h"), 64 - bits).cast("int") if bits else F.lit(0)).withColumn("_w", w)
@@ -79,7 +96,7 @@ def positions(df: DataFrame, part: list[str], hashed: Column, ties: list, bits:
     before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)], F.col("_b").alias("_pb"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
     on = [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(part)] + [F.col("_b") == F.col("_pb")]
-    joined = keyed.join(F.broadcast(totals), functools.reduce(lambda a, b: a & b, on))
+    joined = keyed.join(totals, functools.reduce(lambda a, b: a & b, on))
     inside = Window.partitionBy(*part, "_b").orderBy("_h", *ties).rowsBetween(Window.unboundedPreceding, -1)
     pos = F.col("_before") + F.coalesce(F.sum("_w").over(inside), F.lit(0))
     return joined.withColumn(out, pos.cast("long")).drop("_h", "_b", "_w", "_pb", "_before", *[f"_p{i}" for i in range(len(part))])

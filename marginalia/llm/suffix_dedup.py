@@ -8,8 +8,10 @@
    are equal in (rh) repeats them whole. Both need no suffix array.
 3. The other anchors' distinct runs go to shards by anchor hash, hot anchors to several shards. In a shard a suffix
    array is refined by Larsson-Sadakane doubling in numpy, Kasai's common prefixes mark windows that repeat in the
-   shard, and shards that share a hot anchor are merged: the windows of each, in sorted order of their digests,
-   are searched for in the others' by binary search, range by range, so no shard is gathered whole.
+   shard, and shards that share a hot anchor are merged: the windows of each, as sorted digests of their bytes,
+   are searched for in the others' by binary search, range by range. An anchor has as many ranges as shards, so
+   neither a shard nor a range grows with the anchor.
+   What is found comes back as one row for each distinct run, and only runs that stand once are asked about.
 
 Hashes of 64 bits stand for bytes only together with an equal anchor hash. Windows never cross documents. Repeated
 rows are copies of each other; an empty table gives no rows. Only doc_id and text are read, whole.
@@ -26,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import stash, tune
+from marginalia.llm.common import stash, tune, unstash
 
 LENGTH, GRAM = 200, 64
-#: Rows of one anchor in one shard at most; more are dealt to several shards, whose windows are merged in RANGES ranges.
-HOT_ANCHOR, RANGES = 512, 64
+#: Rows of one anchor in one shard at most (on average); more are dealt to several shards.
+HOT_ANCHOR = 512
 #: Symbols of 9 bits in one 64-bit key; distance of the positions whose common prefixes are compared in full.
 FIRST, STRIDE = 7, 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -154,11 +156,8 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, ends: np.ndarray, limit: i
     return got[sa]
 
 
-def repeated_starts(runs: list[bytes], starts: np.ndarray, length: int = LENGTH) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For distinct runs (bytes; windows start at 0 to starts[i] - 1 in run i): flags of windows that start twice in the shard.
-
-    Also the order of all windows in the suffix array and the numbers of their classes, for merging with other shards.
-    """
+def repeated_starts(runs: list[bytes], starts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For distinct runs (bytes; windows start at 0 to starts[i] - 1 in run i): flags of windows that start twice in the shard."""
     lens = np.fromiter(map(len, runs), np.int64, len(runs))
     total = int(lens.sum()) + len(runs)
     data = np.zeros(total, np.uint16)
@@ -179,8 +178,7 @@ def repeated_starts(runs: list[bytes], starts: np.ndarray, length: int = LENGTH)
     twice = same | np.append(same[1:], False)
     mark = np.zeros(total, bool)
     mark[order[twice]] = True
-    classes = np.cumsum(~same)
-    return [mark[b : b + s] for b, s in zip(begin, starts, strict=True)], order, classes
+    return [mark[b : b + s] for b, s in zip(begin, starts, strict=True)]
 
 
 def _intervals(flags: np.ndarray) -> np.ndarray:
@@ -211,26 +209,28 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 
 def _shards(runs: DataFrame, length: int) -> DataFrame:
-    """runs (h, rh, bucket, shard, run, n_starts), grouped by (bucket) -> h, rh, shard, flags, digests of open windows of hot anchors."""
+    """runs (h, rh, bucket, run, n_starts) -> h, rh, starts (binary): windows that start twice in their shard."""
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
-        blobs = [bytes(x) for x in g["run"]]
-        flags, _, _ = repeated_starts(blobs, g["n_starts"].to_numpy(), length)
-        return pd.DataFrame({"h": g["h"], "rh": g["rh"], "starts": [_intervals(f).tobytes() for f in flags]})
+        flags = repeated_starts([bytes(x) for x in g["run"]], g["n_starts"].to_numpy(), length)
+        out = pd.DataFrame({"h": g["h"], "rh": g["rh"], "starts": [_intervals(f).tobytes() for f in flags]})
+        return out[out["starts"].str.len() > 0]
 
     return runs.groupBy("bucket").applyInPandas(work, "h long, rh long, starts binary")
 
 
-def _merge(runs: DataFrame, length: int, shards: int) -> DataFrame:
-    """Windows of hot anchors that start in two shards: h, rh, starts (binary).
+def _merge(runs: DataFrame, length: int) -> DataFrame:
+    """Windows of hot anchors (parts: in how many shards) that start twice anywhere: h, rh, starts (binary).
 
     Each shard sends, for each range of digests, one sorted block of its windows' digests; blocks of one anchor and
     range meet in a task, where each is searched for the others' digests by binary search.
     """
+    nothing = {"h": pd.Series(dtype="int64"), "rh": pd.Series(dtype="int64"), "starts": pd.Series(dtype=object)}
 
     def emit(g: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for h, part in g.groupby("h"):
+            bits = int(part["parts"].iloc[0] - 1).bit_length()  # at least as many ranges as shards
             dig, rh, at = [], [], []
             for r, run, n in zip(part["rh"], part["run"], part["n_starts"], strict=True):
                 view = memoryview(bytes(run))
@@ -240,75 +240,83 @@ def _merge(runs: DataFrame, length: int, shards: int) -> DataFrame:
             d, rh_, at_ = np.concatenate(dig), np.concatenate(rh), np.concatenate(at)
             order = np.argsort(d, kind="stable")
             d, rh_, at_ = d[order], rh_[order], at_[order]
-            edge = np.searchsorted(d >> np.uint64(58), np.arange(RANGES + 1))
-            for k in range(RANGES):
-                s, e = edge[k], edge[k + 1]
-                if e > s:
-                    rows.append((h, k, d[s:e].tobytes(), rh_[s:e].tobytes(), at_[s:e].tobytes()))
+            k = (d >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(d), np.int64)
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            for s, e in zip(first.tolist(), [*first[1:].tolist(), len(d)], strict=True):
+                rows.append((h, k[s], d[s:e].tobytes(), rh_[s:e].tobytes(), at_[s:e].tobytes()))
         return pd.DataFrame(rows, columns=["h", "k", "d", "r", "a"])
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
-        blocks = [np.frombuffer(x, np.uint64) for x in g["d"]]
+        mine = np.concatenate([np.frombuffer(x, np.uint64) for x in g["d"]])
         rhs, ats = np.concatenate([np.frombuffer(x, np.int64) for x in g["r"]]), np.concatenate([np.frombuffer(x, np.int32) for x in g["a"]])
-        every = np.sort(np.concatenate(blocks))
-        mine = np.concatenate(blocks)
+        every = np.sort(mine)
         twice = np.searchsorted(every, mine, side="right") - np.searchsorted(every, mine, side="left") > 1
         out = pd.DataFrame({"rh": rhs[twice], "at": ats[twice]}).groupby("rh")["at"].apply(lambda x: np.sort(np.repeat(x.to_numpy(), 2)).astype(np.int32).tobytes())
-        return pd.DataFrame({"h": g["h"].iloc[0], "rh": out.index.to_numpy(np.int64), "starts": out.to_numpy()}) if len(out) else pd.DataFrame({"h": pd.Series(dtype="int64"), "rh": pd.Series(dtype="int64"), "starts": pd.Series(dtype=object)})
+        return pd.DataFrame({"h": g["h"].iloc[0], "rh": out.index.to_numpy(np.int64), "starts": out.to_numpy()}) if len(out) else pd.DataFrame(nothing)
 
-    blocks = runs.groupBy("bucket").applyInPandas(emit, "h long, k int, d binary, r binary, a binary")
+    blocks = runs.groupBy("bucket").applyInPandas(emit, "h long, k long, d binary, r binary, a binary")
     return blocks.groupBy("h", "k").applyInPandas(meet, "h long, rh long, starts binary")
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs (cls, text), cls unique -> cls, spans (binary int32 pairs of first and last start of repeated windows)."""
+    """docs (cls, text), cls unique -> cls, lo, hi, starts: runs (starts lo to hi) that repeat, whole (null) or in the places that
+    starts, an array of blobs of int32 pairs relative to lo, gives."""
+    none = F.lit(None).cast("array<binary>").alias("starts")
     rows = stash(anchor_rows(docs, length, gram), "anchors")
-    by = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rh").alias("r0"), F.max("rh").alias("r1")).where("n > 1").select("h", (F.col("r0") != F.col("r1")).alias("mixed"))
-    again = stash(rows.join(by, "h"), "repeated-anchors")
-    whole = again.where("not mixed").select("cls", "lo", "hi", F.lit(None).cast("binary").alias("starts"))
-    # one row of each distinct run; equal runs also repeat whole
+    by = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rh").alias("r0"), F.max("rh").alias("r1")).where("n > 1")
+    # written, so that both sides of the join are dealt anew and adaptive execution can cut a hot anchor's partition
+    by = stash(by.select("h", (F.col("r0") != F.col("r1")).alias("mixed")), "anchor-counts")
+    again = stash(rows.join(by.hint("merge"), "h"), "repeated-anchors")
+    unstash(rows)
+    whole = again.where("not mixed").select("cls", "lo", "hi", none)
+    # one row of each distinct run; equal runs repeat whole
     mine = again.where("mixed").drop("mixed")
     distinct = mine.groupBy("h", "rh").agg(F.count("*").alias("n"), F.min(F.struct("cls", "lo", "hi")).alias("x"))
     distinct = stash(distinct.select("h", "rh", "n", "x.cls", "x.lo", "x.hi"), "runs")
-    per = distinct.groupBy("h").agg(F.count("*").alias("runs"))
+    per = stash(distinct.groupBy("h").agg(F.count("*").alias("runs")), "anchor-runs")
     total = distinct.count()
-    buckets = max(1, min(100_000, total // 4000 + 1), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if total > 20_000 else 1)
-    salt = F.when(F.col("runs") > HOT_ANCHOR, F.pmod(F.col("rh"), F.ceil(F.col("runs") / HOT_ANCHOR))).otherwise(F.lit(0))
-    wanted = distinct.join(per, "h").select("cls", "h", "rh", "lo", "hi", (F.col("runs") > HOT_ANCHOR).alias("hot"), F.pmod(F.xxhash64("h", salt), F.lit(buckets)).alias("bucket"))
-    wanted = wanted.groupBy("cls").agg(F.collect_list(F.struct("h", "rh", "lo", "hi", "hot", "bucket")).alias("w"))  # no more than a text has anchors
+    shards = max(1, total // 4000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if total > 20_000 else 1)
+    parts = F.ceil(F.col("runs") / HOT_ANCHOR).cast("int").alias("parts")
+    wanted = distinct.join(per.hint("merge"), "h").select("cls", "h", "rh", "lo", "hi", parts)
+    wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("h", F.pmod("rh", "parts")), F.lit(shards)))
+    wanted = wanted.groupBy("cls").agg(F.collect_list(F.struct("h", "rh", "lo", "hi", "parts", "bucket")).alias("w"))  # no more than a text has anchors
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for text, w in zip(b["text"], b["w"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                out += [(x["h"], x["rh"], x["hot"], x["bucket"], raw[x["lo"] : x["hi"] + length], x["hi"] - x["lo"] + 1) for x in w]
-            yield pd.DataFrame(out, columns=["h", "rh", "hot", "bucket", "run", "n_starts"])
+                out += [(x["h"], x["rh"], x["parts"], x["bucket"], raw[x["lo"] : x["hi"] + length], x["hi"] - x["lo"] + 1) for x in w]
+            yield pd.DataFrame(out, columns=["h", "rh", "parts", "bucket", "run", "n_starts"])
 
-    runs = docs.select("cls", "text").join(wanted, "cls").select("text", "w").mapInPandas(cut, "h long, rh long, hot boolean, bucket long, run binary, n_starts int")
+    runs = docs.select("cls", "text").join(wanted, "cls").select("text", "w").mapInPandas(cut, "h long, rh long, parts int, bucket long, run binary, n_starts int")
     runs = stash(runs, "run-bytes")
-    found = _shards(runs, length).unionByName(_merge(runs.where("hot"), length, buckets))
-    found = found.where(F.octet_length("starts") > 0)
-    twins = distinct.where("n > 1").select("h", "rh")
-    twice = mine.join(twins, ["h", "rh"], "left_semi").select("cls", "lo", "hi", F.lit(None).cast("binary").alias("starts"))
-    some = mine.join(found, ["h", "rh"]).select("cls", "lo", "hi", "starts")
-    return whole.unionByName(twice).unionByName(some)
+    # one row for each run; runs that stand twice are whole already, so each row found meets one row
+    found = _shards(runs, length).unionByName(_merge(runs.where("parts > 1"), length)).groupBy("h", "rh").agg(F.collect_list("starts").alias("starts"))  # at most one for each shard of the anchor
+    some = distinct.where("n = 1").join(found, ["h", "rh"]).select("cls", "lo", "hi", "starts")
+    twins = stash(distinct.where("n > 1").select("h", "rh"), "run-twins")
+    twice = mine.join(twins.hint("merge"), ["h", "rh"], "left_semi").select("cls", "lo", "hi", none)
+    out = stash(whole.unionByName(twice).unionByName(some), "repeats")
+    for used in (by, again, distinct, per, runs, twins):
+        unstash(used)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     tune(docs.sparkSession)
     body = F.coalesce("text", F.lit(""))
-    ids = docs.select("doc_id", F.xxhash64(body).alias("k1"), F.xxhash64(F.reverse(body), F.lit(1)).alias("k2"))
-    ids = stash(ids, "text-keys")
-    classes = stash(ids.groupBy("k1", "k2").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies")), "text-classes")
-    one = docs.select("doc_id", body.alias("text"), F.xxhash64(body).alias("k1"), F.xxhash64(F.reverse(body), F.lit(1)).alias("k2"))
+    key = [F.xxhash64(body).alias("k1"), F.xxhash64(F.reverse(body), F.lit(1)).alias("k2")]
+    ids = stash(docs.select("doc_id", *key), "text-keys")
+    # the number of a class is that of its row in the written table
+    classes = ids.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    classes = stash(classes.withColumn("cls", F.monotonically_increasing_id()), "text-classes")
     # of rows with one doc_id and one text any will do; a doc_id with two texts stands for two classes
-    reps = classes.select(F.col("cls").alias("doc_id"), "k1", "k2", F.xxhash64("k1", "k2", "cls").alias("cls"))
-    texts = one.join(reps, ["doc_id", "k1", "k2"]).dropDuplicates(["cls"]).select("cls", "text")
+    one = docs.select("doc_id", body.alias("text"), *key)
+    texts = one.join(classes, ["doc_id", "k1", "k2"]).dropDuplicates(["cls"]).select("cls", "copies", "text")
     texts = stash(texts, "distinct-texts")
-    spans = covered(texts, length, gram).groupBy("cls").agg(F.collect_list(F.struct("lo", "hi", "starts")).alias("spans"))
-    copies = classes.select(F.xxhash64("k1", "k2", "cls").alias("cls"), "copies")
+    repeats = covered(texts, length, gram)
+    spans = repeats.groupBy("cls").agg(F.collect_list(F.struct("lo", "hi", "starts")).alias("spans"))  # no more than a text has anchors
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -319,14 +327,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 if n > 1 and len(raw) >= length:
                     edge[0], edge[-1] = 1, -1
                 for x in spans_ if spans_ is not None else ():
-                    pairs = np.array([[0, x["hi"] - x["lo"]]]) if x["starts"] is None else np.frombuffer(bytes(x["starts"]), np.int32).reshape(-1, 2)
-                    np.add.at(edge, pairs[:, 0] + x["lo"], 1)
-                    np.add.at(edge, pairs[:, 1] + x["lo"] + length, -1)
+                    blobs = [np.array([0, x["hi"] - x["lo"]])] if x["starts"] is None else [np.frombuffer(bytes(y), np.int32) for y in x["starts"]]
+                    for pairs in blobs:
+                        np.add.at(edge, pairs[::2] + x["lo"], 1)
+                        np.add.at(edge, pairs[1::2] + x["lo"] + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 n_spans = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
                 out.append((cls, len(raw), int(gone.sum()), n_spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
             yield pd.DataFrame(out, columns=["cls", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    done = texts.join(spans, "cls", "left").join(copies, "cls").mapInPandas(strip, "cls long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    key = classes.select("k1", "k2", F.xxhash64("k1", "k2", "cls").alias("cls"))
-    return ids.join(key, ["k1", "k2"]).join(done, "cls").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    done = texts.join(spans, "cls", "left").mapInPandas(strip, "cls long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = stash(done, "stripped-texts")
+    unstash(texts)
+    unstash(repeats)
+    return ids.join(classes.select("k1", "k2", "cls").join(done, "cls"), ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
