@@ -17,17 +17,40 @@ def test_against_brute_force(spark):
     assert Counter(map(tuple, exact_dedup.exact_dedup(edge.frame(spark, docs)).collect())) == brute(docs)
 
 
-def test_index_takes_new_data_only(spark):
-    index = exact_dedup.DigestIndex(spark, 4)
-    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
-    index.append(first)
-    second = spark.createDataFrame([(4, "a"), (5, "c"), (6, None)], "doc_id long, text string")
-    assert {r.keep_id for r in index.fresh(second).collect()} == {5, 6}
-    index.append(second)
-    index.append(second)
-    assert sorted(r.keep_id for r in index.read().collect()) == [2, 3, 5, 6]
-    plan = index.fresh(second)._jdf.queryExecution().executedPlan().toString()
+def test_index_over_batches(spark):
+    """Keep ids and group sizes are right after each batch, in whatever order batches come; only new digests are fresh."""
+    batch = lambda rows: exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    name = "digest_index_test"
+    exact_dedup.DigestIndex(spark, name).drop()
+    index = exact_dedup.DigestIndex(spark, name, 4)
+    parts = [[(i, "same") for i in range(10)] + [(50, None)], [(i, "same") for i in range(10, 30)] + [(40, "")], [], [(5, "same"), (31, "other"), (3, "other")]]
+    seen = []
+    for rows in parts:
+        texts = {t or "" for _, t in seen}
+        fresh = index.add(batch(rows)).collect()
+        assert len(fresh) == len({t or "" for _, t in rows} - texts)
+        seen += rows
+        again = exact_dedup.DigestIndex(spark, name, 4)  # found by its name
+        got = Counter((r.doc_id, r.keep_id, r.group_size, r.doc_id == r.keep_id, r.digest.hex()) for r in again.match(batch(seen)).collect())
+        assert got == Counter((d, k, n, kept, hashlib.sha256(t.encode()).hexdigest()) for (d, k, n, kept, _), t in [(x, y) for x, y in zip(rows_of(seen), [t or "" for _, t in seen], strict=True)])
+    plan = index.fresh(batch(parts[0]))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+    index.drop()
+    assert not index.exists()
+
+
+def rows_of(docs):
+    groups = defaultdict(list)
+    for d, t in docs:
+        groups[t or ""].append(d)
+    return [(d, max(groups[t or ""]), len(groups[t or ""]), d == max(groups[t or ""]), t) for d, t in docs]
+
+
+def test_hot_digests_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 4)
+    docs = [(i, "hot" if i % 2 else f"t{i % 30}") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter(map(tuple, exact_dedup.exact_dedup(df).collect())) == brute(docs)
 
 
 def test_keep_distinct_keeps_columns(spark):
