@@ -66,6 +66,20 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keep_rows(docs: DataFrame, chosen: DataFrame, mark: Column) -> DataFrame:
+    """Of docs, one row for each of chosen (doc_id, mark, copies), found by doc_id and mark; copies: how many rows of docs it has.
+
+    All columns of docs as they are, carried as one, so that none can clash. Texts are shuffled once, by doc_id and mark.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), mark.alias("sign"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("sign").eqNullSafe(F.col("mark"))
+    out = whole.join(chosen.where("copies = 1"), same, "left_semi")
+    again = chosen.where("copies > 1")
+    if not again.isEmpty():
+        out = out.unionByName(whole.join(again, same, "left_semi").dropDuplicates(["id", "sign"]))
+    return out.select("row.*")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores after it as make it differ from all columns of df."""
     taken = {c.lower() for c in df.columns}
@@ -105,19 +119,21 @@ def positions(df: DataFrame, part: list[str], hashed: Column, ties: list, bits:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a long, b long) -> (node, root): root is the smallest node reachable; nodes with no edge are not listed.
 
-    Alternating large-star and small-star steps; each step is one aggregation and one join, and its result is
+    Alternating large-star and small-star steps; each step is one aggregation and one join, and its results are
     written to the shared folder, so no list of neighbours or of components is ever held in one place.
     """
     e = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that joins with them deal both sides anew and adaptive execution can cut a hub's partition
+        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stash(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        down = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(down, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stash(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        unstash(e)
+        for used in (e, low, large, down):
+            unstash(used)
         e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:

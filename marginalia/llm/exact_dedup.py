@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import new_path, remove, settle, stash, unstash
+from marginalia.llm.common import keep_rows, new_path, remove, settle, stash, unstash
 
 #: A digest is hot from this share of all rows on, so there are at most HOT of them, and these alone are broadcast.
 HOT = 1000
@@ -121,14 +121,7 @@ def keep_distinct(docs: DataFrame) -> DataFrame:
     The rows that stay are chosen by digests alone; texts are then shuffled once, by doc_id and digest.
     """
     batch = stash(digests(docs), "digests")
-    kept = grouped(batch).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
+    kept = grouped(batch).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", F.col("digest").alias("mark")).agg(F.count("*").alias("copies"))
     kept = stash(kept, "kept-digests")
     unstash(batch)
-    # all columns of docs as one, so that none can clash
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), digest(F.col("text")).alias("sha"))
-    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("digest"))
-    out = whole.join(kept.where("copies = 1"), same, "left_semi")
-    again = kept.where("copies > 1")
-    if not again.isEmpty():
-        out = out.unionByName(whole.join(again, same, "left_semi").dropDuplicates(["id", "sha"]))
-    return out.select("row.*")
+    return keep_rows(docs, kept, digest(F.col("text")))

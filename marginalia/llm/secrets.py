@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import tune
+from marginalia.llm.common import free_name, tune
 
 FINDINGS, TREES, DEPTH, SEED = 2400, 40, 9, 7
 MASK = "[SECRET]"
@@ -215,19 +215,27 @@ def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs with each secret replaced by MASK and n_chars counted anew where a text changed."""
+    """docs with each secret replaced by MASK and n_chars counted anew where a text changed. Only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(forest())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("text string, changed boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out, texts = [], b["text"].tolist()
+            out, texts = [], b.tolist()
             for text, spans in zip(texts, findings(texts, shared.value), strict=True):
                 for s, e, p in reversed(spans):
                     if p >= threshold:
                         text = text[:s] + MASK + text[e:]
                 out.append(text)
-            yield b.assign(text=out)
+            yield pd.DataFrame({"text": pd.Series(out, dtype=object), "changed": [x is not y for x, y in zip(out, texts, strict=True)]})
 
     tune(docs.sparkSession)
-    clean = docs.mapInPandas(run, docs.schema)
-    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else clean
+    name = free_name(docs, "redacted")
+    masked = docs.withColumn(name, run(F.col("text")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    for i, field in enumerate(docs.schema):
+        if field.name == "text":
+            columns[i] = F.col(name)["text"].alias("text")
+        elif field.name == "n_chars":
+            columns[i] = F.when(F.col(name)["changed"], F.char_length(F.col(name)["text"]).cast(field.dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return masked.select(*columns)

@@ -2,8 +2,10 @@
 
 Each class (toxic, ordinary) has an interpolated Kneser-Ney model of orders 2 to `ORDER` over lower-cased words with
 their edges marked; both back off to one shared model of continuation counts over both classes, so rare expressions
-are judged by their parts. A word's evidence is its log-likelihood ratio. A text gives the length-normalised ratio of
-the whole, of its most toxic window and the share of strongly toxic words; a logistic layer turns these into a score.
+are judged by their parts; `STRENGTH` counts of the order below are added to each context, so that what was seen once or
+twice is little evidence. A word's evidence is its log-likelihood ratio. A text gives the length-normalised ratio of
+the whole, of its most toxic window, that of its two most toxic words, and how many of its words, for its length, have
+ratios over each of `CUTS`; a logistic layer turns these into a score. Context ends at the edges of a word.
 The layer is fitted on ratios that the models of the other half of the sample give, then the models are fitted on all.
 
 Training rows: labelled documents whose crc32(doc_id as text) mod 5 is not 0, of each class the `max_rows` distinct
@@ -16,27 +18,30 @@ classes every score is 0. Repeated rows get equal scores; an empty table gives n
 
 from __future__ import annotations
 
-import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import tune
 
-ORDER = 6
-MAX_ROWS = 1000
-DISCOUNT = 0.75
+ORDER = 8
+MAX_ROWS = 3000
+DISCOUNT, STRENGTH = 0.75, 30.0
 WINDOW = 24
-STRONG = 3.0
+CUTS = np.array([1.0, 2.0, 3.0, 4.0, 6.0])
+FEATURES = 3 + len(CUTS)
 CACHE = 600_000
-#: A word is what stands between white space, without marks at its ends. A run of over LONGEST characters counts as words
-#: of that length that overlap by half, so all of it is read, and an expression of up to half the length stands whole in one.
+#: A word is what stands between white space, without marks at its ends. A run of over LONGEST characters is cut at its marks, and what
+#: is longer still counts as words of that length that overlap by half, so all of it is read, and an expression of up to half the length
+#: stands whole in one.
 EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 LONGEST = 40
+INNER = re.compile(r"[^\W_]+")
 JUMP = 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,7 +51,8 @@ def words(text: str | None) -> list[str]:
     if max(map(len, ws), default=0) <= LONGEST:
         return ws
     half = LONGEST // 2
-    return [w[i : i + LONGEST] for w in ws for i in range(0, max(1, len(w) - half), half)]
+    parts = [p for w in ws for p in ([w] if len(w) <= LONGEST else INNER.findall(w) or [w])]
+    return [w[i : i + LONGEST] for w in parts for i in range(0, max(1, len(w) - half), half)]
 
 
 def _bytes(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +150,8 @@ class Model:
             seen = total > 0
             low = p[:, at]
             safe = np.where(seen, total, np.float32(1))
-            p[:, at] = np.where(seen, np.maximum(num - np.float32(DISCOUNT), 0) / safe + np.float32(DISCOUNT) * kinds / safe * low, low)
+            down = np.float32(DISCOUNT) * kinds + np.float32(STRENGTH)
+            p[:, at] = np.where(seen, (np.maximum(num - np.float32(DISCOUNT), 0) + down * low) / (safe + np.float32(STRENGTH)), low)
             place = here
         ratio = np.log(np.maximum(p[1], 1e-9)) - np.log(np.maximum(p[0], 1e-9))
         ratio[seq == 1] = 0
@@ -168,7 +175,7 @@ class Scorer:
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
             self.cache.update(zip(part, self.model.ratios(part).tolist(), strict=True))
-        out = np.zeros((len(lists), 4))
+        out = np.zeros((len(lists), FEATURES))
         get = self.cache.__getitem__
         for row, ws in zip(out, lists, strict=True):
             if ws:
@@ -177,12 +184,13 @@ class Scorer:
         return out
 
     @staticmethod
-    def _text(r: np.ndarray) -> tuple[float, float, float, float]:
+    def _text(r: np.ndarray) -> tuple[float, ...]:
         sums = np.concatenate([[0.0], np.cumsum(r)])
         w = min(WINDOW, len(r))
         clip = np.maximum(r, 0)
         top = np.partition(clip, len(r) - 2)[-2:].sum() / 2 if len(r) > 1 else clip[0]
-        return r.mean(), (sums[w:] - sums[:-w]).max() / w, top, math.log1p((r > STRONG).sum() / (1 + len(r) / 400))
+        over = len(r) - np.searchsorted(np.sort(r), CUTS, side="right")
+        return r.mean(), (sums[w:] - sums[:-w]).max() / w, top, *np.log1p(over / (1 + len(r) / 100))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.layer is None:
@@ -223,7 +231,7 @@ def train(texts: list[str], labels: list[int]) -> Scorer:
     half = np.zeros(len(y), np.int64)
     for c in (0, 1):
         half[y == c] = np.arange((y == c).sum()) % 2
-    x = np.zeros((len(y), 4))
+    x = np.zeros((len(y), FEATURES))
     for h in (0, 1):
         other = np.flatnonzero(half == h)
         x[other] = Scorer(model(np.flatnonzero(half != h))).features([texts[i] for i in other])
@@ -238,9 +246,12 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tupl
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct().where(~held_out())
     h = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
     hashed = known.join(docs.select("doc_id", h), "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
-    chosen = [r for y in (1, 0) for r in hashed.where(F.col("toxic") == y).orderBy("h").limit(max_rows).collect()]
+    # each task passes on max_rows of a class at most
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
+    chosen = hashed.withColumn("place", place).where(F.col("place") <= max_rows).select("doc_id", "h", "toxic").collect()
     if not chosen:
         return [], []
+    chosen.sort(key=lambda r: (-r.toxic, r.h))
     wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.h) for r in chosen], known.select("doc_id").schema.add("h", "long")).distinct()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h).join(F.broadcast(wanted), ["doc_id", "h"]).groupBy("h").agg(F.first("text").alias("text"))  # at most 2 * max_rows rows are broadcast
     by_hash = {r.h: r.text for r in texts.collect()}
@@ -251,20 +262,28 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; keep: other columns of docs to carry along."""
+def scorer(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
+    """A function of a text column: struct(score double, predicted int). Nothing but the texts goes to Python."""
     tune(docs.sparkSession)
-    scorer = train(*sample(docs, labels, max_rows))
-    shared = docs.sparkSession.sparkContext.broadcast((scorer.model, scorer.layer))  # bounded by max_rows texts of each class
+    fitted = train(*sample(docs, labels, max_rows))
+    shared = docs.sparkSession.sparkContext.broadcast((fitted.model, fitted.layer))  # bounded by max_rows texts of each class
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, predicted int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Scorer(*shared.value)
-        for b in batches:
-            s = np.concatenate([own.scores(b["text"].iloc[i : i + 200].tolist()) for i in range(0, len(b), 200)] or [np.zeros(0)])
-            yield b.assign(score=s, predicted=(s >= 0.5).astype(np.int32))[names]
-
-    columns = keep if keep is not None else ["doc_id"]
-    names = [*columns, "score", "predicted"]
-    source = docs.select(*dict.fromkeys([*columns, "text"]))
-    out = source.mapInPandas(run, docs.select(*columns).schema.add("score", "double").add("predicted", "integer"))
-    return out if keep is not None else out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+        for texts in batches:
+            s = np.concatenate([own.scores(texts.iloc[i : i + 200].tolist()) for i in range(0, len(texts), 200)] or [np.zeros(0)])
+            yield pd.DataFrame({"score": s, "predicted": (s >= 0.5).astype(np.int32)})
+
+    return run
+
+
+def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs."""
+    out = docs.select("doc_id", scorer(docs, labels, max_rows)(F.col("text")).alias("result"))
+    return out.select("doc_id", held_out().alias("held_out"), "result.score", "result.predicted")
+
+
+def ordinary(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of docs that are not predicted to be toxic; all columns as they are."""
+    return docs.where(scorer(docs, labels, max_rows)(F.col("text"))["predicted"] == 0)

@@ -1,5 +1,9 @@
+import math
 import random
 import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from marginalia.llm import toxicity
 from tests.llm import edge
@@ -56,6 +60,54 @@ def test_edges(spark):
     assert toxicity.score(edge.empty(spark), lab).collect() == []
 
 
+def plain_ratio(counts, word):
+    """Kneser-Ney by dictionaries, gram by gram."""
+    grams = lambda w, n: [w[max(0, i - n) : i] if i >= n else None for i in range(1, len(w) + 1)]
+    raw = lambda w: b"\1" + w.strip(toxicity.EDGE).encode() + b"\2"
+    num = {(n, y): Counter() for n in range(1, toxicity.ORDER + 1) for y in (0, 1)}
+    for y in (0, 1):
+        for w, c in counts[y].items():
+            for n in range(1, toxicity.ORDER + 1):
+                for g in filter(None, grams(raw(w), n)):
+                    num[n, y][g] += c if n == toxicity.ORDER else 1
+    shared = num[1, 0] + num[1, 1]
+    shared.pop(b"\1")
+    seq, out = raw(word), 0.0
+    for i in range(1, len(seq)):
+        p = [0.0, 0.0]
+        for y in (0, 1):
+            p[y] = (shared[seq[i : i + 1]] + 0.1) / (sum(shared.values()) + 25.6)
+            for n in range(2, min(i + 1, toxicity.ORDER) + 1):
+                context, gram = seq[i - n + 1 : i], seq[i - n + 1 : i + 1]
+                after = [c for g, c in num[n, y].items() if g[:-1] == context]
+                if after:
+                    down = toxicity.DISCOUNT * len(after) + toxicity.STRENGTH
+                    p[y] = (max(num[n, y][gram] - toxicity.DISCOUNT, 0) + down * p[y]) / (sum(after) + toxicity.STRENGTH)
+        out += math.log(max(p[1], 1e-9)) - math.log(max(p[0], 1e-9))
+    return out
+
+
+def test_ratios_against_plain_kneser_ney():
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randint(1, 14)))
+    counts = {y: Counter({word(): r.randint(1, 5) for _ in range(60)}) for y in (0, 1)}
+    asked = [*list(counts[0])[:15], *list(counts[1])[:15], *[word() for _ in range(20)], "zz", "(ab)"]
+    got = toxicity.Model(counts).ratios(asked)
+    for w, x in zip(asked, got, strict=True):
+        assert abs(x - plain_ratio(counts, w)) < 1e-3, w
+
+
+def test_filter_keeps_columns_of_any_name(spark):
+    docs, labels = corpus(200)
+    df = edge.frame(spark, edge.rows() + docs).withColumn("big", F.when(F.col("doc_id") % 2 == 0, F.lit(2**53 + 1))).withColumn("predicted", F.lit(7))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.ordinary(df, lab)
+    assert got.schema == df.schema
+    scored = Counter((r.doc_id, r.predicted) for r in toxicity.score(df, lab).collect())
+    assert Counter(r.doc_id for r in got.collect()) == Counter({d: n for (d, p), n in scored.items() if not p})
+    assert {r.big for r in got.collect()} == {None, 2**53 + 1} and {r.predicted for r in got.collect()} == {7}
+
+
 def test_parts_of_long_runs_cover_them():
     for n in (1, 39, 40, 41, 59, 60, 61, 80, 81, 1000):
         run = "".join(chr(0x4E00 + i) for i in range(n))
