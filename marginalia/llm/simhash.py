@@ -12,13 +12,13 @@ the other 32 bits, which leaves at most 2**16 fingerprints to a key. Only links
 
 `near_groups` finds near copies by the similarity of their shingle sets (SIMILARITY and more), of which fingerprints of 64
 bits are too coarse a measure. Texts meet on the KEYS least hashes of their shingles (two texts of similarity 0.8 share
-none with a chance of 0.2 ** KEYS); pivot tables and fingerprints discard pairs, and so does the similarity of sketches of
+none with a chance of 0.2 ** KEYS, three in a million); pivot tables and fingerprints discard pairs, and so does the similarity of sketches of
 the SKETCH least hashes. It decides only where both texts have no more shingles than that; else it is an estimate, MARGIN
 is asked of it, and survivors are verified on their whole shingle sets. First a spanning forest of each key is verified;
 where one of its links is refuted, so is every pair of the key's linked texts that the verified links leave apart.
 
-Null and empty texts have fingerprint zero and link like any other. Repeated rows share a class; a doc_id names one text; an empty table
-gives no rows. Only doc_id and text are read, whole.
+Null and empty texts have fingerprint zero and link like any other. Repeated rows share a class, and rows that share a doc_id but not the
+text are apart; an empty table gives no rows. Only doc_id and text are read, whole.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import connected_components, stash, tune
+from marginalia.llm.common import connected_components, keep_rows, stash, tune
 
 DISTANCE = 2
 SHINGLE = 3
@@ -129,7 +129,7 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     pairs = list(combinations(range(4), 2))
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.shiftleft(block(j, 16), 16).bitwiseOR(block(i, 16)).alias("k")) for t, (i, j) in enumerate(pairs)])
     rows = classes.select("cls", "fp", F.explode(tables).alias("x")).select("cls", "fp", "x.t", "x.k", F.lit(0).alias("s"), F.lit(0).cast("long").alias("k2"))
-    size = rows.groupBy("t", "k").agg(F.count("*").alias("m")).where("m > 1")
+    size = stash(rows.groupBy("t", "k").agg(F.count("*").alias("m")).where("m > 1"), "table-sizes")
     rows = rows.join(size, ["t", "k"])
     small, hot = rows.where(f"m <= {HOT_KEY}"), rows.where(f"m > {HOT_KEY}")
     # the two blocks that table t leaves free, as one 32-bit number, then two of its four bytes
@@ -157,23 +157,28 @@ def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp, n (distinct shingles), k (of the whole set), keys (least hashes), sketch (upper halves of the least hashes, ascending)."""
+    """doc_id, th (hash of the text), fp, n (distinct shingles), k (hash of the whole set), keys (least hashes), sketch (upper halves of
+    the least hashes, ascending)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
                 h = np.unique(hashes(text, shingle))
                 fp = fingerprint(h)  # of the set, as the similarity is
                 least = h[:SKETCH] if len(h) else np.zeros(1, np.uint64)
-                rows.append((doc, fp, len(h), xxhash.xxh64_intdigest(h.tobytes(), SEED), least[:CUTS].view(np.int64).tolist(), (least >> np.uint64(32)).astype("<u4").tobytes()))
-            out = pd.DataFrame(rows, columns=["doc_id", "fp", "n", "k", "keys", "sketch"])
+                rows.append((doc, th, fp, len(h), xxhash.xxh64_intdigest(h.tobytes(), SEED), least[:CUTS].view(np.int64).tolist(), (least >> np.uint64(32)).astype("<u4").tobytes()))
+            out = pd.DataFrame(rows, columns=["doc_id", "th", "fp", "n", "k", "keys", "sketch"])
             yield out.assign(**{c: out[c].to_numpy(np.uint64).view(np.int64) for c in ("fp", "k")})
 
     tune(docs.sparkSession)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select("doc_id").schema)
-    return docs.select("doc_id", "text").mapInPandas(run, f"{schema}, fp long, n int, k long, keys array<long>, sketch binary")
+    return docs.select("doc_id", text_hash().alias("th"), "text").mapInPandas(run, f"{schema}, th long, fp long, n int, k long, keys array<long>, sketch binary")
 
 
 NONE = np.uint32(0xFFFFFFFF)
@@ -247,11 +252,12 @@ def similar_pairs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, sketch: np.nda
     return order[i], order[j]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """pairs (a, b) of doc_id -> a, b, alike: whether their whole shingle sets are similar. Only texts of pairs are fetched."""
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
-    texts = stash(docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """pairs (a, b) of cls -> a, b, alike: whether their whole shingle sets are similar. Only texts of pairs are fetched."""
+    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep.doc_id", "rep.th"), "cls"), "pair-ids")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("th")).join(ids, ["doc_id", "th"])
+    texts = stash(texts.groupBy("cls").agg(F.first("text").alias("text")), "pair-texts")
+    side = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -291,25 +297,40 @@ def by_key(rows: DataFrame, work, columns: list[str], schema: str) -> DataFrame:
 
 def shared(rows: DataFrame) -> DataFrame:
     """Rows whose key others have too, with their number m."""
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+    # written, so that the join deals both sides anew and adaptive execution can cut a hot key's partition
+    return rows.join(stash(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key-sizes"), "key")
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """rows (cls, key, m) -> cls, key: the texts of a key are dealt to blocks, and any two blocks meet as a key of their own, so
+    every pair still meets and no key holds many more than HOT_KEY / 2 texts."""
+    blocks = F.ceil(F.col("m") * 4 / HOT_KEY).cast("int")
+    dealt = rows.withColumn("blocks", F.greatest(blocks, F.lit(2))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    return met.select("cls", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable by similarities of `similarity` and more) of every row of docs.
+    """doc_id, th (hash of the text), component_id (the smallest doc_id reachable by similarities of `similarity` and more) and kept (in one text
+    of each component) of every row of docs.
 
     A key of over HOT_KEY texts is cut by bands of their size: a text goes to its own and the next band, and two texts of
     similar size have one in common, so nothing is lost. What is still larger is cut by each other of the CUTS least
-    hashes of a text; two texts of similarity 0.8 that meet there have none other in common with a chance below 0.01 %.
+    hashes of a text: two texts of similarity 0.8 that meet there have none other in common with a chance of 0.2 ** 15, far below
+    that of not meeting at all. What is larger even then is cut into blocks of which any two meet, which loses nothing.
     """
     same = ["k", "fp", "n"]  # texts of one set, by its hash beside fingerprint and size
     prints = stash(sketches(docs, shingle), "sketches")
-    classes = stash(prints.groupBy(*same).agg(F.min("doc_id").alias("cls"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sketch-classes")
+    classes = prints.groupBy(*same).agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    classes = stash(classes.withColumn("cls", F.monotonically_increasing_id()), "sketch-classes")
     # keys are counted and cut without the sketches, which then go only where two texts meet
     met = shared(classes.select("cls", "n", "keys", F.explode(F.slice("keys", 1, KEYS)).alias("key")))
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.01 / similarity))).cast("int")
     banded = shared(met.where(f"m > {HOT_KEY}").withColumn("band", F.explode(F.array(band, band + 1))).select("cls", "keys", F.col("key").alias("of"), F.xxhash64("key", "band").alias("key")))
     cut = banded.where(f"m > {HOT_KEY}").withColumn("other", F.explode(F.filter("keys", lambda k: k != F.col("of")))).select("cls", F.xxhash64("key", "other").alias("key"))
-    met = met.where(f"m <= {HOT_KEY}").select("cls", "key").unionByName(banded.where(f"m <= {HOT_KEY}").select("cls", "key")).unionByName(shared(cut).select("cls", "key"))
+    cut = shared(cut)
+    met = met.where(f"m <= {HOT_KEY}").select("cls", "key").unionByName(banded.where(f"m <= {HOT_KEY}").select("cls", "key"))
+    met = met.unionByName(cut.where(f"m <= {HOT_KEY}").select("cls", "key")).unionByName(block_pairs(cut.where(f"m > {HOT_KEY}")))
     held = ["fp", "n", "sketch"]
 
     def work(b: pd.DataFrame) -> pd.DataFrame:
@@ -320,7 +341,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
 
     schema = "key long, a long, b long, whole boolean"
     forest = stash(by_key(met.join(classes.select("cls", *held), "cls"), work, held, schema), "forest")
-    checked = stash(verified(forest.where("not whole").select("a", "b").distinct(), docs, shingle, similarity), "checked")
+    checked = stash(verified(forest.where("not whole").select("a", "b").distinct(), classes, docs, shingle, similarity), "checked")
     sure = forest.where("whole").select("a", "b").unionByName(checked.where("alike").select("a", "b")).distinct()
     roots = connected_components(sure)
     refuted = checked.where("not alike").select("a", "b")
@@ -330,10 +351,19 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
         left = forest.join(keys, "key").select("key", F.explode(F.array("a", "b")).alias("cls")).distinct()
         left = left.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
         more = stash(by_key(left.join(classes.select("cls", *held), "cls"), work, [*held, "root"], schema).select("a", "b", "whole").distinct(), "more-pairs")
-        again = verified(more.where("not whole").select("a", "b").join(refuted, ["a", "b"], "left_anti"), docs, shingle, similarity)
+        again = verified(more.where("not whole").select("a", "b").join(refuted, ["a", "b"], "left_anti"), classes, docs, shingle, similarity)
         roots = connected_components(sure.unionByName(more.where("whole").select("a", "b")).unionByName(again.where("alike").select("a", "b")))
-    known = classes.join(roots, F.col("cls") == F.col("node"), "left").select(*same, F.coalesce("root", "cls").alias("component_id"))
-    return prints.join(known, same).select("doc_id", "component_id")
+    known = stash(classes.join(roots, F.col("cls") == F.col("node"), "left").select(*same, "rep", F.coalesce("root", "cls").alias("root")), "near-classes")
+    first = stash(known.groupBy("root").agg(F.min("rep").alias("first")), "near-firsts")
+    known = stash(known.join(first, "root").select(*same, "first"), "near-classes")
+    out = prints.join(known, same)
+    return out.select("doc_id", "th", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("first")).alias("kept"))
+
+
+def keep_distinct(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near copies: that with the smallest doc_id. Columns as in docs."""
+    kept = near_groups(docs, shingle, similarity).where("kept").groupBy("doc_id", F.col("th").alias("mark")).agg(F.count("*").alias("copies"))
+    return keep_rows(docs, stash(kept, "kept-texts"), text_hash())
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:

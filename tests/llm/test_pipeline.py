@@ -1,13 +1,15 @@
 """The pipeline against its stages done by hand, and each registered query on the smallest tables."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marginalia.llm import queries, secrets, toxicity
 from tests import oracle
-from tests.llm import test_packing, test_simhash
+from tests.llm import edge, test_packing, test_simhash
 from tests.llm.test_toxicity import corpus
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +72,24 @@ def test_stages_keep_columns_and_bear_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
+def test_stages_leave_other_columns_alone(spark, tmp_path, name, stage):
+    docs, labels = corpus(150, seed=4)
+    docs = edge.rows() + docs + [(5000, 'the password = "h7Gk29sLqPzX81vB" here')]
+    df = edge.frame(spark, docs)
+    for c in ("_sha", "_keep", "row", "id", "sign", "mark", "redacted", "th", "n", "k", "keys", "digest", "copies", "predicted", "result"):
+        df = df.withColumn(c, F.when(F.col("doc_id") % 3 > 0, F.lit(2**53 + 1) + F.col("doc_id")))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = stage(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    changed = {"text", "n_chars"} if name == "secrets" else set()
+    same = [c for c in df.columns if c not in changed]
+    before, after = (Counter(tuple(r[c] for c in same) for r in x.collect()) for x in (df, got))
+    assert after and not after - before
+    if name == "secrets":
+        assert after == before
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()

@@ -180,6 +180,20 @@ def test_refuted_links_give_way_to_others(spark, monkeypatch):
     assert got == groups_by_hand(docs)
 
 
+def test_keep_distinct(spark):
+    """One row of each group stays, of rows that share a doc_id with other texts too; columns are kept."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    text = lambda: " ".join(r.choice(words) for _ in range(60))
+    a, b, c = text(), text(), text()
+    docs = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (4, c), (5, None), (6, ""), (7, "tiny")]
+    df = edge.frame(spark, docs)
+    got = simhash.keep_distinct(df)
+    assert got.columns == df.columns
+    assert sorted((x.doc_id, x.text or "") for x in got.collect()) == sorted([(1, a), (1, b), (4, c), (5, ""), (7, "tiny")])
+    assert simhash.keep_distinct(edge.empty(spark)).collect() == []
+
+
 def test_repeated_lines_do_not_part_equal_sets(spark):
     r = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
