@@ -1,13 +1,13 @@
 """Corpus pipeline: toxic documents go, copies go, near copies go, secrets are masked, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Null texts are empty documents; rows that share a doc_id and a text are copies. An empty table passes through.
+Null texts are empty documents; rows that share a doc_id and a text are copies. An empty table passes through. Extra columns
+of any name pass the first four stages unchanged.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marginalia.llm import exact_dedup, packing, secrets, simhash, toxicity
 from marginalia.llm.common import stash
@@ -18,8 +18,7 @@ SHINGLE = 5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models, learnt from `labels`, reject are dropped."""
-    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.ordinary(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (similarity of five-word shingles 0.8 or more) the row with the smallest doc_id stays."""
-    groups = simhash.near_groups(docs, SHINGLE)
-    keep = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    return simhash.keep_distinct(docs, SHINGLE)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
