@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import tune
 
 ORDER = 8
-MAX_ROWS = 3000
+MAX_ROWS = 2000
 DISCOUNT, STRENGTH = 0.75, 30.0
 WINDOW = 24
 CUTS = np.array([1.0, 2.0, 3.0, 4.0, 6.0])
 FEATURES = 3 + len(CUTS)
-CACHE = 600_000
+#: Words and their ratios kept by a worker; texts cut into words at once.
+CACHE, TOGETHER = 600_000, 200
 #: A word is what stands between white space, without marks at its ends. A run of over LONGEST characters is cut at its marks, and what
 #: is longer still counts as words of that length that overlap by half, so all of it is read, and an expression of up to half the length
 #: stands whole in one.
@@ -62,22 +63,23 @@ def _bytes(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.repeat(np.arange(len(raw)), lens)
 
 
-def _grams(seq: np.ndarray, owner: np.ndarray, order: int) -> np.ndarray:
-    """Key of the gram of each order (0 to order) that ends at each byte; 0 where a word has no such gram."""
-    out = np.zeros((order + 1, len(seq)), np.uint64)
-    for n in range(1, min(order, len(seq)) + 1):
-        key = np.zeros(len(seq), np.uint64)
-        with np.errstate(over="ignore"):
-            for back in range(n - 1, -1, -1):
-                shifted = np.concatenate([np.zeros(back, np.uint8), seq[: len(seq) - back]]) if back else seq
-                key = (key + shifted + np.uint64(1)) * MIX
-                key ^= key >> np.uint64(29)
-            key += np.uint64(n)
-        if n > 1:
-            same = np.concatenate([np.zeros(n - 1, bool), owner[n - 1 :] == owner[: len(owner) - n + 1]])
-            key = np.where(same, key, np.uint64(0))
-        out[n] = key
-    return out
+def _grams(seq: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Key of the gram of n bytes that ends at each byte; 0 where a word has no such gram."""
+    key = np.zeros(len(seq), np.uint64)
+    if n > len(seq):
+        return key
+    with np.errstate(over="ignore"):
+        for back in range(n - 1, -1, -1):
+            key[:back] += np.uint64(1)
+            key[back:] += seq[: len(seq) - back]
+            key[back:] += np.uint64(1)
+            key *= MIX
+            key ^= key >> np.uint64(29)
+        key += np.uint64(n)
+    if n > 1:
+        key[: n - 1] = 0
+        key[n - 1 :][owner[n - 1 :] != owner[: len(owner) - n + 1]] = 0
+    return key
 
 
 class Model:
@@ -88,22 +90,23 @@ class Model:
         vocabulary = sorted(set(counts[0]) | set(counts[1]))
         weight = [np.array([counts[y][w] for w in vocabulary], np.float64) for y in (0, 1)]
         seq, owner = _bytes(vocabulary)
-        grams = _grams(seq, owner, order)
         self.keys, self.num, self.ctx = {}, {}, {}
+        grams = below = np.zeros(0, np.uint64)
         for n in range(1, order + 1):
-            at = np.flatnonzero(grams[n] != 0)
-            keys, inverse = np.unique(grams[n][at], return_inverse=True)
+            below, grams = grams, _grams(seq, owner, n)
+            at = np.flatnonzero(grams != 0)
+            keys, inverse = np.unique(grams[at], return_inverse=True)
             # the highest order counts words; the others count in how many distinct words of the class the gram stands
             once = weight if n == order else [(w > 0).astype(np.float64) for w in weight]
             num = np.stack([np.bincount(inverse, once[y][owner[at]], len(keys)) for y in (0, 1)])
             if n == 1:
                 num = np.stack([num.sum(axis=0)] * 2)  # shared by both classes
-                num[:, keys == grams[1][0] if len(seq) else slice(0)] = 0  # the first mark is never predicted
+                num[:, keys == grams[0] if len(seq) else slice(0)] = 0  # the first mark is never predicted
                 self.total = np.float32(num[0].sum())
             else:  # what follows a context: counts and kinds, kept beside the context's own key
                 last = np.zeros(len(keys), np.int64)
                 last[inverse] = at
-                c = np.searchsorted(self.keys[n - 1], grams[n - 1][last - 1])
+                c = np.searchsorted(self.keys[n - 1], below[last - 1])
                 m = len(self.keys[n - 1])
                 total = [np.bincount(c, num[y], m) for y in (0, 1)]
                 kinds = [np.bincount(c, (num[y] > 0).astype(np.float64), m) for y in (0, 1)]
@@ -133,17 +136,16 @@ class Model:
         if not vocabulary:
             return np.zeros(0)
         seq, owner = _bytes(vocabulary)
-        grams = _grams(seq, owner, self.order)
-        place = self._find(1, grams[1])
+        place = self._find(1, _grams(seq, owner, 1))
         num = np.where(place >= 0, self.num[1][:, place], 0) if len(self.keys[1]) else np.zeros((2, len(seq)), np.float32)
         p = (num + np.float32(0.1)) / (self.total + np.float32(25.6))
         for n in range(2, self.order + 1):
-            context = np.concatenate([[-1], place[:-1]])
-            at = np.flatnonzero((context >= 0) & (grams[n] != 0))
+            context, grams = np.concatenate([[-1], place[:-1]]), _grams(seq, owner, n)
+            at = np.flatnonzero((context >= 0) & (grams != 0))
             c = context[at]
             here = np.full(len(seq), -1, np.int64)
             known = place[at] >= 0  # a gram can only be known if its end is
-            here[at[known]] = self._find(n, grams[n][at[known]])
+            here[at[known]] = self._find(n, grams[at[known]])
             g = here[at]
             num = np.where(g >= 0, self.num[n][:, g], np.float32(0)) if len(self.keys[n]) else np.zeros((2, len(at)), np.float32)
             total, kinds = self.ctx[n][0][:, c], self.ctx[n][1][:, c]
@@ -165,22 +167,22 @@ class Scorer:
         self.model, self.layer, self.cache = model, layer, {}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        lists = [words(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new: set[str] = set()
-        for ws in lists:
-            new.update(set(ws).difference(self.cache))
-        fresh = list(new)
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            self.cache.update(zip(part, self.model.ratios(part).tolist(), strict=True))
-        out = np.zeros((len(lists), FEATURES))
-        get = self.cache.__getitem__
-        for row, ws in zip(out, lists, strict=True):
-            if ws:
-                r = np.fromiter(map(get, ws), np.float64, len(ws))
-                row[:] = self._text(r)
+        out = np.zeros((len(texts), FEATURES))
+        for at in range(0, len(texts), TOGETHER):
+            lists = [words(t) for t in texts[at : at + TOGETHER]]
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+            new: set[str] = set()
+            for ws in lists:
+                new.update(set(ws).difference(self.cache))
+            fresh = list(new)
+            for i in range(0, len(fresh), 20_000):
+                part = fresh[i : i + 20_000]
+                self.cache.update(zip(part, self.model.ratios(part).tolist(), strict=True))
+            get = self.cache.__getitem__
+            for row, ws in zip(out[at:], lists, strict=False):
+                if ws:
+                    row[:] = self._text(np.fromiter(map(get, ws), np.float64, len(ws)))
         return out
 
     @staticmethod
@@ -217,25 +219,22 @@ def fit_layer(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int =
 
 def train(texts: list[str], labels: list[int]) -> Scorer:
     """Models and layer from labelled texts; without both classes a scorer that gives 0."""
-    lists = [Counter(words(t)) for t in texts]
     y = np.array(labels)
-
-    def model(rows: np.ndarray) -> Model:
-        counts = {0: Counter(), 1: Counter()}
-        for i in rows:
-            counts[int(y[i])].update(lists[i])
-        return Model(counts)
-
     if min((y == 1).sum(), (y == 0).sum()) < 2:
         return Scorer(None)
     half = np.zeros(len(y), np.int64)
     for c in (0, 1):
         half[y == c] = np.arange((y == c).sum()) % 2
+    counts = [{0: Counter(), 1: Counter()} for _ in range(2)]
+    for t, c, h in zip(texts, y.tolist(), half.tolist(), strict=True):
+        counts[h][c].update(words(t))
     x = np.zeros((len(y), FEATURES))
     for h in (0, 1):
         other = np.flatnonzero(half == h)
-        x[other] = Scorer(model(np.flatnonzero(half != h))).features([texts[i] for i in other])
-    return Scorer(model(np.arange(len(y))), fit_layer(x, y))
+        x[other] = Scorer(Model(counts[1 - h])).features([texts[i] for i in other])
+    for c in (0, 1):
+        counts[0][c].update(counts[1].pop(c))
+    return Scorer(Model(counts[0]), fit_layer(x, y))
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], list[int]]:
@@ -272,7 +271,7 @@ def scorer(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Scorer(*shared.value)
         for texts in batches:
-            s = np.concatenate([own.scores(texts.iloc[i : i + 200].tolist()) for i in range(0, len(texts), 200)] or [np.zeros(0)])
+            s = own.scores(texts.tolist())
             yield pd.DataFrame({"score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     return run
