@@ -21,22 +21,31 @@ SHIFT = 2
 BUCKET, LEVEL = 6, 12
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value), with value worked out once however often body uses it."""
     return F.transform(F.array(value), body)[0]
 
 
+def word_hashes(text: Column) -> Column:
+    """Hashes of the words between ASCII white space."""
+    return F.transform(F.array_remove(F.split(text, "[ \\t\\n\\r\\f\\x0B]+"), ""), lambda w: F.xxhash64(w))
+
+
+def shingle_hashes(h: Column, shingle: int = SHINGLE) -> Column:
+    """Hashes of all runs of `shingle` words, by the words' hashes; of fewer words all together; of none none."""
+    rolled = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (shingle - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, shingle)]))
+    return F.when(F.size(h) >= shingle, rolled).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+
+
 def sketch(text: Column, shingle: int = SHINGLE, shift: int = SHIFT) -> Column:
     """struct(kept array<int> sorted, mark long) of a text column."""
-    words = F.array_remove(F.split(text, "[ \\t\\n\\r\\f\\x0B]+"), "")
 
     def of(h: Column) -> Column:
-        rolled = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (shingle - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, shingle)]))
-        every = F.when(F.size(h) >= shingle, rolled).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        every = shingle_hashes(h, shingle)
         kept = F.transform(F.filter(every, lambda x: F.shiftrightunsigned(x, 64 - shift) == 0), lambda x: F.shiftrightunsigned(x, 32).cast("int"))
         return F.struct(F.sort_array(F.array_distinct(kept)).alias("kept"), F.xxhash64(h).alias("mark"))
 
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
+    return let(word_hashes(text), of)
 
 
 def fingerprint(s: Column) -> Column:

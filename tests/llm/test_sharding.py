@@ -1,9 +1,12 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import sharding
+from marginalia.llm.common import stash
 from tests.llm import edge
 
 
@@ -29,6 +32,73 @@ def test_law_and_groups(spark, n_docs, shards):
     assert len(cut) <= shards
 
 
+def near_copies(n=60, k=6, seed=5):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for i in range(n):
+        t = [r.choice(words) for _ in range(80)]
+        for _ in range(k):
+            u = list(t)
+            u[r.randrange(80)] = "new" + r.choice(words)
+            docs.append(" ".join(u))
+    docs += [" ".join(r.choice(words) for _ in range(30)) for _ in range(n * k)]
+    r.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def test_propagation_cuts_fewer_links(spark):
+    """Edges cut by label propagation, against those of its first layout and of a layout by hash alone."""
+    docs = spark.createDataFrame(near_copies(), "doc_id long, text string")
+    nodes = docs.groupBy(F.xxhash64("text").alias("node")).agg(F.count("*").alias("cnt"), F.first(sharding.link_keys(F.col("text"))).alias("keys")).cache()
+    links = stash(sharding.links_between(nodes))
+    linked = nodes.join(links.groupBy("node").agg(F.min("key").alias("first")), "node")
+    plain = nodes.select("node", F.pmod("node", F.lit(8)).cast("int").alias("shard"), "cnt")
+    laid = stash(sharding.lay_out(linked, 8, docs.count() // 8))
+    first = [sharding.cut_edges(x, links) for x in (plain, laid)]
+    moved = sharding.propagate(laid, links, docs.count() // 8, 8)
+    last = sharding.cut_edges(moved, links)
+    assert last[0] < first[1][0] < first[0][0] and last[1] == first[0][1]
+    assert last[0] < 0.35 * first[0][0]
+    load = {r.shard: r.n for r in moved.groupBy("shard").agg(F.sum("cnt").alias("n")).collect()}
+    assert sum(load.values()) == linked.agg(F.sum("cnt")).first()[0] and max(load.values()) <= docs.count() // 8
+
+
+def test_propagation_against_dictionaries(spark):
+    """One round by hand: the votes, the half that may move, the quotas."""
+    r = random.Random(3)
+    place = {i: r.randrange(4) for i in range(300)}
+    links = [(i, k) for i in place for k in r.sample(range(60), 2)]
+    state = stash(spark.createDataFrame([(i, s, 1) for i, s in place.items()], "node long, shard int, cnt long"))
+    linked = stash(spark.createDataFrame(links, "node long, key long"))
+    turn = {x.node: x.t for x in state.select("node", F.pmod(F.xxhash64("node", "shard", F.lit(0)), F.lit(2)).alias("t")).collect()}
+    quota = 90
+    load = Counter(place.values())
+    room = {s: max(0, quota - load[s]) for s in range(4)}
+    of = defaultdict(list)
+    for i, k in links:
+        of[k].append(i)
+    wish = {}
+    for i, s in place.items():
+        votes = Counter(place[j] for n, k in links if n == i if len({place[x] for x in of[k]}) > 1 for j in of[k])
+        # the node itself is in each of its links once for every link that is spread
+        own = sum(1 for n, k in links if n == i and len({place[x] for x in of[k]}) > 1)
+        best = max(((v, -t) for t, v in votes.items() if t != s and room[t] >= 1), default=None)
+        if turn[i] == 0 and best and best[0] > max(0, votes[s] - min(own, 1)):
+            wish[i] = -best[1]
+    moved = {x.node: x.shard for x in sharding.propagate(state, linked, quota, 4, rounds=1).collect()}
+    changed = {i for i in place if moved[i] != place[i]}
+    assert changed and changed <= set(wish) and all(moved[i] == wish[i] for i in changed)
+    assert all(sum(1 for i in changed if moved[i] == t) == min(room[t], sum(1 for i in wish if wish[i] == t)) for t in range(4))
+
+
+@pytest.mark.parametrize("n", [5, 80, 87, 203])
+def test_all_linked(spark, n):
+    got = sharding.shard_documents(edge.frame(spark, [(i, f"text {i % 9}") for i in range(n)]), 8).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == n and max(counts.values()) - min(counts.get(s, 0) for s in range(8)) <= 1
+
+
 def test_group_larger_than_a_shard(spark):
     docs = [(i, "same") for i in range(300)] + [(300 + i, f"own {i}") for i in range(100)]
     got = sharding.shard_documents(edge.frame(spark, docs), 8).collect()
