@@ -4,7 +4,7 @@ A document is its token ids and the end id; one longer than `CAPACITY` is cut so
 shorter. All pieces of one length are alike, so best-fit decreasing runs on the histogram of lengths (`CAPACITY`
 numbers, whatever the corpus): a segment tree over remaining capacities finds the tightest open bin in logarithmic
 time, and bins of one capacity are kept as ranges of sequence numbers. The plan has a few rows for each length; each
-piece finds its place in it by its rank among the pieces of its length.
+piece finds its place in it by its rank among the pieces of its length. Pieces of the full length stand outside of it.
 
 Null texts are empty and still take one place for the end id. Repeated rows are packed each; an empty table gives no
 rows. Only doc_id and text are read.
@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.llm.common import bits_for, positions, stash, tune
 from marginalia.llm.tokens import tokenizer_path, unit_tokenizer
@@ -123,16 +124,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """pieces() with sequence_id and offset."""
     parts = stash(pieces(docs, capacity, tokenizer), "pieces")
-    sizes = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    # a full piece is a sequence of its own: it needs no place in the plan and no rank
+    full, rest = parts.where(F.col("length") == capacity), parts.where(F.col("length") < capacity)
+    sizes = {r.length: r.n for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    alone = lambda after: full.select(*columns[:5], (F.monotonically_increasing_id() + after).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if not sizes:
-        return parts.select(*columns[:5], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return alone(0)
     table = np.array(plan(sizes, capacity), np.int64)
     order = np.lexsort((table[:, 1], table[:, 0]))
     table = table[order]
     shared = docs.sparkSession.sparkContext.broadcast(table)  # grows with capacity, not with the corpus
     most = max(sizes.values())
-    ranked = positions(parts, ["length"], F.xxhash64("doc_id", "piece", "start"), ["doc_id", "piece"], min(6, bits_for(most)), "rank")
+    ranked = positions(rest, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), ["doc_id", "piece"], bits_for(most), "rank")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
@@ -143,4 +147,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER)
             i = np.searchsorted(keys, b["length"].to_numpy() * base + rank, side="right") - 1
             yield b.drop(columns="rank").assign(sequence_id=t[i, 3] + rank - t[i, 1], offset=t[i, 4])
 
-    return ranked.select(*columns[:5], "rank").mapInPandas(run, parts.schema.add("sequence_id", "long").add("offset", "long"))
+    placed = ranked.select(*columns[:5], "rank").mapInPandas(run, T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return placed.unionByName(alone(int((table[:, 3] + table[:, 2]).max())))
