@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # Name spaces of short identifiers.
 BASE = "http://dbpedia.org/resource/"
+PAGE = "http://dbpedia.org/page/"
+#: Resources of the knowledge base, those of its language hosts too.
+RESOURCE = r"^http://([a-z]+\.)?dbpedia\.org/resource/"
 NAMESPACES = {
     "dbpo:": "http://dbpedia.org/ontology/",
     "owl:": "http://www.w3.org/2002/07/owl#",
@@ -51,9 +54,13 @@ def encode(c: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(r"^[\x21-\x7e]$") | (x == ""), x).when(x == " ", "%20").otherwise(F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1"))), "")
 
 
-def fix(df: DataFrame, redirects: DataFrame, column: str = "uri", base: str = BASE) -> DataFrame:
-    """/page/ to /resource/, foreign identifiers dropped, percent codes undone, one redirect followed (redirects: fromuri, touri)."""
-    page = F.regexp_replace(column, "^(https?://[^/]+)/page/", "$1/resource/")
-    df = df.withColumn(column, page).where(F.col(column).startswith(base)).withColumn(column, recode(F.col(column)))
+def fix(df: DataFrame, redirects: DataFrame, column: str = "uri") -> DataFrame:
+    """Addresses of pages become resources, what is no resource goes, percent codes undone, one redirect followed (redirects: fromuri, touri).
+
+    Null and empty identifiers stay as they are.
+    """
+    c = F.col(column)
+    df = df.withColumn(column, F.when(c.startswith(PAGE), F.concat(F.lit(BASE), F.substring(c, len(PAGE) + 1, 2**30))).otherwise(c))
+    df = df.where(c.isNull() | (c == "") | c.rlike(RESOURCE)).withColumn(column, recode(c))
     to = redirects.groupBy(F.col("fromuri").alias(column)).agg(F.min("touri").alias("_to"))
     return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")

@@ -14,16 +14,12 @@ from marginalia.operators.spans import matched, span_join
 
 KEY = ["doc_id", "mention_id"]
 # Classes whose members are no candidates.
-BLOCKED_CLASSES = [f"dbpo:{c}" for c in """AcadenicJournal Activity Aircraft Agent Amphibian Animal AnimangaCharacter Anime Arachnid ArchitecturalStructure
-ArtistDiscography Artwork Asteroid Award Bacteria Biomolecule Bird Bone Brain Building Cave CelestialBody ChemicalCompound Colour Comics ComicsCharacter Conifer
-Convention Crustacean CultivatedVariety Currency Disease Drug Election Embryology Enzyme EthnicGroup Eukaryote Event Fern FictionalCharacter FilmFestival Fish
-FloweringPlant Food FootballMatch Fungus Galaxy Game GivenName GrandPrix Grape HistoricBuilding Holiday HollywoodCartoon Hospital Hotel Infrastructure Insect
-Language Legislature Library Lighthouse Locomotive LunarCrater Mammal MeanOfTransportation Medician MilitaryUnit MilitaryConflict MilitaryStructure Mineral
-MixedMartialArtsEvent Mollusca Monument MusicGenre MusicFestival Musical MusicalWork Nerve OlympicResult Painting PeriodicalLiterature PersonFunction Planet Plant
-Play PowerStation Prison ProgrammingLanguage Protein PublicTransitSystem Race RaceHorse RadioProgram RailwayStation RailwayTunnel RecordLabel Religious
-ReligiousBuilding Reptile Restaurant RoadJunction RoadTunnel Road Rocket Saint School Scientist Ship ShoppingMall Single SiteOfSpecialScientificInterest Software
-Song SpaceMission SpaceShuttle SpaceStation Species Sport SportsEvent SportsLeague Stadium Star Station SupremeCourtOfTheUnitedStatesCase Tax TelevisionEpisode
-TelevisionSeason TelevisionShow Theatre Train Tunnel Vein VideogamesLeague Volcano Weapon Website Work WrittenWork Year WorldHeritageSite""".split()]
+BLOCKED_CLASSES = [f"dbpo:{c}" for c in """Activity Aircraft Amphibian Animal AnimangaCharacter Anime Arachnid ArtistDiscography Asteroid Award Bacteria Biomolecule Bird Bone Brain Cave
+CelestialBody ChemicalCompound Colour Conifer Convention Crustacean CultivatedVariety Currency Drug Embryology Enzyme EthnicGroup Eukaryote Fern
+FilmFestival Fish FloweringPlant Food Fungus Galaxy GivenName Insect Language Legislature Locomotive LunarCrater Mammal MilitaryConflict
+MilitaryStructure Mineral MixedMartialArtsEvent Mollusca MusicGenre MusicFestival Nerve OlympicResult PersonFunction Planet Plant ProgrammingLanguage
+Protein PublicTransitSystem Race RaceHorse RailwayTunnel Religious Reptile Road Rocket Ship SiteOfSpecialScientificInterest SpaceMission SpaceShuttle
+SpaceStation Species Star SupremeCourtOfTheUnitedStatesCase Tax Train Vein Volcano Weapon Year WorldHeritageSite""".split()]
 CLASS_FEATURES = ["airp_specific", "airp_interesting", "dbp_specific", "dbp_interesting"]
 # End of fixed values.
 

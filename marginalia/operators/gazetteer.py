@@ -153,7 +153,11 @@ def super_class(spans: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def rotations(words: Column, r: int) -> Column:
-    """All rotations of all choices of r consecutive-in-order words, r = 1 or 2."""
-    if r == 1:
-        return F.transform(words, lambda w: F.array(w))
-    return F.flatten(F.transform(words, lambda a, i: F.transform(F.filter(F.transform(words, lambda b, j: F.struct(b.alias("b"), j.alias("j"))), lambda x: x["j"] != i), lambda x: F.array(a, x["b"]))))
+    """All rotations of all choices of r words, which keep their order: with r words chosen, r arrays."""
+    places = F.transform(words, lambda w, i: F.array(i))
+    for _ in range(r - 1):
+        longer = lambda p: F.transform(F.filter(F.transform(words, lambda w, j: j), lambda j: j > F.element_at(p, -1)), lambda j: F.concat(p, F.array(j)))
+        places = F.flatten(F.transform(places, longer))
+    chosen = F.transform(places, lambda p: F.transform(p, lambda j: F.get(words, j)))
+    turned = lambda c, k: F.concat(F.slice(c, k + 1, r - k), F.slice(c, 1, k)) if k else c
+    return F.flatten(F.transform(chosen, lambda c: F.array(*[turned(c, k) for k in range(r)])))

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 4096
-#: Characters that an article and the white space about it may take at most.
-ARTICLE_GAP = 64
 
 
 def predicate(kind: str, s: Column, e: Column, bs: Column, be: Column) -> Column:
@@ -121,12 +119,10 @@ def resolve_overlaps(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = span_join(m, m, "overlap").where("start < b_start or (start = b_start and stop > b_stop) or stop > b_stop and start < b_start")
     inner = pairs.where("stop >= b_stop").select("doc_id", F.col("b_ann_id").alias("ann_id"))
     partial = pairs.where("start < b_start and stop < b_stop")
-    # only a short gap can be an article, so few pairs need the text
-    near = partial.where(f"b_start - start <= {ARTICLE_GAP}").join(docs.select("doc_id", "text"), "doc_id")
-    between = F.lower(F.trim(F.expr("substring(text, start + 1, b_start - start)")))
+    with_text = partial.join(docs.select("doc_id", "text"), "doc_id")
+    between = F.lower(F.regexp_replace(F.expr("substring(text, start + 1, b_start - start)"), r"^\s+|\s+$", ""))
     loser = F.when(between.isin("", "the", "a", "an"), F.col("ann_id")).otherwise(F.col("b_ann_id"))
-    far = partial.where(f"b_start - start > {ARTICLE_GAP}").select("doc_id", F.col("b_ann_id").alias("ann_id"))
-    gone = inner.unionByName(near.select("doc_id", loser.alias("ann_id"))).unionByName(far).distinct()
+    gone = inner.unionByName(with_text.select("doc_id", loser.alias("ann_id"))).distinct()
     return mentions.join(gone, ["doc_id", "ann_id"], "left_anti")
 
 

@@ -11,7 +11,7 @@ from marginalia.functions import concepts, uris
 from marginalia.functions import text as X
 from marginalia.operators import evaluation, gazetteer, tagging
 from marginalia.plans.pipeline import Plan, Step
-from marginalia.plans.registry import inline, query, table
+from marginalia.plans.registry import example, inline, query, table
 from marginalia.plans.text_queries import TOKENS
 from marginalia.sources import messages, sinks
 from marginalia.streaming import documents as streams
@@ -42,7 +42,7 @@ def case_of_string(spark, sf_dir):
 TYPOS = "(VALUES ('smal'), ('ring'), ('rong'), ('gr8'), ('zzzz'), ('Widgets'), ('blu')) AS t(word)"
 
 
-@query("SELECT * FROM (VALUES ('smal', 'small'), ('ring', 'ring'), ('rong', 'ring'), ('gr8', 'great'), ('zzzz', 'zzzz'), ('Widgets', 'widget'), ('blu', 'blue')) AS t(word, norm)")
+@example("SELECT * FROM (VALUES ('smal', 'small'), ('ring', 'ring'), ('rong', 'ring'), ('gr8', 'great'), ('zzzz', 'zzzz'), ('Widgets', 'widget'), ('blu', 'blue')) AS t(word, norm)")
 def levenshtein_normalise(spark, sf_dir):
     words = F.explode(F.split("p_name", " ")).alias("word")
     known = table(spark, sf_dir, "part").select(words).distinct().unionByName(inline(spark, "(VALUES ('blue'), ('small'), ('ring'), ('widget')) AS t(word)"))
@@ -62,12 +62,12 @@ def context_terms(spark, sf_dir):
 ENTRIES = "(VALUES (1, '  New   York '), (2, ' Zürich'), (3, '   ')) AS t(id, entry)"
 
 
-@query("SELECT * FROM (VALUES (1, 'NEW YORK'), (2, 'ZÜRICH'), (3, '')) AS t(id, norm)")
+@example("SELECT * FROM (VALUES (1, 'NEW YORK'), (2, 'ZÜRICH'), (3, '')) AS t(id, norm)")
 def entry_normalise(spark, sf_dir):
     return inline(spark, ENTRIES).select("id", X.dictionary_entry(F.col("entry")).alias("norm"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a b'), (1, 'b a'), (1, 'a c'), (1, 'c a'), (1, 'b c'), (1, 'c b')) AS t(id, pair)")
+@example("SELECT * FROM (VALUES (1, 'a b'), (1, 'b a'), (1, 'a c'), (1, 'c a'), (1, 'b c'), (1, 'c b')) AS t(id, pair)")
 def word_rotations(spark, sf_dir):
     d = inline(spark, "(VALUES (1, 'a b c')) AS t(id, s)")
     return d.select("id", F.explode(gazetteer.rotations(F.split("s", " "), 2)).alias("p")).select("id", F.array_join("p", " ").alias("pair"))
@@ -84,7 +84,7 @@ def super_class(spark, sf_dir):
 SHORT_URIS = "(VALUES (1, 'Paris'), (2, 'dbpo:City'), (3, 'http://x.org/y'), (4, ''), (5, NULL), (6, 'foaf:name')) AS t(id, u)"
 
 
-@query("SELECT * FROM (VALUES (1, 'http://dbpedia.org/resource/Paris'), (2, 'http://dbpedia.org/ontology/City'), (3, 'http://x.org/y'), (4, ''), (5, NULL), (6, 'http://xmlns.com/foaf/0.1/name')) AS t(id, full_uri)")
+@example("SELECT * FROM (VALUES (1, 'http://dbpedia.org/resource/Paris'), (2, 'http://dbpedia.org/ontology/City'), (3, 'http://x.org/y'), (4, ''), (5, NULL), (6, 'http://xmlns.com/foaf/0.1/name')) AS t(id, full_uri)")
 def expand_uri(spark, sf_dir):
     return inline(spark, SHORT_URIS).select("id", uris.expand(F.col("u")).alias("full_uri"))
 
@@ -98,18 +98,18 @@ def shorten_uri(spark, sf_dir):
 LONG_URIS = "(VALUES (1, 'http://dbpedia.org/page/Old'), (2, 'http://dbpedia.org/resource/A%28b%29'), (3, 'http://other.org/x'), (4, 'http://dbpedia.org/resource/Keep')) AS t(id, uri)"
 
 
-@query("SELECT * FROM (VALUES (1, 'http://dbpedia.org/resource/New'), (2, 'http://dbpedia.org/resource/A(b)'), (4, 'http://dbpedia.org/resource/Keep')) AS t(id, uri)")
+@example("SELECT * FROM (VALUES (1, 'http://dbpedia.org/resource/New'), (2, 'http://dbpedia.org/resource/A(b)'), (4, 'http://dbpedia.org/resource/Keep')) AS t(id, uri)")
 def redirect_uri(spark, sf_dir):
     r = inline(spark, "(VALUES ('http://dbpedia.org/resource/Old', 'http://dbpedia.org/resource/New')) AS t(fromuri, touri)")
     return uris.fix(inline(spark, LONG_URIS), r).select("id", "uri")
 
 
-@query("SELECT * FROM (VALUES (1, 'http://dbpedia.org/resource/Paris'), (2, 'http://dbpedia.org/resource/dbpo:City'), (3, 'http://x.org/y'), (4, ''), (5, ''), (6, 'http://dbpedia.org/resource/foaf:name')) AS t(id, uri)")
+@example("SELECT * FROM (VALUES (1, 'http://dbpedia.org/resource/Paris'), (2, 'http://dbpedia.org/resource/dbpo:City'), (3, 'http://x.org/y'), (4, ''), (5, ''), (6, 'http://dbpedia.org/resource/foaf:name')) AS t(id, uri)")
 def mention_uri(spark, sf_dir):
     return inline(spark, SHORT_URIS).select("id", uris.mention_uri(F.col("u")).alias("uri"))
 
 
-@query("SELECT * FROM (VALUES (1, 'http://x.org/Z%C3%BCrich'), (2, 'a%20b')) AS t(id, uri)")
+@example("SELECT * FROM (VALUES (1, 'http://x.org/Z%C3%BCrich'), (2, 'a%20b')) AS t(id, uri)")
 def normalize_uri(spark, sf_dir):
     return inline(spark, "(VALUES (1, 'http://x.org/Zürich'), (2, 'a b')) AS t(id, u)").select("id", uris.encode(F.col("u")).alias("uri"))
 
@@ -127,23 +127,23 @@ def concept_features(spark, sf_dir):
 STY = "(VALUES (1, 'C1', 'Tissue'), (2, 'C2', 'Finding'), (3, '', 'Tissue'), (4, 'C4', 'Geographic Area'), (5, 'C5', 'Body Part, Organ, or Organ Component'), (6, NULL, NULL)) AS t(id, inst, sty)"
 
 
-@query("SELECT * FROM (VALUES (1, 'kept', 'Anatomy'), (2, 'kept', 'Observation'), (3, 'no inst', 'Anatomy'), (4, 'type', 'none'), (5, 'kept', 'Anatomy'), (6, 'no inst', 'none')) AS t(id, why, grp)")
+@example("SELECT * FROM (VALUES (1, 'kept', 'Anatomy'), (2, 'kept', 'Observation'), (3, 'no inst', 'Anatomy'), (4, 'type', 'none'), (5, 'kept', 'Anatomy'), (6, 'no inst', 'none')) AS t(id, why, grp)")
 def tidy_types(spark, sf_dir):
     t = concepts.tidy(inline(spark, STY))
     return t.select("id", F.coalesce("deleted_because", F.lit("kept")).alias("why"), F.coalesce(concepts.group_of(F.col("sty")), F.lit("none")).alias("grp"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Tissue'), (2, 'Finding'), (3, 'Tissue'), (4, 'Geographic_Area'), (5, 'Body_Part_Organ_or_Organ_Component')) AS t(id, type)")
+@example("SELECT * FROM (VALUES (1, 'Tissue'), (2, 'Finding'), (3, 'Tissue'), (4, 'Geographic_Area'), (5, 'Body_Part_Organ_or_Organ_Component')) AS t(id, type)")
 def concept_types(spark, sf_dir):
     return inline(spark, STY).select("id", F.explode(concepts.type_names(F.col("sty"))).alias("type"))
 
 
-@query("SELECT * FROM (VALUES (1, 1.5), (2, NULL), (3, NULL)) AS t(id, n)".replace("1.5", "CAST(1.5 AS DOUBLE)"))
+@example("SELECT * FROM (VALUES (1, 1.5), (2, NULL), (3, NULL)) AS t(id, n)".replace("1.5", "CAST(1.5 AS DOUBLE)"))
 def correct_null_features(spark, sf_dir):
     return inline(spark, "(VALUES (1, '1.5'), (2, 'null'), (3, NULL)) AS t(id, s)").select("id", concepts.number_or_null(F.col("s")).alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, CAST(1291973473000 AS BIGINT), CAST(2010121009 AS BIGINT)), (2, NULL, NULL)) AS t(id, ms, hour)")
+@example("SELECT * FROM (VALUES (1, CAST(1291973473000 AS BIGINT), CAST(2010121009 AS BIGINT)), (2, NULL, NULL)) AS t(id, ms, hour)")
 def created_at(spark, sf_dir):
     ts = concepts.created_at(F.col("s"))
     d = inline(spark, "(VALUES (1, 'Fri Dec 10 09:31:13 +0000 2010'), (2, 'yesterday')) AS t(id, s)")
@@ -161,7 +161,7 @@ def document_routing(spark, sf_dir):
 TWEETS = """(VALUES (1, '{"id_str":"7","text":"a &amp; b #x","user":{"screen_name":"ann","name":"Ann B"},"entities":{"hashtags":[{"text":"x","indices":[10,12]}],"set:urls":[{"indices":[0,7]}]}}'), (2, '{"id_str":"8","text":"&lt;3 @bob","user":{"screen_name":"cat"},"entities":{"user_mentions":[{"indices":[6,10]}]}}')) AS t(id, js)"""
 
 
-@query(f"SELECT id, json_extract_string(js, '$.user.screen_name') AS screen_name, json_extract_string(js, '$.text') AS text, json_extract_string(js, '$.user.name') AS name FROM {TWEETS}")
+@example(f"SELECT id, json_extract_string(js, '$.user.screen_name') AS screen_name, json_extract_string(js, '$.text') AS text, json_extract_string(js, '$.user.name') AS name FROM {TWEETS}")
 def tweet_paths(spark, sf_dir):
     return inline(spark, TWEETS).select("id", *[messages.dig(F.col("js"), p).alias(n) for p, n in (("user:screen_name", "screen_name"), ("text", "text"), ("user:name", "name"))])
 
@@ -171,24 +171,24 @@ def event_paths(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", messages.dig(F.col("props"), "k").cast("long").alias("k"))
 
 
-@query("SELECT * FROM (VALUES ('7', '', 'hashtags', 6, 8), ('7', 'set', 'urls', 0, 3), ('8', '', 'user_mentions', 3, 7)) AS t(id_str, aset, type, start, stop)")
+@example("SELECT * FROM (VALUES ('7', '', 'hashtags', 6, 8), ('7', 'set', 'urls', 0, 3), ('8', '', 'user_mentions', 3, 7)) AS t(id_str, aset, type, start, stop)")
 def tweet_entities(spark, sf_dir):
     m = inline(spark, TWEETS).select(F.from_json("js", messages.MESSAGE).alias("m")).select("m.*")
     return messages.entities(m)
 
 
-@query(f"SELECT id, replace(replace(replace(json_extract_string(js, '$.text'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM {TWEETS}")
+@example(f"SELECT id, replace(replace(replace(json_extract_string(js, '$.text'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM {TWEETS}")
 def tweet_unescape(spark, sf_dir):
     return inline(spark, TWEETS).select("id", messages.unescape(messages.dig(F.col("js"), "text")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, 'text', 0, 8), (1, 'user:name', 9, 14), (2, 'text', 0, 7)) AS t(id, key, start, stop)")
+@example("SELECT * FROM (VALUES (1, 'text', 0, 8), (1, 'user:name', 9, 14), (2, 'text', 0, 7)) AS t(id, key, start, stop)")
 def tweet_content(spark, sf_dir):
     spans = messages.content(F.col("js"), ["text", "user:name"])[1]
     return inline(spark, TWEETS).select("id", F.explode(spans).alias("s")).select("id", "s.*")
 
 
-@query("SELECT * FROM (VALUES (1, CAST(2 AS BIGINT)), (2, 3), (3, 0)) AS t(id, n)")
+@example("SELECT * FROM (VALUES (1, CAST(2 AS BIGINT)), (2, 3), (3, 0)) AS t(id, n)")
 def read_messages(spark, sf_dir):
     d = inline(spark, """(VALUES (1, '[{"a":1},{"a":2}]'), (2, concat('{"a":1}', chr(10), '{"a":2}', chr(10), chr(10), '{"a":3}')), (3, '')) AS t(id, s)""")
     return d.select("id", F.size(messages.split_text(F.col("s"))).cast("long").alias("n"))
@@ -213,12 +213,12 @@ XML_DOCS = "(VALUES (1, 'Bonn & Paris in May'), (2, 'none <here>')) AS t(doc_id,
 XML_MENTIONS = "(VALUES (1, 0, 4, 'bonn'), (1, 7, 12, 'paris'), (1, 10, 15, 'lost')) AS t(doc_id, start, stop, inst)"
 
 
-@query("SELECT * FROM (VALUES (1, '<Mention inst=\"bonn\">Bonn</Mention> &amp; <Mention inst=\"paris\">Paris</Mention> in May', CAST(2 AS BIGINT)), (2, 'none &lt;here&gt;', 0)) AS t(doc_id, xml, n_mentions)")
+@example("SELECT * FROM (VALUES (1, '<Mention inst=\"bonn\">Bonn</Mention> &amp; <Mention inst=\"paris\">Paris</Mention> in May', CAST(2 AS BIGINT)), (2, 'none &lt;here&gt;', 0)) AS t(doc_id, xml, n_mentions)")
 def export_inline_xml(spark, sf_dir):
     return sinks.inline_xml(inline(spark, XML_DOCS), inline(spark, XML_MENTIONS))
 
 
-@query("""SELECT * FROM (VALUES (1, '{"text":"Bonn & Paris in May","entities":{"M":[{"indices":[0,4]},{"indices":[7,12]},{"indices":[10,15]}]}}'), (2, '{"text":"none <here>"}')) AS t(doc_id, json)""")
+@example("""SELECT * FROM (VALUES (1, '{"text":"Bonn & Paris in May","entities":{"M":[{"indices":[0,4]},{"indices":[7,12]},{"indices":[10,15]}]}}'), (2, '{"text":"none <here>"}')) AS t(doc_id, json)""")
 def export_json(spark, sf_dir):
     return sinks.document_json(inline(spark, XML_DOCS), inline(spark, XML_MENTIONS).drop("inst").withColumn("type", F.lit("M")))
 
@@ -242,7 +242,7 @@ def export_json_documents(spark, sf_dir):
     return sinks.document_json(table(spark, sf_dir, "documents").select("doc_id", "text"), m)
 
 
-@query("SELECT '<table><caption>T</caption><tr><td>1</td><td>2</td><td>correct</td></tr><tr><td></td><td>3</td><td>spurious</td></tr></table>' AS html")
+@example("SELECT '<table><caption>T</caption><tr><td>1</td><td>2</td><td>correct</td></tr><tr><td></td><td>3</td><td>spurious</td></tr></table>' AS html")
 def export_difference_html(spark, sf_dir):
     o = inline(spark, "(VALUES ('T', 1, 1, 2, 'correct'), ('T', 1, NULL, 3, 'spurious')) AS t(type, doc_id, key_id, response_id, outcome)")
     return sinks.difference_html(o).select("html")

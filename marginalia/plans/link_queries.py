@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as X
 from marginalia.operators import candidates as C
 from marginalia.operators import entities, graph, ranking, similarity
-from marginalia.plans.registry import inline, query, table
+from marginalia.plans.registry import example, inline, query, table
 from marginalia.plans.text_queries import TERM_SQL, TOKENS
 
 # The suppliers of a part's line items are its candidates: a part is a mention, a return flag a document.
@@ -72,7 +72,7 @@ PAIR_CANDS = "(VALUES (1, 1, 'paris_fr', 'a'), (1, 1, 'paris_tx', 'a'), (1, 2, '
 PAIR_EDGES = "(VALUES ('texas', 'paris_tx', 3), ('paris_fr', 'france', 9)) AS t(src, dst, cnt)"
 
 
-@query(f"SELECT * FROM {PAIR_CANDS} WHERE inst NOT IN ('paris_fr', 'texas_md')")
+@example(f"SELECT * FROM {PAIR_CANDS} WHERE inst NOT IN ('paris_fr', 'texas_md')")
 def pair_related_filter(spark, sf_dir):
     from marginalia.operators.tokens import tokenize
 
@@ -99,7 +99,7 @@ def pair_related_edges(spark, sf_dir):
 SHORT = "(VALUES (1, 'The United Nations (UN) and the World Health Organization (WHO), later WHO'), (2, 'Bank of England (BOE) (X) none (YZ)'), (3, 'Red Green (AB)')) AS t(doc_id, text)"
 
 
-@query("SELECT * FROM (VALUES (1, 'United Nations', 'UN'), (1, 'World Health Organization', 'WHO')) AS t(doc_id, definition, abbreviation)")
+@example("SELECT * FROM (VALUES (1, 'United Nations', 'UN'), (1, 'World Health Organization', 'WHO')) AS t(doc_id, definition, abbreviation)")
 def abbreviation_match(spark, sf_dir):
     return C.abbreviation_pairs(inline(spark, SHORT))
 
@@ -108,13 +108,13 @@ SHORT_MENTIONS = "(VALUES (1, 1, 'World Health Organization'), (1, 2, 'WHO'), (1
 SHORT_CANDS = "(VALUES (1, 1, 'who', 'x'), (1, 1, 'org', 'x'), (1, 2, 'who', 'y'), (1, 2, 'who_band', 'y'), (1, 3, 'who_band', 'y'), (1, 3, 'who', 'y'), (1, 4, 'geneva', 'z')) AS t(doc_id, mention_id, inst, label)"
 
 
-@query(f"SELECT * FROM {SHORT_CANDS} WHERE inst IN ('who', 'geneva')")
+@example(f"SELECT * FROM {SHORT_CANDS} WHERE inst IN ('who', 'geneva')")
 def abbreviation_filter(spark, sf_dir):
     pairs = C.abbreviation_pairs(inline(spark, SHORT))
     return C.meet_abbreviations(inline(spark, SHORT_CANDS), inline(spark, SHORT_MENTIONS), pairs)
 
 
-@query(f"SELECT doc_id, mention_id, inst, label FROM {SHORT_CANDS} WHERE NOT (mention_id = 3 AND inst = 'who_band') OR mention_id <> 3".replace(" WHERE NOT (mention_id = 3 AND inst = 'who_band') OR mention_id <> 3", " WHERE mention_id <> 3 OR inst = 'who_band' OR inst = 'who'"))
+@example(f"SELECT doc_id, mention_id, inst, label FROM {SHORT_CANDS} WHERE NOT (mention_id = 3 AND inst = 'who_band') OR mention_id <> 3".replace(" WHERE NOT (mention_id = 3 AND inst = 'who_band') OR mention_id <> 3", " WHERE mention_id <> 3 OR inst = 'who_band' OR inst = 'who'"))
 def propagate_by_string(spark, sf_dir):
     """Another mention of a reduced one's string is reduced alike (here to both candidates it had)."""
     changed = inline(spark, "(VALUES (1, 2)) AS t(doc_id, mention_id)")
@@ -141,7 +141,7 @@ THE_MENTIONS = "(VALUES (1, 1, 0, 8, 'the Hague'), (1, 2, 4, 8, 'Hague'), (1, 3,
 THE_CANDS = "(VALUES (1, 1, 'hague'), (1, 1, 'band'), (1, 2, 'hague'), (1, 2, 'william'), (1, 3, 'times_uk'), (1, 4, 'times_font')) AS t(doc_id, mention_id, inst)"
 
 
-@query("SELECT * FROM (VALUES (1, 2, 'hague'), (1, 3, 'times_uk'), (1, 4, 'times_font')) AS t(doc_id, mention_id, inst)")
+@example("SELECT * FROM (VALUES (1, 2, 'hague'), (1, 3, 'times_uk'), (1, 4, 'times_font')) AS t(doc_id, mention_id, inst)")
 def prefix_the_reduce(spark, sf_dir):
     return C.reduce_the(inline(spark, THE_CANDS), C.the_prefixed(inline(spark, THE_MENTIONS)))
 
@@ -167,12 +167,12 @@ OWNERS = "(VALUES (1, 1, 0, 7, 'Anna''s'), (1, 2, 0, 4, 'Anna'), (1, 3, 9, 12, '
 OWNER_CANDS = "(VALUES (1, 1, 'annas', 'Anna''s', 1), (1, 2, 'anna', 'Anna', 2), (1, 3, 'bob', 'Bob', 3)) AS t(doc_id, mention_id, inst, label, freq)"
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'annas', 'Anna''s', 1), (1, 1, 'anna', 'Anna', 2), (1, 3, 'bob', 'Bob', 3)) AS t(doc_id, mention_id, inst, label, freq)")
+@example("SELECT * FROM (VALUES (1, 1, 'annas', 'Anna''s', 1), (1, 1, 'anna', 'Anna', 2), (1, 3, 'bob', 'Bob', 3)) AS t(doc_id, mention_id, inst, label, freq)")
 def possessive_merge(spark, sf_dir):
     return C.merge_lists(inline(spark, OWNER_CANDS), C.possessives(inline(spark, OWNERS)))
 
 
-@query("SELECT * FROM (VALUES (1, 2, 10)) AS t(doc_id, mention_id, clone_id)")
+@example("SELECT * FROM (VALUES (1, 2, 10)) AS t(doc_id, mention_id, clone_id)")
 def user_id_projection(spark, sf_dir):
     users = inline(spark, "(VALUES (1, 10, 0, 5), (1, 11, 6, 9)) AS t(doc_id, ann_id, start, stop)")
     names = inline(spark, "(VALUES (1, 10, 100, 120), (1, 11, 130, 140)) AS t(doc_id, user_ann_id, start, stop)")
@@ -318,7 +318,7 @@ def vector_context(spark, sf_dir):
 PAIRS = "(VALUES (1, 'United Nations', 'UN'), (2, 'New York City', 'York New'), (3, 'Österreich', 'oesterreich'), (4, 'abc', 'xyz'), (5, 'BBC', 'British Broadcasting Corporation'), (6, '', 'x'), (7, 'a_b-c', 'a b c')) AS t(id, a, b)"
 
 
-@query("SELECT * FROM (VALUES (1, 0.5), (2, 0.4), (3, 0.5), (4, 0.0), (5, 0.5), (6, 0.0), (7, 0.5)) AS t(id, score)".replace("0.5)", "CAST(0.5 AS DOUBLE))"))
+@example("SELECT * FROM (VALUES (1, 0.5), (2, 0.4), (3, 0.5), (4, 0.0), (5, 0.5), (6, 0.0), (7, 0.5)) AS t(id, score)".replace("0.5)", "CAST(0.5 AS DOUBLE))"))
 def string_sim(spark, sf_dir):
     p = inline(spark, PAIRS)
     return p.select("id", F.round(X.name_match(X.normalise(F.col("a")), X.normalise(F.col("b"))), 6).alias("score"))
@@ -335,7 +335,7 @@ def string_sim_prefix(spark, sf_dir):
 LABELS = "(VALUES (1, 'UN', 'United Nations|UN', 'title'), (2, 'PARIS', 'Paris', 'sentence'), (3, 'PARIS', 'Paris', 'upper'), (4, 'Paris', 'Rome|Paris Texas', 'title')) AS t(id, mention, labels, case_)"
 
 
-@query("SELECT * FROM (VALUES (1, 0.5), (2, 0.45), (3, 0.5), (4, 0.333333)) AS t(id, score)")
+@example("SELECT * FROM (VALUES (1, 0.5), (2, 0.45), (3, 0.5), (4, 0.333333)) AS t(id, score)")
 def label_similarity(spark, sf_dir):
     p = inline(spark, LABELS)
     return p.select("id", F.round(similarity.label_similarity(F.col("mention"), X.pipe_values(F.col("labels")), F.col("case_")), 6).alias("score"))
@@ -415,13 +415,13 @@ def entity_wordiest_span(spark, sf_dir):
 CHAIN_MENTIONS = "(VALUES (1, 1, 0, 5), (1, 2, 10, 15), (1, 3, 20, 25), (1, 4, 20, 25), (2, 1, 0, 5)) AS t(doc_id, mention_id, start, stop)"
 
 
-@query("SELECT * FROM (VALUES (1, 1, CAST(77 AS BIGINT)), (1, 2, 77), (1, 3, -3), (1, 4, -4), (2, 1, -1)) AS t(doc_id, mention_id, entity_id)")
+@example("SELECT * FROM (VALUES (1, 1, CAST(77 AS BIGINT)), (1, 2, 77), (1, 3, -3), (1, 4, -4), (2, 1, -1)) AS t(doc_id, mention_id, entity_id)")
 def entity_building(spark, sf_dir):
     chains = inline(spark, "(VALUES (1, 77, 0, 5), (1, 77, 10, 15), (1, 78, 20, 25)) AS t(doc_id, chain_id, start, stop)")
     return entities.build(inline(spark, CHAIN_MENTIONS), chains).select("doc_id", "mention_id", F.col("entity_id").cast("long").alias("entity_id"))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'save the whales'), (1, 2, NULL)) AS t(doc_id, mention_id, expansion)")
+@example("SELECT * FROM (VALUES (1, 1, 'save the whales'), (1, 2, NULL)) AS t(doc_id, mention_id, expansion)")
 def expansion_context(spark, sf_dir):
     m = inline(spark, "(VALUES (1, 1, 5, 9), (1, 2, 50, 55)) AS t(doc_id, mention_id, start, stop)").withColumn("ann_id", F.col("mention_id"))
     e = inline(spark, "(VALUES (1, 4, 20, 'user', 'Anna'), (1, 4, 20, 'hashtag', 'save the whales'), (1, 4, 20, 'url', 'a page')) AS t(doc_id, start, stop, kind, text)")

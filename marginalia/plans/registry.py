@@ -11,6 +11,8 @@ from marginalia.model import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Small fixed cases, for the tests alone: a query and the SQL of the rows it must give.
+EXAMPLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 FLAGSHIP = "linked_mentions"
 
 
@@ -30,10 +32,28 @@ def query(sql: str | None = None):
     return put
 
 
+def example(sql: str):
+    """A fixed case of an operator; the registered query of the same name runs over whole tables."""
+
+    def put(f):
+        EXAMPLES[f.__name__] = (f, sql)
+        return f
+
+    return put
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows of SQL that both engines read alike (no backslashes), over one of the driver's tables: `... FROM part`."""
+    head, _, rest = sql.rpartition(" FROM ")
+    name, _, tail = rest.partition(" ")
+    table(spark, sf_dir, name).createOrReplaceTempView(f"source_{name}")
+    return spark.sql(f"{head} FROM source_{name} {tail}")
+
+
 def inline(spark: SparkSession, values: str) -> DataFrame:
     """Rows of an SQL fragment such as `(VALUES (1, 'a')) AS t(x, y)`, which both engines read alike (no backslashes)."""
     return spark.sql(f"SELECT * FROM {values}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia import model
 from marginalia.operators import entities, evaluation, spans
-from marginalia.plans.registry import inline, query, table
+from marginalia.plans.registry import example, inline, query, table
 
 ITEMS = """items AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS ann_id, l_returnflag AS type, l_linestatus AS status,
   date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS start, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) * 10 AS stop, l_quantity FROM lineitem)"""
@@ -145,7 +145,7 @@ TEXTS = "(VALUES (1, 'on the old New York Times and the the Bay Area office'), (
 NESTED = "(VALUES (1, 1, 11, 19), (1, 2, 11, 25), (1, 3, 3, 14), (1, 4, 34, 46), (1, 5, 38, 53), (2, 1, 0, 11), (2, 2, 7, 18)) AS t(doc_id, ann_id, start, stop)"
 
 
-@query("SELECT * FROM (VALUES (1, 2), (1, 5), (2, 1)) AS t(doc_id, ann_id)")
+@example("SELECT * FROM (VALUES (1, 2), (1, 5), (2, 1)) AS t(doc_id, ann_id)")
 def filter_overlapping(spark, sf_dir):
     """Contained spans go; of partly overlapping ones the later, or the earlier if only an article leads to the later."""
     return spans.resolve_overlaps(inline(spark, NESTED).where("not (doc_id = 1 and ann_id = 3)"), inline(spark, TEXTS)).select("doc_id", "ann_id")

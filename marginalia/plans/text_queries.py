@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 from marginalia.operators import gazetteer, grammar, negation, rules, spans, tagging, tokens
-from marginalia.plans.registry import inline, query, table
+from marginalia.plans.registry import example, inline, query, table
 
 # SQL of the plain tokens, for the queries below.
 TOKENS = r"""
@@ -73,7 +73,7 @@ def token_kind_counts(spark, sf_dir):
 CONTRACTED = "(VALUES (1, 'It''s nine o''clock, ma''am; we''ll see.'), (2, 'Rock ''n'' roll on the 22nd and 3rd, c''mon.'), (3, 'the 90s and the ''90s'), (4, 'no joins here')) AS t(doc_id, text)"
 
 
-@query("""SELECT * FROM (VALUES (1, 'It''s'), (1, 'o''clock'), (1, 'ma''am'), (1, 'we''ll'), (2, '''n'''), (2, '22nd'), (2, '3rd'), (2, 'c''mon')) AS t(doc_id, joined)
+@example("""SELECT * FROM (VALUES (1, 'It''s'), (1, 'o''clock'), (1, 'ma''am'), (1, 'we''ll'), (2, '''n'''), (2, '22nd'), (2, '3rd'), (2, 'c''mon')) AS t(doc_id, joined)
   WHERE joined NOT IN ('It''s', 'we''ll') UNION ALL SELECT * FROM (VALUES (1, '''s'), (1, '''ll')) AS t(doc_id, joined)""")
 def token_post_process(spark, sf_dir):
     t = tokens.join_apostrophes(tokens.tokenize(inline(spark, CONTRACTED)))
@@ -83,7 +83,7 @@ def token_post_process(spark, sf_dir):
 MESSAGES = "(VALUES (1, 'RT @anna: see https://example.org/a?b=1 #BigNews :-)'), (2, 'plain words, nothing else'), (3, '@bob #one #two_3 ;D MT @c'), (4, 'he said \"x\" via @dora')) AS t(doc_id, text)"
 
 
-@query(r"""WITH m AS (SELECT * FROM MESSAGES), x AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)https?://[^ \t\n\r\f]+|#[\p{L}\p{N}_]+|@[A-Za-z0-9_]+|[:;=][-'']?[()DPpO/|]|\p{L}+|\p{N}+|[ \t\n\r\f]|.')) AS s FROM m),
+@example(r"""WITH m AS (SELECT * FROM MESSAGES), x AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)https?://[^ \t\n\r\f]+|#[\p{L}\p{N}_]+|@[A-Za-z0-9_]+|[:;=][-'']?[()DPpO/|]|\p{L}+|\p{N}+|[ \t\n\r\f]|.')) AS s FROM m),
   k AS (SELECT doc_id, s, CASE WHEN s LIKE 'http%//%' THEN 'url' WHEN regexp_matches(s, '^#[\p{L}\p{N}_]') THEN 'hashtag' WHEN regexp_matches(s, '^@[A-Za-z0-9_]') THEN 'user' WHEN regexp_matches(s, '^[:;=][-'']?[()DPpO/|]$') THEN 'emoticon' END AS kind FROM x)
   SELECT doc_id, kind, s AS string, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL""".replace("MESSAGES", MESSAGES))
 def message_tokens(spark, sf_dir):
@@ -91,7 +91,7 @@ def message_tokens(spark, sf_dir):
     return t.where("kind in ('url', 'hashtag', 'user', 'emoticon')").groupBy("doc_id", "kind", "string").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, text LIKE 'RT @%' OR text LIKE '% RT @%' OR text LIKE '% MT @%' OR text LIKE '%\" via @%' AS retweet FROM {MESSAGES}")
+@example(f"SELECT doc_id, text LIKE 'RT @%' OR text LIKE '% RT @%' OR text LIKE '% MT @%' OR text LIKE '%\" via @%' AS retweet FROM {MESSAGES}")
 def retweet_detect(spark, sf_dir):
     return inline(spark, MESSAGES).select("doc_id", tokens.is_retweet(F.col("text")).alias("retweet"))
 
@@ -143,7 +143,7 @@ TAB = "chr(9)"
 LIST_LINES = f"(SELECT concat(a, {TAB}, b, {TAB}, c) AS value FROM (VALUES ('New  York', 'inst=ny', 'kind=city'), ('text', 'inst=i2', 'inst=i3'), ('the word', 'x=1', 'y=a=b')) AS v(a, b, c)) AS t"
 
 
-@query("SELECT * FROM (VALUES ('NEW YORK', CAST(2 AS BIGINT), 'ny', 'city', ''), ('TEXT', 1, 'i3', '', ''), ('THE WORD', 2, '', '', 'a=b')) AS t(norm, n_tokens, inst, kind, y)")
+@example("SELECT * FROM (VALUES ('NEW YORK', CAST(2 AS BIGINT), 'ny', 'city', ''), ('TEXT', 1, 'i3', '', ''), ('THE WORD', 2, '', '', 'a=b')) AS t(norm, n_tokens, inst, kind, y)")
 def gazetteer_list_parse(spark, sf_dir):
     from marginalia.sources.dictionaries import parse_list
 
@@ -152,7 +152,7 @@ def gazetteer_list_parse(spark, sf_dir):
     return e.select("norm", F.col("n_tokens").cast("long").alias("n_tokens"), value("inst"), value("kind"), value("y"))
 
 
-@query("SELECT * FROM (VALUES ('a.lst', 'loc', 'city', 'en', 'Place'), ('b.lst', 'per', '', '', 'Lookup')) AS t(list_file, major, minor, language, ann_type)")
+@example("SELECT * FROM (VALUES ('a.lst', 'loc', 'city', 'en', 'Place'), ('b.lst', 'per', '', '', 'Lookup')) AS t(list_file, major, minor, language, ann_type)")
 def gazetteer_definition_parse(spark, sf_dir):
     from marginalia.sources.dictionaries import parse_definitions
 
@@ -180,7 +180,7 @@ DEMONYMS = "(VALUES ('BELGIAN', 'Belgium'), ('FRENCH', 'France'), ('DUTCH', 'Net
 PRESS = "(VALUES (1, 'The Belgian and  French papers'), (2, 'a dutch uncle'), (3, 'nobody')) AS t(doc_id, text)"
 
 
-@query("SELECT * FROM (VALUES (1, 'Belgian', 'Belgium'), (1, 'French', 'France'), (2, 'dutch', 'Netherlands')) AS t(doc_id, string, query)")
+@example("SELECT * FROM (VALUES (1, 'Belgian', 'Belgium'), (1, 'French', 'France'), (2, 'dutch', 'Netherlands')) AS t(doc_id, string, query)")
 def demonym_query(spark, sf_dir):
     docs = inline(spark, PRESS)
     m = gazetteer.match(tokens.tokenize(docs), inline(spark, DEMONYMS), 1).join(docs, "doc_id")
@@ -192,7 +192,7 @@ NAMES = "(VALUES (1, 1, 'Jane Anne Doe', 'Person'), (1, 2, 'Lake Town', 'Locatio
 NAME_INDEX = "(VALUES ('JANE ANNE DOE', 'jad', 'Person'), ('DOE JANE', 'dj', 'Person'), ('ANNE', 'an', 'Person'), ('LAKE TOWN', 'lt', 'Place'), ('LAKE', 'l', 'Location'), ('A:B', 'ab', 'Person')) AS t(norm, inst, type)"
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'jad', CAST(0 AS BIGINT)), (1, 1, 'dj', 1), (1, 1, 'an', 2), (1, 2, 'lt', 0), (1, 2, 'l', 2)) AS t(doc_id, ann_id, inst, level)")
+@example("SELECT * FROM (VALUES (1, 1, 'jad', CAST(0 AS BIGINT)), (1, 1, 'dj', 1), (1, 1, 'an', 2), (1, 2, 'lt', 0), (1, 2, 'l', 2)) AS t(doc_id, ann_id, inst, level)")
 def name_index_levels(spark, sf_dir):
     return gazetteer.exact_levels(inline(spark, NAMES), inline(spark, NAME_INDEX)).withColumn("level", F.col("level").cast("long"))
 
@@ -252,7 +252,7 @@ FACTS = "(VALUES (1, 'It cost $1,200.50 or 30 million euros, up 4.5% on 12 May 2
 FACT_TYPES = ["Money", "Percent", "Date", "Time", "Postcode", "Street"]
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, unnest(regexp_extract_all(text, '{rules.ENTITIES[t].replace(chr(39), chr(39) * 2)}')) AS string FROM {FACTS}" for t in FACT_TYPES))
+@example(" UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, unnest(regexp_extract_all(text, '{rules.ENTITIES[t].replace(chr(39), chr(39) * 2)}')) AS string FROM {FACTS}" for t in FACT_TYPES))
 def extract_money_percent_date(spark, sf_dir):
     docs = inline(spark, FACTS)
     out = [rules.find_all(docs, "text", rules.ENTITIES[t]).select("doc_id", F.lit(t).alias("type"), "string") for t in FACT_TYPES]
@@ -269,12 +269,12 @@ def _names_sql(source: str, names: list[tuple[str, str]]) -> str:
     return " UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS string FROM {source}" for t, p in names)
 
 
-@query(_names_sql(PEOPLE, rules.NAME_RULES))
+@example(_names_sql(PEOPLE, rules.NAME_RULES))
 def named_entities(spark, sf_dir):
     return rules.named_entities(inline(spark, PEOPLE)).select("doc_id", "type", "string")
 
 
-@query(_names_sql(FRENCH, rules.FRENCH_RULES))
+@example(_names_sql(FRENCH, rules.FRENCH_RULES))
 def named_entities_french(spark, sf_dir):
     return rules.named_entities(inline(spark, FRENCH), rules.FRENCH_RULES).select("doc_id", "type", "string")
 
@@ -282,7 +282,7 @@ def named_entities_french(spark, sf_dir):
 TAGGED = "(VALUES (1, 'He/PRP has/VBZ never/RB been/VBN seen/VBN'), (2, 'She/PRP will/MD not/RB go/VB and/CC sings/VBZ'), (3, 'Dogs/NNS'), (4, 'It/PRP was/VBD being/VBG built/VBN to/TO last/VB'), (5, 'They/PRP did/VBD not/RB try/VB seeing/VBG'), (6, 'It/PRP might/MD have/VB been/VBN working/VBG')) AS t(doc_id, tagged)"
 
 
-@query("""SELECT * FROM (VALUES (1, 'has never been seen', 'finite', 'PerPre', 'passive', true), (2, 'will not go', 'finite', 'SimFut', 'active', true), (2, 'sings', 'finite', 'SimPre', 'active', false),
+@example("""SELECT * FROM (VALUES (1, 'has never been seen', 'finite', 'PerPre', 'passive', true), (2, 'will not go', 'finite', 'SimFut', 'active', true), (2, 'sings', 'finite', 'SimPre', 'active', false),
   (4, 'was being built', 'finite', 'ConPas', 'passive', false), (4, 'to last', 'infinitive', 'SimInf', 'active', false), (5, 'did not try', 'finite', 'SimPas', 'active', true), (5, 'seeing', 'participle', 'Pre', 'active', false),
   (6, 'might have been working', 'modal', 'PerConModal', 'active', false)) AS t(doc_id, words, kind, tense, voice, negated)""")
 def verb_groups(spark, sf_dir):
@@ -298,7 +298,7 @@ REPORTS = "(VALUES (1, 'Mr. J. Smith met Anna Bell, director of Green & Old Vall
 KNOWN_NAMES = "(VALUES ('ANNA', 'first_name'), ('PARIS', 'location'), ('PARIS', 'first_name'), ('YORK', 'location')) AS t(norm, kind)"
 
 
-@query("""SELECT * FROM (VALUES (1, 'Mr. J. Smith', 'Person', 'PersonTitle'), (1, 'Anna Bell', 'Person', 'PersonFull'), (1, 'director', 'JobTitle', 'JobTitle'), (1, 'Green & Old Valley Ltd', 'Organization', 'CompanyEnding'), (1, 'Mount Etna', 'Location', 'LocationKey'),
+@example("""SELECT * FROM (VALUES (1, 'Mr. J. Smith', 'Person', 'PersonTitle'), (1, 'Anna Bell', 'Person', 'PersonFull'), (1, 'director', 'JobTitle', 'JobTitle'), (1, 'Green & Old Valley Ltd', 'Organization', 'CompanyEnding'), (1, 'Mount Etna', 'Location', 'LocationKey'),
   (2, 'University of York', 'Organization', 'KeyOf'), (2, 'Kolb', 'Person', 'PersonContext'), (2, 'Quern', 'Location', 'LocationContext'), (3, 'Zorn', 'Person', 'SaysPerson'), (3, 'Paris', 'Person', 'FirstName'), (4, 'chairman', 'JobTitle', 'JobTitle'), (4, 'Brack', 'Person', 'JobTitlePerson')) AS t(doc_id, string, type, rule)""")
 def name_grammar(spark, sf_dir):
     """Phases of rules over coded tokens: titles, endings, keys and dictionaries, then what stands next to unknown names."""
@@ -342,7 +342,7 @@ def label_runs(spark, sf_dir):
 CHAIN_NAMES = "(VALUES (1, 1, 'Mr John Smith'), (1, 2, 'Smith'), (1, 3, 'United Nations'), (1, 4, 'UN'), (1, 5, 'Ångström'), (1, 6, 'Angstrom'), (2, 1, 'Smith'), (2, 2, 'Jones')) AS t(doc_id, ann_id, string)"
 
 
-@query("SELECT * FROM (VALUES (1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 3), (1, 5, 5), (1, 6, 6), (2, 1, 1), (2, 2, 2)) AS t(doc_id, ann_id, chain_id)")
+@example("SELECT * FROM (VALUES (1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 3), (1, 5, 5), (1, 6, 6), (2, 1, 1), (2, 2, 2)) AS t(doc_id, ann_id, chain_id)")
 def name_variants(spark, sf_dir):
     return tagging.name_variants(inline(spark, CHAIN_NAMES), rounds=4).select("doc_id", "ann_id", "chain_id")
 
@@ -359,7 +359,7 @@ def lemma_counts(spark, sf_dir):
 CAMEL = "(VALUES (1, 'SaveTheWhales'), (2, 'NASALaunch'), (3, 'iPhone'), (4, 'plain'), (5, 'ABCd')) AS t(id, s)"
 
 
-@query(f"SELECT id, regexp_replace(regexp_replace(s, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]{{2}})([a-z])', '\\1 \\2', 'g') AS parts FROM {CAMEL}")
+@example(f"SELECT id, regexp_replace(regexp_replace(s, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]{{2}})([a-z])', '\\1 \\2', 'g') AS parts FROM {CAMEL}")
 def camel_split(spark, sf_dir):
     return inline(spark, CAMEL).select("id", F.array_join(X.camel_split(F.col("s")), " ").alias("parts"))
 
@@ -369,7 +369,7 @@ TRIGGERS = "(VALUES ('NO SIGN OF', 'negation', 'Negated', false), ('DENIES', 'ne
 CONCEPTS = "(VALUES ('FEVER'), ('COUGH'), ('ASTHMA'), ('PAIN'), ('STROKE')) AS t(norm)"
 
 
-@query("""SELECT * FROM (VALUES (1, 'FEVER', 'Negated', 'Recent', 'Patient'), (1, 'COUGH', 'Affirmed', 'Recent', 'Patient'), (2, 'ASTHMA', 'Affirmed', 'Recent', 'Other'), (3, 'PAIN', 'Negated', 'Recent', 'Patient'), (3, 'PAIN', 'Affirmed', 'Recent', 'Patient'),
+@example("""SELECT * FROM (VALUES (1, 'FEVER', 'Negated', 'Recent', 'Patient'), (1, 'COUGH', 'Affirmed', 'Recent', 'Patient'), (2, 'ASTHMA', 'Affirmed', 'Recent', 'Other'), (3, 'PAIN', 'Negated', 'Recent', 'Patient'), (3, 'PAIN', 'Affirmed', 'Recent', 'Patient'),
   (4, 'COUGH', 'Affirmed', 'Recent', 'Patient'), (5, 'STROKE', 'Affirmed', 'historical', 'Patient')) AS t(doc_id, norm, negation, temporality, experiencer)""")
 def context_negation(spark, sf_dir):
     con = tag_context(spark, tokens.tokenize(inline(spark, NOTES)), inline(spark, TRIGGERS), inline(spark, CONCEPTS), 1)

@@ -16,6 +16,13 @@ def test_query(spark, name):
         oracle.compare(got, oracle.expected(registry.ORACLES[name], SF))
 
 
+@pytest.mark.parametrize("name", sorted(registry.EXAMPLES))
+def test_example(spark, name):
+    run, sql = registry.EXAMPLES[name]
+    assert name in registry.QUERIES
+    oracle.compare(run(spark, SF).toPandas(), oracle.expected(sql, SF))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
