@@ -11,6 +11,8 @@ Offsets count code points, begin at 0 and are half open.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ def from_annotations(annotations: DataFrame, aset: str, *types: str, features: t
     return df.select("doc_id", "ann_id", "type", "start", "stop", *[F.col("features")[f].alias(f) for f in features])
 
 
-def transfer(annotations: DataFrame, source: str, target: str, *types: str, move: bool = False, inside: DataFrame | None = None) -> DataFrame:
-    """Copy (or move) annotations of the types from one set to another; inside: only those within one of its spans."""
+def transfer(annotations: DataFrame, source: str, target: str, *types: str, move: bool = False, inside: DataFrame | None = None, all_unless_found: bool = False) -> DataFrame:
+    """Copy (or move) annotations of the types from one set to another; inside: only those within one of its spans, and with
+    all_unless_found all those of documents that have no such span."""
     mine = F.col("aset") == source
     if types:
         mine &= F.col("type").isin(*types)
@@ -45,7 +48,9 @@ def transfer(annotations: DataFrame, source: str, target: str, *types: str, move
     if inside is not None:
         from marginalia.operators.spans import matched
 
-        picked = matched(picked, inside, "within")
+        within = matched(picked, inside, "within")
+        bare = picked.join(inside.select("doc_id").distinct(), "doc_id", "left_anti").select(*picked.columns)
+        picked = within.unionByName(bare) if all_unless_found else within
     copies = picked.withColumn("aset", F.lit(target))
     if not move:
         return annotations.unionByName(copies)
@@ -60,8 +65,17 @@ def reset(annotations: DataFrame, *asets: str, types: tuple[str, ...] = ()) -> D
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df from the session's checkpoint folder, so that long loops have short plans; df itself where no folder is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """df from the session's checkpoint folder, so that long loops have short plans.
+
+    Where no folder is set, local mode takes one of its own; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marginalia-"))
+    return df.checkpoint()
 
 
 def settle(spark: SparkSession) -> SparkSession:

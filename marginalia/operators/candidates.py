@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import pipe_values
+from marginalia.model import cut_lineage
 from marginalia.operators.spans import matched, span_join
 
 KEY = ["doc_id", "mention_id"]
@@ -99,8 +100,13 @@ def comma_pairs(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
     return comma.join(first, ["doc_id", "a"]).join(second, ["doc_id", "z"]).select("doc_id", "first_id", "second_id")
 
 
-def related_pairs(pairs: DataFrame, cands: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidates of each pair's two mentions that have a link to one of the other, either way; of a pair without any link all stay."""
+def comma_singles(mentions: DataFrame) -> DataFrame:
+    """Mentions with a comma inside."""
+    return mentions.where(F.col("string").contains(","))
+
+
+def linked_insts(pairs: DataFrame, cands: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, mention_id, inst of the candidates of each pair's two mentions that have a link to one of the other, either way."""
     a = cands.select("doc_id", F.col("mention_id").alias("first_id"), F.col("inst").alias("x"))
     b = cands.select("doc_id", F.col("mention_id").alias("second_id"), F.col("inst").alias("y"))
     links = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -108,9 +114,79 @@ def related_pairs(pairs: DataFrame, cands: DataFrame, edges: DataFrame) -> DataF
     links = links.join(a.select(F.col("x").alias("src")).distinct(), "src", "left_semi").join(b.select(F.col("y").alias("dst")).distinct(), "dst", "left_semi")
     linked = pairs.join(a, ["doc_id", "first_id"]).join(links, F.col("x") == F.col("src")).withColumnRenamed("dst", "y").join(b, ["doc_id", "second_id", "y"])
     linked = linked.select("doc_id", "first_id", "second_id", "x", "y")
-    good = linked.select("doc_id", F.col("first_id").alias("mention_id"), F.col("x").alias("inst")).unionByName(linked.select("doc_id", F.col("second_id").alias("mention_id"), F.col("y").alias("inst"))).distinct()
+    return linked.select("doc_id", F.col("first_id").alias("mention_id"), F.col("x").alias("inst")).unionByName(linked.select("doc_id", F.col("second_id").alias("mention_id"), F.col("y").alias("inst"))).distinct()
+
+
+def reduce_to(cands: DataFrame, good: DataFrame) -> DataFrame:
+    """Lists of the mentions in good (doc_id, mention_id, inst) keep only its insts; other lists stay as they are."""
     touched = good.select(*KEY).distinct()
-    return cands.join(touched, KEY, "left_anti").unionByName(cands.join(good, [*KEY, "inst"], "left_semi").select(*cands.columns))
+    return cands.join(touched, KEY, "left_anti").unionByName(cands.join(good.select(*KEY, "inst"), [*KEY, "inst"], "left_semi").select(*cands.columns))
+
+
+def related_pairs(pairs: DataFrame, cands: DataFrame, edges: DataFrame) -> DataFrame:
+    """Candidates of each pair's two mentions that have a link to one of the other, either way; of a pair without any link all stay."""
+    return reduce_to(cands, linked_insts(pairs, cands, edges))
+
+
+def earliest_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs (doc_id, first_id, second_id, start, stop) without those that overlap one that starts earlier, or at the same place and is longer."""
+    p = pairs.withColumn("ann_id", F.xxhash64("doc_id", "first_id", "second_id"))
+    before = (F.col("b_start") < F.col("start")) | ((F.col("b_start") == F.col("start")) & (F.col("b_stop") > F.col("stop")))
+    return matched(p, p.select("doc_id", "start", "stop"), "overlap", keep=False, extra=before).drop("ann_id")
+
+
+def location_pairs(mentions: DataFrame, pairs: DataFrame, cands: DataFrame, edges: DataFrame, cls: str = "dbpo:PopulatedPlace") -> tuple[DataFrame, DataFrame]:
+    """Candidates of 'A, B' narrowed down by what both have to do with each other: (cands, mentions) that are left.
+
+    Of overlapping pairs the earliest counts. A pair that no mention with a comma overlaps: if places (candidates of cls)
+    of both have a link, both lists keep only such places. A pair that just one such mention covers exactly: if the first
+    has places of it, the mention goes, the first list keeps those places, and where they have links to places of the
+    second, both keep the linked ones. Any other pair stays as it is. Lists of other mentions with the string of a
+    narrowed one are narrowed alike. pairs (doc_id, first_id, second_id); mentions (doc_id, mention_id, start, stop, string).
+    """
+    first = mentions.select("doc_id", F.col("mention_id").alias("first_id"), "start")
+    second = mentions.select("doc_id", F.col("mention_id").alias("second_id"), "stop")
+    found = earliest_pairs(pairs.join(first, ["doc_id", "first_id"]).join(second, ["doc_id", "second_id"]))
+    singles = comma_singles(mentions).select("doc_id", "mention_id", "start", "stop")
+    over = span_join(found, singles, "overlap").groupBy("doc_id", "first_id", "second_id").agg(
+        F.count("*").alias("n"), F.max("b_mention_id").alias("one_id"), F.max((F.col("b_start") == F.col("start")) & (F.col("b_stop") == F.col("stop"))).alias("exact"))
+    found = cut_lineage(found.join(over, ["doc_id", "first_id", "second_id"], "left"))
+    places = of_class(cands, cls)
+    alone = found.where("n is null").select("doc_id", "first_id", "second_id")
+    covered = found.where("n = 1 and exact").select("doc_id", "first_id", "second_id", "one_id")
+    # places of the single mention that the first of the pair has too
+    one = places.select("doc_id", F.col("mention_id").alias("one_id"), "inst")
+    both = covered.join(one, ["doc_id", "one_id"]).join(cands.select("doc_id", F.col("mention_id").alias("first_id"), "inst").distinct(), ["doc_id", "first_id", "inst"])
+    both = cut_lineage(both)
+    shared = both.select("doc_id", F.col("first_id").alias("mention_id"), "inst").distinct()
+    gone = both.select("doc_id", F.col("one_id").alias("mention_id")).distinct()
+    kept = both.select("doc_id", "first_id", "second_id").distinct()
+    narrowed = places.select(*KEY, "inst").join(shared.select(*KEY).distinct(), KEY, "left_anti").unionByName(shared)
+    good = linked_insts(alone.unionByName(kept), narrowed, edges)
+    good = cut_lineage(good)
+    good = good.unionByName(shared.join(good.select(*KEY).distinct(), KEY, "left_anti"))
+    left = cut_lineage(reduce_to(of_mentions(cands, mentions).join(gone, KEY, "left_anti"), good))
+    rest = mentions.join(gone, KEY, "left_anti")
+    return propagate_by_string(left, rest, good.select(*KEY).distinct()), rest
+
+
+def remove_lists(mentions: DataFrame, cands: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mentions and candidates without the lists of gone (doc_id, mention_id), and how many candidates went: doc_id, removed."""
+    keys = gone.select(*KEY).distinct()
+    taken = cands.join(keys, KEY, "left_semi").groupBy("doc_id").agg(F.count("*").alias("removed"))
+    return mentions.join(keys, KEY, "left_anti"), cands.join(keys, KEY, "left_anti"), taken
+
+
+def remove_candidates(cands: DataFrame, gone: DataFrame) -> DataFrame:
+    """Candidates without those of gone (doc_id, mention_id, inst)."""
+    return cands.join(gone.select(*KEY, "inst").distinct(), [*KEY, "inst"], "left_anti")
+
+
+def describe(cands: DataFrame, *features: str) -> DataFrame:
+    """doc_id, mention_id, line: a list as text, for logs: inst{feature=value, ...} in order, missing values left out."""
+    pairs = F.filter(F.array(*[F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in features]), lambda x: x.isNotNull())
+    one = F.concat("inst", F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+    return cands.select(*KEY, one.alias("one")).groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list("one")), "; ").alias("line"))
 
 
 def the_prefixed(mentions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.spans import BUCKET, span_join
+from marginalia.operators.spans import BUCKET, matched, span_join
 
 FAR = 1_000_000
 
@@ -105,6 +105,34 @@ def in_original(mentions: DataFrame, sizes: DataFrame) -> DataFrame:
     return mentions.join(sizes, "doc_id").where(F.col("stop") <= F.col("size")).select(*mentions.columns)
 
 
+def share_inst(a: Column, b: Column) -> Column:
+    """Whether two lists of insts have one in common; a missing list has none."""
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+
+
+def of_keys_only(entities: DataFrame, keys: DataFrame, switch: DataFrame) -> DataFrame:
+    """In the documents of switch (doc_id) only entities that overlap a gold mention stay; in others all do."""
+    on = entities.join(switch.select("doc_id").distinct(), "doc_id", "left_semi")
+    off = entities.join(switch.select("doc_id").distinct(), "doc_id", "left_anti")
+    return off.unionByName(matched(on, keys, "overlap").select(*off.columns))
+
+
+def append_expansions(docs: DataFrame, mentions: DataFrame, cache: DataFrame, gap: str = "\n") -> tuple[DataFrame, DataFrame]:
+    """Texts with what is known of their mentions after them, and where: (docs, spans of doc_id, mention_id, start, stop).
+
+    mentions (doc_id, mention_id, start, kind, key), cache (kind, key, text). Expansions follow in the order of the
+    mentions, each after a gap; a mention that the cache lacks has none. The original text keeps its offsets.
+    """
+    known = mentions.join(cache.groupBy("kind", "key").agg(F.min("text").alias("more")), ["kind", "key"])
+    lists = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "mention_id", "more"))).alias("_m"))
+    longer = docs.join(lists, "doc_id", "left")
+    text = F.when(F.col("_m").isNull(), F.col("text")).otherwise(F.concat("text", F.lit(gap), F.array_join(F.transform("_m", lambda x: x["more"]), gap)))
+    before = lambda i: F.aggregate(F.slice("_m", F.lit(1), i), F.length("text"), lambda n, x: n + len(gap) + F.length(x["more"]))
+    places = F.transform("_m", lambda x, i: F.struct(x["mention_id"].alias("mention_id"), (before(i) + len(gap)).alias("start"), (before(i) + len(gap) + F.length(x["more"])).alias("stop")))
+    spans = longer.where("_m is not null").select("doc_id", F.explode(places).alias("p")).select("doc_id", "p.*")
+    return longer.withColumn("text", text).select(*docs.columns), spans
+
+
 def mapped_type(classes: Column, groups: dict[str, Sequence[str]]) -> Column:
     """The first group (in order: Person, Location, Organization, ...) with one of the classes; else Other."""
     out = F.lit("Other")

@@ -50,6 +50,57 @@ def match(tokens: DataFrame, dictionary: DataFrame, longest: int, longest_only:
     return found
 
 
+def match_in(words: DataFrame, dictionary: DataFrame, longest: int, feature: str = "string", within: DataFrame | None = None, splits: DataFrame | None = None, longest_only: bool = True, case_sensitive: bool = False) -> DataFrame:
+    """`match` over a feature of the words (a root, say) in place of their strings, whatever white space lies between them.
+
+    within: only words inside one of these spans count, and no match leaves its span; splits: places (start) that no match crosses.
+    """
+    from marginalia.operators.spans import span_join
+
+    w = words.withColumn("string", F.coalesce(feature, "string")) if feature != "string" else words
+    chunk = []
+    if within is not None:
+        spans = within.select("doc_id", "start", "stop").distinct().withColumn("_in", F.col("start"))
+        w = span_join(w, spans, "within").withColumnRenamed("b__in", "_in").drop("b_start", "b_stop")
+        chunk.append("_in")
+    if splits is not None:
+        marks = splits.select("doc_id", "start", F.lit(1).alias("_s")).distinct()
+        every = w.withColumn("_s", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+        line = Window.partitionBy("doc_id").orderBy("start", F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+        w = every.withColumn("_part", F.sum("_s").over(line)).where("_s = 0").drop("_s")
+        chunk.append("_part")
+    if not chunk:
+        return match(w, dictionary, longest, longest_only, case_sensitive)
+    return match(w.withColumn("_chunk", F.struct(*chunk)).drop(*chunk), dictionary, longest, longest_only, case_sensitive, chunk="_chunk")
+
+
+def save_dictionary(dictionary: DataFrame, table: str, path: str, buckets: int = 32) -> None:
+    """Keep a compiled dictionary (norm, ...) as a table in buckets by entry, sorted: joins with it shuffle one side only."""
+    out = dictionary.repartition(buckets, "norm")
+    out.write.bucketBy(buckets, "norm").sortBy("norm").format("parquet").mode("overwrite").option("path", path).saveAsTable(table)
+
+
+#: Marks of the beginning and end of a field in the index.
+FIELD_BEGIN, FIELD_END = "__S__", "__E__"
+
+
+def field_index(rows: DataFrame, key: str, *fields: str) -> DataFrame:
+    """key, field, place, term of every field's lower-cased words, with a mark before the first and after the last, so that whole
+    fields can be searched as well as parts of them."""
+    one = lambda f: F.struct(F.lit(f).alias("field"), F.concat(F.array(F.lit(FIELD_BEGIN)), F.filter(F.split(F.lower(F.coalesce(f, F.lit(""))), "[ \\t\\n\\r\\f]+"), lambda w: w != ""), F.array(F.lit(FIELD_END))).alias("words"))
+    each = rows.select(key, F.explode(F.array(*[one(f) for f in fields])).alias("f")).where(F.size("f.words") > 2)
+    return each.select(key, "f.field", F.posexplode("f.words").alias("place", "term"))
+
+
+def phrase_search(index: DataFrame, queries: DataFrame, key: str, whole: bool = False) -> DataFrame:
+    """query_id, key, field of the fields that hold a query's words (query_id, text) one after the other; whole: and nothing else."""
+    words = F.filter(F.split(F.lower("text"), "[ \\t\\n\\r\\f]+"), lambda w: w != "")
+    words = F.concat(F.array(F.lit(FIELD_BEGIN)), words, F.array(F.lit(FIELD_END))) if whole else words
+    q = queries.select("query_id", F.size(words).alias("n"), F.posexplode(words).alias("i", "term"))
+    hits = q.join(index, "term").groupBy("query_id", "n", key, "field", (F.col("place") - F.col("i")).alias("at")).agg(F.count("*").alias("m"))
+    return hits.where("m = n").select("query_id", key, "field").distinct()
+
+
 def match_anywhere(docs: DataFrame, dictionary: list[str], longest_only: bool = True, most: int = 2_000_000) -> DataFrame:
     """Matches that need not begin or end at a word: an automaton over the whole text. The dictionary is given by value, at most `most` entries."""
     if len(dictionary) > most:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import case_of, name_match, strip_accents
+from marginalia.functions.text import case_of, cosine, name_match, strip_accents
 
 # A short list of words without content.
 STOP_WORDS = """a about above after again all also am an and any are as at be because been before being below between both but by can could did do does
@@ -64,6 +64,18 @@ def text_vectors(df: DataFrame, column: str, term_vectors: DataFrame, *keys: str
     return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("vec"))
 
 
+def vector_similarities(contexts: DataFrame, cands: DataFrame, texts: DataFrame, term_vectors: DataFrame) -> DataFrame:
+    """entity_id, inst, source, cosine: a context's vector against those of what each source says of a candidate.
+
+    contexts (entity_id, text), cands (entity_id, inst), texts (inst, source, text): say, what an inst's own facts, those
+    of its neighbours and its abstract say. A candidate or context without a known term has no row for that source.
+    """
+    x = text_vectors(contexts, "text", term_vectors, "entity_id").withColumnRenamed("vec", "x")
+    y = text_vectors(texts, "text", term_vectors, "inst", "source").withColumnRenamed("vec", "y")
+    j = cands.select("entity_id", "inst").distinct().join(x, "entity_id").join(y, "inst")
+    return j.select("entity_id", "inst", "source", F.round(cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
 def label_similarity(mention: Column, labels: Column, sentence_case: Column | None = None, wrong_case: float = 0.9) -> Column:
     """Best likeness of a mention's text to any label; times wrong_case where just one of both is in capitals and the sentence is not."""
 

@@ -162,6 +162,33 @@ def context_words(spans: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
 
 def previous_tokens(tokens: DataFrame, k: int = 5) -> DataFrame:
-    """prev1 to prevk: the strings of the tokens before, within the document."""
+    """prev1 to prevk: the strings of the tokens before, within the document; also prevtag1 to prevtagk if tokens have tags."""
     w = Window.partitionBy("doc_id").orderBy("tok_no")
-    return tokens.withColumns({f"prev{i}": F.lag("string", i).over(w) for i in range(1, k + 1)})
+    kinds = {"prev": "string"} | ({"prevtag": "tag"} if "tag" in tokens.columns else {})
+    return tokens.withColumns({f"{name}{i}": F.lag(c, i).over(w) for name, c in kinds.items() for i in range(1, k + 1)})
+
+
+def context_entities(entities: DataFrame, window: int) -> DataFrame:
+    """around: numbers (ann_id) of the entities at most `window` places before or after each, in the order of the text."""
+    w = Window.partitionBy("doc_id").orderBy("start", "stop", "ann_id")
+    before, after = (F.collect_list("ann_id").over(w.rowsBetween(*r)) for r in ((-window, -1), (1, window)))
+    return entities.withColumn("around", F.concat(before, after))
+
+
+def with_value(spans: DataFrame, feature: str, *values: str) -> DataFrame:
+    """Spans whose feature has one of the values; those without the feature go."""
+    return spans.where(F.coalesce(F.col(feature).isin(*values), F.lit(False)))
+
+
+def context_nouns(spans: DataFrame, tokens: DataFrame, glosses: str | None = None) -> DataFrame:
+    """nouns: the distinct strings of the tokens inside each span whose tag begins with NN, and the parts of its glosses (a column, ;-joined)."""
+    inside = span_join(spans.select("doc_id", "ann_id", "start", "stop"), tokens.where(F.col("tag").startswith("NN")).select("doc_id", "start", "stop", "string"), "covers")
+    words = inside.groupBy("doc_id", "ann_id").agg(F.collect_set("b_string").alias("nouns"))
+    none = F.array().cast("array<string>")
+    more = F.filter(F.transform(F.split(F.coalesce(F.col(glosses), F.lit("")), ";"), F.trim), lambda x: x != "") if glosses else none
+    return spans.join(words, ["doc_id", "ann_id"], "left").withColumn("nouns", F.array_sort(F.array_distinct(F.concat(F.coalesce("nouns", none), more))))
+
+
+def removal_counts(marked: DataFrame) -> DataFrame:
+    """doc_id, reason, removed: how many spans each filter took from a document (spans marked by `mark`)."""
+    return marked.where("deleted_because is not null").groupBy("doc_id", F.col("deleted_because").alias("reason")).agg(F.count("*").alias("removed"))

@@ -110,3 +110,33 @@ def label_runs(tokens: DataFrame, label: str = "label", outside: str = "O") -> D
     new = (F.coalesce(F.lag("_type").over(w) != F.col("_type"), F.lit(True)) | F.col(label).startswith("B-")).cast("int")
     t = t.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
     return t.where(F.col("_type") != outside).groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("_type").alias("type"), F.count("*").alias("n_tokens")).drop("_run")
+
+
+# What ends a sentence and belongs to it, what ends one and does not, and what only looks like an end.
+INTERNAL_SPLITS = "[.]{1,3}\"?|[!?]{1,4}\"?"
+EXTERNAL_SPLITS = "[ \\t]*\\n(?:[ \\t]*\\n)+"
+NO_SPLITS = r"\b(?:" + "|".join(ABBREVIATIONS) + r")[.]|\b\p{Lu}[.]|\b[\p{L}\p{N}]+(?:[.][\p{L}\p{N}]+)+"
+# End of fixed values.
+
+
+def regex_sentences(docs: DataFrame, internal: str = INTERNAL_SPLITS, external: str = EXTERNAL_SPLITS, none: str = NO_SPLITS) -> DataFrame:
+    """doc_id, start, stop of the sentences between splits, white space at their ends left out.
+
+    A match of internal ends a sentence and belongs to it, one of external lies between two; matches that overlap one of
+    `none` count for nothing. Of a document's splits each begins after the one before has ended. Texts of white space have none.
+    """
+    from marginalia.operators.rules import find_spans
+    from marginalia.operators.spans import matched
+
+    d = docs.select("doc_id", "text")
+    at = lambda p, inside: find_spans(d, "text", p).select("doc_id", "start", "stop", F.lit(inside).alias("inside"))
+    splits = at(internal, True).unionByName(at(external, False))
+    splits = matched(splits, at(none, False).select("doc_id", "start", "stop"), "overlap", keep=False)
+    w = Window.partitionBy("doc_id").orderBy("start", F.desc("stop"), "inside")
+    ends = splits.unionByName(d.select("doc_id", F.length("text").alias("start"), F.length("text").alias("stop"), F.lit(False).alias("inside")))
+    ends = ends.withColumn("from", F.coalesce(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("to", F.when(F.col("inside"), F.col("stop")).otherwise(F.col("start")))
+    pieces = ends.where("`to` > `from`").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("p")).join(d, "doc_id")
+    piece = pieces.select("doc_id", F.explode(F.transform("p", lambda x: F.struct(x["from"].alias("a"), F.substr("text", x["from"] + 1, x["to"] - x["from"]).alias("s")))).alias("x")).select("doc_id", "x.a", "x.s")
+    bare = F.regexp_replace("s", r"^\s+", "")
+    start = F.col("a") + F.length("s") - F.length(bare)
+    return piece.select("doc_id", start.alias("start"), (start + F.length(F.regexp_replace(bare, r"\s+$", ""))).alias("stop")).where("stop > start")

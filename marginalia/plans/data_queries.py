@@ -262,11 +262,6 @@ def corpus_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("texts"), F.countDistinct("lang").alias("langs"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
-def slowest_log_lines(spark, sf_dir):
-    """A top-k report."""
-    return table(spark, sf_dir, "events").orderBy(F.desc("value"), "event_id").limit(10).select("event_id", "user_id", "value")
-
 
 @query("SELECT p_brand, string_agg(DISTINCT w, '|' ORDER BY w) AS combined FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY ALL")
 def combined_feature(spark, sf_dir):

@@ -428,13 +428,6 @@ def expansion_context(spark, sf_dir):
     return entities.expansion_of(m, e).select("doc_id", "mention_id", "expansion")
 
 
-@query()
-def coref_overlap_resolution(spark, sf_dir):
-    """Overlapping spans of two chains in order: merge or drop; no SQL, tested by hand."""
-    s = inline(spark, "(VALUES (1, 1, 0, 10, 'a|b'), (1, 2, 5, 12, 'b|c'), (1, 3, 11, 20, 'x'), (1, 4, 30, 40, 'q')) AS t(doc_id, entity_id, start, stop, i)")
-    s = s.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("entity_id").cast("long").alias("entity_id"), "start", "stop", F.split("i", "[|]").alias("insts"))
-    return entities.resolve_chains(s)
-
 
 @query()
 def ml_train_apply(spark, sf_dir):

@@ -344,7 +344,7 @@ CHAIN_NAMES = "(VALUES (1, 1, 'Mr John Smith'), (1, 2, 'Smith'), (1, 3, 'United
 
 @example("SELECT * FROM (VALUES (1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 3), (1, 5, 5), (1, 6, 6), (2, 1, 1), (2, 2, 2)) AS t(doc_id, ann_id, chain_id)")
 def name_variants(spark, sf_dir):
-    return tagging.name_variants(inline(spark, CHAIN_NAMES), rounds=4).select("doc_id", "ann_id", "chain_id")
+    return tagging.name_variants(inline(spark, CHAIN_NAMES)).select("doc_id", "ann_id", "chain_id")
 
 
 ROOTS = "(VALUES ('is', 'be'), ('are', 'be'), ('was', 'be'), ('thes', 'the'), ('ands', 'and')) AS t(form, root)"
@@ -436,37 +436,10 @@ digits=[0-9]+
 """
 
 
-@query()
-def regex_rule_file(spark, sf_dir):
-    """Several rules in one scan, longest match and last rule first; no SQL, tested against a scan by hand."""
-    found = rules.annotate(documents(spark, sf_dir), rules.parse_rules(RULE_FILE))
-    return found.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("stop").alias("stops"))
-
-
-@query()
-def hashtag_segments(spark, sf_dir):
-    """Fewest dictionary words of a tag; no SQL, tested by hand."""
-    tags = inline(spark, "(VALUES (1, '#savethewhales'), (2, '#NASALaunch'), (3, '#nowhere'), (4, '#sooo')) AS t(id, tag)")
-    return tagging.split_hashtags(tags, ["save", "the", "whales", "now", "here", "nowhere", "so"]).select("id", "tag", F.array_join("parts", " ").alias("parts"))
-
 
 CHUNK_RULES = ["I O P=PRP", "O I P=VBG P=NN:1", "I B T=I:-1 P=DT"]
 
 
-@query()
-def noun_chunks(spark, sf_dir):
-    """Transformation rules in order over each sentence; no SQL, tested by hand."""
-    t = tokens.tokenize(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
-    t = tagging.tag_words(tokens.visible(tokens.sentence_numbers(t)), inline(spark, LEXICON))
-    return tagging.chunk_nouns(t, CHUNK_RULES).groupBy("doc_id", "chunk").agg(F.count("*").alias("n"))
-
-
-@query()
-def gazetteer_anywhere(spark, sf_dir):
-    """Matches inside words, by an automaton; no SQL, tested against str.find."""
-    found = gazetteer.match_anywhere(documents(spark, sf_dir), ["the", "theou", "tion", "ment dan", "rd an"])
-    return found.groupBy("doc_id", "norm").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
-
 
 @query(f"""{MATCHES}, {SENTENCES}, b AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, start) AS mx FROM m), l AS (SELECT DISTINCT doc_id, start, stop FROM b WHERE stop = mx)
   SELECT doc_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM sent s WHERE s.doc_id = l.doc_id AND l.start >= s.start AND l.stop <= s.stop)) AS inside FROM l GROUP BY doc_id""")

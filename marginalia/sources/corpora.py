@@ -34,3 +34,14 @@ def subset(docs: DataFrame, chosen: DataFrame | Column, key: str = "name") -> Da
 
 def save(docs: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     docs.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)
+
+
+def save_files(docs: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """Write each document's text, and a line end, as the one text file of a folder `name=...` under path; `directory` reads them
+    back with recurse, and `document_name` gives the names."""
+    docs.select(F.col(name).alias("name"), F.col(text).alias("value")).repartition("name").write.mode("append").partitionBy("name").text(path)
+
+
+def document_name(path: Column) -> Column:
+    """The name in the path of a file that `save_files` wrote."""
+    return F.regexp_extract(path, "/name=([^/]*)/[^/]*$", 1)

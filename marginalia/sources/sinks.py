@@ -77,3 +77,9 @@ def arff_header(relation: str, numeric: list[str], nominal: dict[str, list[str]]
 def arff_rows(df: DataFrame, numeric: list[str], nominal: list[str]) -> DataFrame:
     """value: one instance a line, ? for missing ones."""
     return df.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in [*numeric, *nominal]]).alias("value"))
+
+
+def slowest_lines(lines: DataFrame, n: int, pattern: str = r"^(.*?)\btook (\d+(?:[.]\d+)?) ?ms\b") -> DataFrame:
+    """The n log lines (value) with the longest times: what, ms, value. Lines without a time are left out; ties by the line."""
+    t = lines.select(F.trim(F.regexp_extract("value", pattern, 1)).alias("what"), F.regexp_extract("value", pattern, 2).alias("ms"), "value").where("ms <> ''")
+    return t.withColumn("ms", F.col("ms").cast("double")).orderBy(F.desc("ms"), "value").limit(n)

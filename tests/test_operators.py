@@ -287,4 +287,6 @@ def test_name_match_is_null_safe(spark):
 
 def test_blocked_classes_by_default(spark):
     c = spark.createDataFrame([("a", "dbpo:Person|dbpo:Work"), ("b", "dbpo:Place"), ("c", None)], "inst string, airp_specific string")
-    assert sorted(r.inst for r in candidates.drop_blocked(c).collect()) == ["b", "c"]
+    assert sorted(r.inst for r in candidates.drop_blocked(c).collect()) == ["a", "b", "c"]
+    d = spark.createDataFrame([("a", "dbpo:Agent|dbpo:Building"), ("b", "dbpo:Place|dbpo:Animal")], "inst string, airp_specific string")
+    assert [r.inst for r in candidates.drop_blocked(d).collect()] == ["a"]
