@@ -1,9 +1,11 @@
 """Secret scans: candidates by expressions, false positives removed by a random forest.
 
-Candidates are assigned values (`name = value`) and long tokens that hold a digit or are all capitals. The forest sees
+Candidates are assigned values (`name = value`; one in quotes up to the closing quote, whatever it holds), blocks between
+BEGIN and END lines, and long tokens that hold a digit or are all capitals. The forest sees
 their length, the transitions between kinds of characters, how much of them a dictionary covers, whether they stand in
-a path or address, and the words next to them. It is trained on labelled findings that `labelled_findings` writes
-from fixed templates and seed (`FINDINGS` of them, the same in every run).
+a path or address, and the words next to them; no expression decides by itself. It is trained on labelled findings that
+`labelled_findings` writes from fixed templates and seed (`FINDINGS` of them, the same in every run), as no table holds
+labels of secrets.
 
 Null and empty texts have no candidates; whole texts of any length are scanned. Repeated rows give repeated findings;
 an empty table gives none. Only doc_id and text are read by `scan`; `redact` keeps all columns.
@@ -26,9 +28,15 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import free_name, tune
 
-FINDINGS, TREES, DEPTH, SEED = 2400, 40, 9, 7
+FINDINGS, TREES, DEPTH, SEED = 4000, 40, 10, 7
 MASK = "[SECRET]"
-CANDIDATE = re.compile(r"[:=][ \t]{0,2}[\"']?(?P<value>[^\s\"',;<>(){}\[\]]{8,})|(?<![\w+/=\-])(?P<bare>[A-Za-z0-9+/_\-]{16,}={0,2}(?![=\w]))")
+CANDIDATE = re.compile(
+    r"-----BEGIN [A-Z ]{3,40}-----\s(?P<block>[\s\S]*?)-----END [A-Z ]{3,40}-----"
+    r"|[:=][ \t]*(?P<mark>[\"'])(?P<quoted>(?:(?!(?P=mark))[^\n\\]|\\.){6,})(?P=mark)"
+    r"|(?:passw\w*|pwd|secret\w*|token|\w*key)[ \t]*[:=][ \t]*(?P<short>[^\s\"',;<>(){}\[\]]{6,})"
+    r"|[:=][ \t]*[\"']?(?P<value>[^\s\"',;<>(){}\[\]]{8,})"
+    r"|(?<![\w+/=\-])(?P<bare>[A-Za-z0-9+/_\-]{16,}={0,2}(?![=\w]))", re.I)
+KINDS = ("block", "quoted", "short", "value", "bare")
 NAMES = re.compile(r"passw|passwd|pwd|secret|token|api.?key|access|credential|auth|private|bearer|login|client", re.I)
 HARMLESS = re.compile(r"commit|sha|md5|checksum|digest|hash|uuid|guid|etag|revision|version|isbn|order|invoice|tracking|phone|card|build|example|placeholder|sample", re.I)
 DICTIONARY = sorted(set("""able about access account action address after again align alpha analysis answer apple archive array article aside
@@ -59,12 +67,12 @@ COVER = re.compile("|".join(w for w in DICTIONARY if len(w) > 2))
 def candidates(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        kind = "value" if m["value"] else "bare"
+        kind = next(k for k in KINDS if m[k] is not None)
         s, e = m.span(kind)
-        while e > s and text[e - 1] in ".,:!?":
+        while kind != "quoted" and e > s and text[e - 1] in ".,:!?\n":
             e -= 1
         value = text[s:e]
-        if kind == "value" or value.isupper() or any(c.isdigit() for c in value):
+        if value and (kind != "bare" or value.isupper() or any(c.isdigit() for c in value)):
             out.append((s, e))
     return out
 
@@ -89,8 +97,7 @@ def features(text: str, start: int, end: int) -> list[float]:
         covered, hexes, vowels, max(Counter(value).values()) / n,
         value.count("/") / n, value.count("-") / n, value.count(".") / n, float("://" in value or near[-3:] == "://"), float(near[-1:] in "/.\\@#"), float(after[:1] in "/.\\@"),
         float(bool(NAMES.search(near))), float(bool(HARMLESS.search(near))), float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(near[-1:] in "\"'"), float(bool(NAMES.search(before))), float(bool(HARMLESS.search(after))),
-        float(value[:4] in ("AKIA", "ASIA")), float(bool(re.match(r"gh[pousr]_|sk[-_]|pk_|xox[a-z]-|eyJ|AIza|glpat-|npm_", value))), float(bool(re.fullmatch(r"[\da-fA-F]{8}(-[\da-fA-F]{4}){3}-[\da-fA-F]{12}", value))),
-        float("@" in value), float(value[:1] in "$%{"),
+        float("@" in value), float(value[:1] in "$%{<"), sum(c.isspace() for c in value) / n, max(map(len, re.split(r"[^A-Za-z0-9]+", value))) / n, float("private" in before.lower()), float("certificate" in before.lower() or "public" in before.lower()),
     ]
 
 
@@ -109,7 +116,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         lambda: (f"{r.choice(names)}: ", pick(mixed, r.randint(12, 40)), ""), lambda: (f"{r.choice(names)}='", pick(mixed + "!#%&*+-_", r.randint(10, 24)), "'"),
         lambda: ("", r.choice(["ghp_", "gho_", "ghs_"]) + pick(mixed, 36), ""), lambda: ("", r.choice(["sk_live_", "sk-"]) + pick(mixed, 32), ""),
         lambda: ("", "xoxb-" + pick(digits, 11) + "-" + pick(mixed, 24), ""), lambda: ("bearer ", "eyJ" + pick(mixed, 30) + "-" + pick(mixed, 40), ""),
-        lambda: ("secret access key ", pick(mixed + "+/", 40), ""),
+        lambda: ("secret access key ", pick(mixed + "+/", 40), ""), lambda: (f'{r.choice(names)} = "', pick(mixed + "!#$%&()*+,-./:;<=>?@[]^_{|}~", r.randint(9, 24)), '"'),
+        lambda: (f"{r.choice(names)}={r.choice(chr(34) + chr(39))}", word()[:4] + pick(mixed, r.randint(4, 8)), '"'), lambda: (f"{r.choice(names)}:" + " " * r.randint(1, 9), word()[:5] + pick(digits, r.randint(2, 4)) + pick(mixed + "!#*", r.randint(3, 8)), ""),
+        lambda: ("-----BEGIN " + r.choice(["RSA ", "EC ", "OPENSSH ", ""]) + "PRIVATE KEY-----\n", "\n".join(pick(mixed + "+/", 64) for _ in range(r.randint(2, 20))), "\n-----END "),
     ]
     harmless = [
         lambda: (r.choice(["commit ", "sha1: ", "revision ", "checksum=", "md5 = ", "etag: \"", "digest: "]), pick(hexes, r.choice([32, 40, 64])), ""),
@@ -120,6 +129,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         lambda: (f"{r.choice(names)} = ", r.choice(["your_token_here", "xxxxxxxxxxxx", "changeme123", "${SECRET_TOKEN}", "<password>", "placeholder", "example_key", "os.environ", "********"]), ""),
         lambda: ("version = ", ".".join(pick(digits, 2) for _ in range(4)), ""), lambda: ("name: ", long_word(), ""), lambda: ("", "-".join(word() for _ in range(5)) + pick(digits, 2), ""),
         lambda: ("", (long_word() + word()).upper(), ""), lambda: ("item=", word() + word() + word() + pick(digits, 1), ""), lambda: ("", "=" * r.randint(16, 40) + pick(digits, 1), ""), lambda: ("", "-" * r.randint(16, 40) + pick(digits, 1), ""),
+        lambda: (r.choice(["title", "label", "said", "note", "password hint", "text", "key"]) + r.choice([': "', ' = "', ":  '"]), " ".join(word() for _ in range(r.randint(2, 14))), '"'), lambda: (r.choice(["key", "token", "type", "pwd", "secret"]) + r.choice([": ", "="]), word() + r.choice(["", word(), "_" + word()]), ""),
+        lambda: ("-----BEGIN " + r.choice(["CERTIFICATE", "PUBLIC KEY", "CERTIFICATE REQUEST"]) + "-----\n", "\n".join(pick(mixed + "+/", 64) for _ in range(r.randint(2, 20))), "\n-----END "), lambda: (r.choice(["page", "time", "size", "price"]) + r.choice([":", " = "]), pick(digits, r.randint(1, 3)) + r.choice([":", ".", "x", "/"]) + pick(digits, r.randint(4, 6)), ""),
+        lambda: (r.choice(["src", "href", "path", "file"]) + '="', "/" + "/".join(word() for _ in range(r.randint(2, 5))) + r.choice([".png", ".html", "", ".js"]), '"'), lambda: ("", pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"[:12], r.randint(16, 24)), ""),
     ]
     out = []
     for i in range(n):
@@ -129,7 +141,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         text = left + before + value + after + " " + " ".join(word() for _ in range(r.randint(2, 6)))
         start = len(left) + len(before)
         out.append((text, start, start + len(value), label))
-    return out
+    return [f for f in out if f[2] > f[1]]
 
 
 class Forest:
