@@ -4,8 +4,9 @@ A file (`MAGIC`) holds a run of documents in ascending doc_id order: their doc_i
 `BLOCK` ids, each with its length, its compressed length and the crc32 of its ids. A block's coder starts from the
 same state, so any block can be read alone. For each id, the id that last followed the two ids before (order 2) is
 offered, then the one that last followed the one before (order 1); whether it is taken is coded with a probability
-mixed from counters of orders 0, 1 and 2, whose weights follow how well each did. Otherwise the upper byte is coded
-with adaptive order-0 counts and the lower as it is. All arithmetic is exact (integers, or floats that hold integers), so decoding repeats it.
+mixed from counters of orders 0, 1 and 2, whose weights follow how well each did. Otherwise the whole id is coded with
+adaptive order-0 counts: those of upper bytes, then those of lower bytes after such an upper one (`AFTER` classes of them).
+All arithmetic is exact (integers, or floats that hold integers), so decoding repeats it.
 Blocks are independent, so many are coded side by side as the lanes of numpy arrays.
 
 Null texts are empty and have the end id alone. Rows that share a doc_id stand side by side, ordered by their texts.
@@ -29,9 +30,11 @@ from marginalia.llm.common import new_path, stash, tune
 from marginalia.llm.tokens import tokenizer_path, unit_tokenizer
 
 MAGIC = b"TIDS1\0"
-BLOCK, LANES = 1024, 3072
-#: Places for contexts of one and of two ids in a block's tables.
-ONE, TWO = 512, 1024
+BLOCK, LANES = 2048, 2048
+#: Places for contexts of one and of two ids in a block's tables; classes of upper bytes that the lower byte follows; weight of one id.
+ONE, TWO, AFTER, GAIN = 512, 1024, 32, 24
+#: Counts are halved where their sum passes this.
+MOST = 8000
 FILE_IDS = 3_000_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 NONE = 0xFFFF
@@ -55,7 +58,8 @@ class Lanes:
         self.q0, self.q1, self.q2 = np.full(n, 6000, np.int32), np.full((n, ONE), 6000, np.uint16), np.full((n, TWO), 6000, np.uint16)
         self.s0, self.s1 = np.full(n, 6000, np.int32), np.full((n, ONE), 6000, np.uint16)
         self.w = np.full((3, n), 1 << 14, np.int64)
-        self.count, self.group = np.ones((n, 16, 16), np.float32), np.full((n, 16), 16, np.float32)
+        # byte counts as 16 x 16, with the sums of each 16: one set for upper bytes, AFTER sets for lower ones
+        self.count, self.group = np.ones((n, AFTER + 1, 16, 16), np.uint16), np.full((n, AFTER + 1, 16), 16, np.uint16)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, LOW56, np.uint64)
         self.a, self.b = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.ptr = np.zeros(n, np.int64)
@@ -148,8 +152,9 @@ class Lanes:
         self.a[act], self.b[act] = b, out
         return out
 
-    def literal(self, rows: np.ndarray, x: np.ndarray | None) -> np.ndarray:
-        group = self.group[rows]
+    def byte(self, rows: np.ndarray, of: np.ndarray | int, x: np.ndarray | None) -> np.ndarray:
+        """Code a byte of each lane by the counts of its set `of`, or decode it."""
+        group = self.group[rows, of].astype(np.float32)
         cum = (group @ SUMS).astype(np.int64)
         total = cum[:, -1]
         unit = self.range[rows] // total.astype(np.uint64)
@@ -158,26 +163,26 @@ class Lanes:
             target = np.minimum(((self.code[rows] - self.low[rows]) & LOW56) // unit, (total - 1).astype(np.uint64)).astype(np.int64)
             g = (cum <= target[:, None]).sum(axis=1)
         else:
-            g = x >> 12
+            g = x >> 4
         below = cum[i, g] - group[i, g].astype(np.int64)
-        count = self.count[rows, g]
+        count = self.count[rows, of, g].astype(np.float32)
         inner = (count @ SUMS).astype(np.int64)
-        s = (inner <= (target - below)[:, None]).sum(axis=1) if x is None else (x >> 8) & 15
+        s = (inner <= (target - below)[:, None]).sum(axis=1) if x is None else x & 15
         mine = count[i, s].astype(np.int64)
-        below = below + inner[i, s] - mine
-        self.low[rows] += unit * below.astype(np.uint64)
-        rng = unit * mine.astype(np.uint64)
-        byte = rng >> np.uint64(8)
-        lower = np.minimum(((self.code[rows] - self.low[rows]) & LOW56) // byte, np.uint64(255)).astype(np.int64) if x is None else x & 255
-        self.low[rows] += byte * lower.astype(np.uint64)
-        self.range[rows] = byte
-        self.count[rows, g, s] += 24
-        self.group[rows, g] += 24
-        full = rows[total > 8000]
+        self.low[rows] += unit * (below + inner[i, s] - mine).astype(np.uint64)
+        self.range[rows] = unit * mine.astype(np.uint64)
+        self.count[rows, of, g, s] += GAIN
+        self.group[rows, of, g] += GAIN
+        full = np.flatnonzero(total > MOST)
         if len(full):
-            self.count[full] = np.floor((self.count[full] + 1) / 2)
-            self.group[full] = self.count[full].sum(axis=2)
-        return (g << 12) | (s << 8) | lower
+            r, o = rows[full], of if isinstance(of, int) else of[full]
+            self.count[r, o] = (self.count[r, o] + 1) >> 1
+            self.group[r, o] = self.count[r, o].sum(axis=2, dtype=np.uint16)
+        return (g << 4) | s
+
+    def literal(self, rows: np.ndarray, x: np.ndarray | None) -> np.ndarray:
+        upper = self.byte(rows, AFTER, None if x is None else x >> 8)
+        return (upper << 8) | self.byte(rows, upper % AFTER, None if x is None else x & 255)
 
     def finish(self) -> list[bytes]:
         for i in range(7):
