@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from marginalia.llm import fingerprints
@@ -48,3 +50,42 @@ def test_repeated_rows_and_empty_table(spark):
     got = fingerprints.fingerprint_documents(edge.frame(spark)).collect()
     assert len(got) == len(edge.rows())
     assert fingerprints.fingerprint_documents(edge.empty(spark)).collect() == []
+
+
+def chained(values):
+    """Spark's xxhash64 of several longs: each is the seed of the next."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(int(v).to_bytes(8, "little"), h)
+    return h
+
+
+def plain(text):
+    """Fingerprint, kept hashes and mark of a text, word by word."""
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split("[ \t\n\r\f\x0b]+", text) if w]
+    every = [chained(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [chained(words)] if words else []
+    kept = {h >> 32 for h in every if h >> (64 - fingerprints.SHIFT) == 0}
+    kept = sorted(kept)
+    return ("".join(f"{h:08X}".lower() for h in kept) if kept else f"={chained(words):016x}"), set(kept), chained(words)
+
+
+def alike(a, b):
+    return float(a[2] == b[2]) if not a[1] | b[1] else len(a[1] & b[1]) / len(a[1] | b[1])
+
+
+def test_against_brute_force(spark):
+    r = random.Random(11)
+    texts = [" ".join(r.choice(["ab", "cd\n", "é", "🙂x", "longer"]) for _ in range(r.randint(0, 90))) for _ in range(60)] + ["", None, "one two", "a  b\tc d e f g h"]
+    texts += [texts[0], texts[5] + " x"]
+    docs = [(7 * i + (i % 3) * 1000, t) for i, t in enumerate(texts)]
+    got = {x.doc_id: x for x in fingerprints.fingerprint_documents(edge.frame(spark, docs)).collect()}
+    docs.sort()
+    for (d, t), (_, n) in zip(docs, docs[1:] + docs[:1], strict=True):
+        t, n = t or "", n or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + n[:half]
+        a, b, c = plain(t), plain(edited), plain(n)
+        x = got[d]
+        assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (x.fingerprint, x.edited_fingerprint) == (a[0], b[0]), (t, x.fingerprint, a[0])
+        assert abs(x.near_edited - alike(a, b)) < 1e-12 and abs(x.near_next - alike(a, c)) < 1e-12
