@@ -158,9 +158,10 @@ def by_feature(spans: DataFrame, dictionary: DataFrame, feature: str, mode: str
 def term_search(queries: DataFrame, docs_terms: DataFrame, n_docs: int, top: int) -> DataFrame:
     """The `top` documents of each query by the sum of tf * ln(N / df) of its terms.
 
-    queries (query_id, term), docs_terms (doc_id, term, tf). Ties go to the smaller doc_id.
+    queries (query_id, term), docs_terms (doc_id, term, tf). Ties go to the smaller doc_id. A term of all documents weighs
+    nothing: its postings are left out, and a document with no other term is no hit. Each task passes on `top` hits of a query.
     """
-    df = docs_terms.groupBy("term").agg(F.count("*").alias("df"))
+    df = docs_terms.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") < n_docs)
     weighted = queries.distinct().join(df, "term").join(docs_terms, "term")
     scored = weighted.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("tf") * F.log(n_docs / F.col("df"))), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

@@ -29,6 +29,17 @@ def tiles(docs: DataFrame, pattern: str = TILE) -> DataFrame:
     return out.withColumn("stop", stop).select("doc_id", "tok_no", (F.col("stop") - F.length("string")).alias("start"), "stop", "string")
 
 
+def strings(docs: DataFrame, pattern: str = TILE) -> DataFrame:
+    """doc_id, string, kind, orth of every tile, without its place: texts are cut where they lie, nothing is shuffled."""
+    out = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("string"))
+    return out.withColumns({"kind": token_kind(F.col("string")), "orth": token_orth(F.col("string"))})
+
+
+def line_ends(docs: DataFrame) -> DataFrame:
+    """doc_id, splits: how many line ends a text has, where it has any."""
+    return docs.select("doc_id", F.regexp_count("text", F.lit("\n")).cast("long").alias("splits")).where("splits > 0")
+
+
 def tokenize(docs: DataFrame, pattern: str = TILE) -> DataFrame:
     """tiles() with kind and orth."""
     return tiles(docs, pattern).withColumns({"kind": token_kind(F.col("string")), "orth": token_orth(F.col("string"))})

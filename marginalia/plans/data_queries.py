@@ -33,9 +33,9 @@ def accent_normalise(spark, sf_dir):
 @query(rf"""WITH {TOKENS}, w AS (SELECT string, count(*) AS n FROM tok WHERE kind = 'word' GROUP BY string), c AS (SELECT n, regexp_matches(string, '^\p{{Lu}}') AS f, regexp_matches(substr(string, 2), '\p{{Lu}}') AS u, regexp_matches(substr(string, 2), '\p{{Ll}}') AS l FROM w)
   SELECT CASE WHEN f AND NOT l THEN 'UPPER' WHEN f AND NOT u THEN 'UPPERINITIAL' WHEN NOT f AND NOT u THEN 'LOWER' ELSE 'OTHER' END AS "case", count(*) AS strings, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL""")
 def case_of_string(spark, sf_dir):
-    from marginalia.operators.tokens import tokenize
+    from marginalia.operators.tokens import strings
 
-    w = tokenize(table(spark, sf_dir, "documents")).where("kind = 'word'").groupBy("string").agg(F.count("*").alias("n"))
+    w = strings(table(spark, sf_dir, "documents")).where("kind = 'word'").groupBy("string").agg(F.count("*").alias("n"))
     return w.groupBy(X.case_of(F.col("string")).alias("case")).agg(F.count("*").alias("strings"), F.sum("n").alias("n"))
 
 

@@ -198,48 +198,50 @@ def mention_statistics(spark, sf_dir):
 
 # ---- graphs: customer -> part -> supplier ------------------------------------------------------------------------
 
-EDGES = """edges AS (SELECT 'c' || (o_custkey % 200) AS src, 'p' || (l_partkey % 100) AS dst, count(*) AS cnt FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL UNION ALL SELECT 'p' || (l_partkey % 100), 's' || (l_suppkey % 50), count(*) FROM lineitem GROUP BY ALL),
+EDGES = """edges AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst, count(*) AS cnt FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, count(*) FROM lineitem GROUP BY ALL),
   nodes AS (SELECT DISTINCT src AS n FROM edges UNION SELECT DISTINCT dst FROM edges)"""
 
 
+KEYS = {"c": ("customer", "c_custkey"), "p": ("part", "p_partkey"), "s": ("supplier", "s_suppkey")}
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    name = lambda p, c, m: F.concat(F.lit(p), (F.col(c) % m).cast("string"))
-    a = o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy(name("c", "o_custkey", 200).alias("src"), name("p", "l_partkey", 100).alias("dst")).agg(F.count("*").alias("cnt"))
-    return a.unionByName(li.groupBy(name("p", "l_partkey", 100).alias("src"), name("s", "l_suppkey", 50).alias("dst")).agg(F.count("*").alias("cnt")))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    a = o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy(name("c", "o_custkey").alias("src"), name("p", "l_partkey").alias("dst")).agg(F.count("*").alias("cnt"))
+    return a.unionByName(li.groupBy(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst")).agg(F.count("*").alias("cnt")))
 
 
-def _pairs(spark: SparkSession, kind: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Each node of one kind with three of the other."""
     a, b = kind
-    n = {"c": 200, "p": 100, "s": 50}
-    ids = spark.range(n[a]).select(F.concat(F.lit(a), F.col("id").cast("string")).alias("a"), F.explode(F.expr("array(0, 1, 7)")).alias("d"), "id")
-    return ids.select("a", F.concat(F.lit(b), ((F.col("id") + F.col("d")) % n[b]).cast("string")).alias("b")).where("a <> b")
+    ids = table(spark, sf_dir, KEYS[a][0]).select(F.col(KEYS[a][1]).alias("id"), F.explode(F.expr("array(0, 1, 7)")).alias("d"))
+    return ids.select(F.concat(F.lit(a), F.col("id").cast("string")).alias("a"), F.concat(F.lit(b), (F.col("id") + F.col("d")).cast("string")).alias("b")).where("a <> b")
 
 
 def _pairs_sql(kind: str) -> str:
     a, b = kind
-    n = {"c": 200, "p": 100, "s": 50}
-    return f"pairs AS (SELECT '{a}' || i AS a, '{b}' || ((i + d) % {n[b]}) AS b FROM range({n[a]}) r(i), (VALUES (0), (1), (7)) v(d) WHERE '{a}' || i <> '{b}' || ((i + d) % {n[b]}))"
+    return f"pairs AS (SELECT '{a}' || i AS a, '{b}' || (i + d) AS b FROM (SELECT {KEYS[a][1]} AS i FROM {KEYS[a][0]}), (VALUES (0), (1), (7)) v(d) WHERE '{a}' || i <> '{b}' || (i + d))"
 
 
 @query(f"WITH {EDGES}, {_pairs_sql('cp')} SELECT a, b, coalesce(cnt, 0) AS direct FROM pairs LEFT JOIN edges ON src = a AND dst = b")
 def graph_direct(spark, sf_dir):
-    return graph.direct(_pairs(spark, "cp"), edges(spark, sf_dir))
+    return graph.direct(_pairs(spark, sf_dir, "cp"), edges(spark, sf_dir))
 
 
 @query(f"WITH {EDGES}, {_pairs_sql('pp')} SELECT a, b, CAST(coalesce((SELECT sum(x.cnt + y.cnt) FROM edges x JOIN edges y ON x.src = y.src WHERE x.dst = a AND y.dst = b), 0) AS BIGINT) AS shared_parent FROM pairs")
 def graph_shared_parent(spark, sf_dir):
-    return graph.shared_parent(_pairs(spark, "pp"), edges(spark, sf_dir))
+    return graph.shared_parent(_pairs(spark, sf_dir, "pp"), edges(spark, sf_dir))
 
 
 @query(f"WITH {EDGES}, {_pairs_sql('cc')} SELECT a, b, CAST(coalesce((SELECT sum(x.cnt + y.cnt) FROM edges x JOIN edges y ON x.dst = y.dst WHERE x.src = a AND y.src = b), 0) AS BIGINT) AS shared_child FROM pairs")
 def graph_shared_child(spark, sf_dir):
-    return graph.shared_child(_pairs(spark, "cc"), edges(spark, sf_dir))
+    return graph.shared_child(_pairs(spark, sf_dir, "cc"), edges(spark, sf_dir))
 
 
 @query(f"WITH {EDGES}, {_pairs_sql('cs')} SELECT a, b, CAST(coalesce((SELECT sum(x.cnt + y.cnt) FROM edges x JOIN edges y ON x.dst = y.src WHERE x.src = a AND y.dst = b), 0) AS BIGINT) AS sequence FROM pairs")
 def graph_sequence(spark, sf_dir):
-    return graph.sequence(_pairs(spark, "cs"), edges(spark, sf_dir))
+    return graph.sequence(_pairs(spark, sf_dir, "cs"), edges(spark, sf_dir))
 
 
 @query(f"""WITH {EDGES}, {_pairs_sql('pp')}, near AS (SELECT a, b, 1 + ascii(substr(b, 2, 1)) % 5 AS dist FROM pairs), v AS (SELECT a, b, dist,
@@ -248,16 +250,16 @@ def graph_sequence(spark, sf_dir):
   coalesce((SELECT sum(x.cnt + y.cnt) FROM edges x JOIN edges y ON x.dst = y.src WHERE x.src = a AND y.dst = b), 0) + coalesce((SELECT sum(x.cnt + y.cnt) FROM edges x JOIN edges y ON x.dst = y.src WHERE x.src = b AND y.dst = a), 0) AS ind FROM near)
   SELECT a AS inst, round(sum(bi / dist), 6) AS bi_direct, round(sum(sp / dist), 6) AS shared_parent, round(sum(sc / dist), 6) AS shared_child, round(sum(ind / dist), 6) AS bi_indirect, round(round(sum(bi / dist), 6) + 0.25 * (round(sum(ind / dist), 6) + round(sum(sp / dist), 6) + round(sum(sc / dist), 6)), 6) AS combined FROM v GROUP BY a""")
 def structural_combined(spark, sf_dir):
-    p = _pairs(spark, "pp").select(F.lit(1).alias("doc_id"), F.col("a").alias("entity_id"), F.col("a").alias("inst"), F.col("b").alias("other_entity_id"), F.col("b").alias("other_inst"), (1 + F.ascii(F.substring("b", 2, 1)) % 5).alias("dist"))
+    p = _pairs(spark, sf_dir, "pp").select(F.lit(1).alias("doc_id"), F.col("a").alias("entity_id"), F.col("a").alias("inst"), F.col("b").alias("other_entity_id"), F.col("b").alias("other_inst"), (1 + F.ascii(F.substring("b", 2, 1)) % 5).alias("dist"))
     return graph.structural(p, edges(spark, sf_dir)).select("inst", "bi_direct", "shared_parent", "shared_child", "bi_indirect", "combined")
 
 
-@query(f"""WITH {_pairs_sql('ss')}, l AS (SELECT DISTINCT 's' || (l_suppkey % 50) AS inst, l_partkey AS src FROM lineitem), n AS (SELECT inst, count(*) AS n FROM l GROUP BY inst),
+@query(f"""WITH {_pairs_sql('ss')}, l AS (SELECT DISTINCT 's' || l_suppkey AS inst, l_partkey AS src FROM lineitem), n AS (SELECT inst, count(*) AS n FROM l GROUP BY inst),
   j AS (SELECT p.a, p.b, (SELECT count(*) FROM l x JOIN l y ON x.src = y.src WHERE x.inst = p.a AND y.inst = p.b) AS both_, x.n AS na, y.n AS nb FROM pairs p LEFT JOIN n x ON x.inst = p.a LEFT JOIN n y ON y.inst = p.b)
   SELECT a, b, round(CASE WHEN both_ > 0 THEN (ln(greatest(na, nb)) - ln(both_)) / (ln(1e7) - ln(least(na, nb))) ELSE 0 END, 6) AS relatedness FROM j""")
 def link_relatedness(spark, sf_dir):
-    links = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), (F.col("l_suppkey") % 50).cast("string")).alias("inst"), F.col("l_partkey").alias("src"))
-    return graph.link_relatedness(_pairs(spark, "ss"), links)
+    links = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("inst"), F.col("l_partkey").alias("src"))
+    return graph.link_relatedness(_pairs(spark, sf_dir, "ss"), links)
 
 
 def _rank_sql(rounds: int) -> str:
@@ -295,11 +297,14 @@ def tficf_cosine(spark, sf_dir):
     return similarity.tf_icf(ctx, cnd)
 
 
-@query("SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10")
+@query("""WITH d AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM d GROUP BY ALL)
+  SELECT vec_id, round(sum(CAST(v AS DOUBLE) * m) / (sqrt(sum(CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) * sqrt(sum(m * m))), 6) AS cosine FROM d JOIN m USING (label, i) GROUP BY vec_id""")
 def vector_cosine(spark, sf_dir):
+    """Every vector against the mean of those with its label."""
     e = table(spark, sf_dir, "embeddings")
-    b = e.select((F.col("vec_id") - 10).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("v"), "label")
-    return e.join(b, ["vec_id", "label"]).select("vec_id", "other", F.round(X.cosine(F.col("embedding"), F.col("v")), 6).alias("cosine"))
+    mean = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    mean = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
+    return e.join(mean, "label").select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("mean")), 6).alias("cosine"))
 
 
 VECTORS = "(VALUES ('red', 1.0, 0.0), ('small', 0.5, 0.5), ('ring', 0.0, 2.0), ('widget', 1.0, 1.0)) AS t(term, x, y)"
@@ -457,10 +462,12 @@ def candidate_dedupe(spark, sf_dir):
     return C.merge_lists(li, none, "inst").select("doc_id", "mention_id", "inst")
 
 
-@query("SELECT doc_id, n_chars // 2 AS size, CAST(n_chars // 2 >= 100 AS BIGINT) AS kept FROM documents")
+@query("""WITH m AS (SELECT o_custkey AS doc_id, o_orderkey AS ann_id, o_orderkey % 97 AS start, o_orderkey % 97 + 8 AS stop FROM orders), d AS (SELECT c_custkey AS doc_id, 20 + c_custkey % 80 AS size FROM customer)
+  SELECT doc_id, count(*) AS n, min(ann_id) AS least FROM m JOIN d USING (doc_id) WHERE stop <= size GROUP BY doc_id""")
 def original_span_switch(spark, sf_dir):
     """Mentions inside the original text, before what expansions appended."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.expr("n_chars div 2").alias("size"))
-    m = d.select("doc_id", F.lit(1).alias("mention_id"), F.lit(90).alias("start"), F.lit(100).alias("stop"))
-    kept = entities.in_original(m, d).select("doc_id", F.lit(1).alias("kept"))
-    return d.join(kept, "doc_id", "left").select("doc_id", "size", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
+    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (20 + F.col("c_custkey") % 80).alias("size"))
+    at = F.col("o_orderkey") % 97
+    m = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ann_id"), at.alias("start"), (at + 8).alias("stop"))
+    return entities.in_original(m, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("ann_id").alias("least"))
+

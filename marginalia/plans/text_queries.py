@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
+from marginalia.model import cut_lineage
 from marginalia.operators import gazetteer, grammar, negation, rules, spans, tagging, tokens
 from marginalia.plans.registry import example, inline, query, table
 
@@ -66,7 +67,7 @@ def tokenize_tiling(spark, sf_dir):
 
 @query(f"WITH {TOKENS} SELECT kind, coalesce(orth, '') AS orth, count(*) AS n, count(DISTINCT string) AS strings FROM tok GROUP BY ALL")
 def token_kind_counts(spark, sf_dir):
-    t = tokens.tokenize(documents(spark, sf_dir)).groupBy("kind", "orth", "string").agg(F.count("*").alias("n"))
+    t = tokens.strings(documents(spark, sf_dir)).groupBy("kind", "orth", "string").agg(F.count("*").alias("n"))
     return t.groupBy("kind", F.coalesce("orth", F.lit("")).alias("orth")).agg(F.sum("n").alias("n"), F.count("*").alias("strings"))
 
 
@@ -124,8 +125,7 @@ def sentence_case(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS splits FROM documents WHERE contains(text, chr(10))")
 def newline_split(spark, sf_dir):
-    t = tokens.tokenize(documents(spark, sf_dir)).where("kind = 'control' and ascii(string) = 10")
-    return t.groupBy("doc_id").agg(F.count("*").alias("splits"))
+    return tokens.line_ends(documents(spark, sf_dir))
 
 
 @query(f"{MATCHES} SELECT doc_id, count(*) AS n, count(DISTINCT norm) AS norms, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(stop) AS BIGINT) AS stops FROM m GROUP BY doc_id")
@@ -210,14 +210,15 @@ TERM_SQL = r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]
 
 
 @query(rf"""WITH dt AS (SELECT doc_id, term, count(*) AS tf FROM ({TERM_SQL}) GROUP BY ALL), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark),
-  df AS (SELECT term, count(*) AS df FROM dt GROUP BY term), sc AS (SELECT query_id, doc_id, round(sum(tf * ln((SELECT count(*) FROM documents) / df)), 6) AS score FROM q JOIN df USING (term) JOIN dt USING (term) GROUP BY ALL)
+  df AS (SELECT term, count(*) AS df FROM dt GROUP BY term), sc AS (SELECT query_id, doc_id, round(sum(tf * ln((SELECT count(*) FROM documents) / df)), 6) AS score FROM q JOIN df USING (term) JOIN dt USING (term) WHERE df < (SELECT count(*) FROM documents) GROUP BY ALL)
   SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM sc QUALIFY rank <= 3""")
 def term_search(spark, sf_dir):
     from marginalia.operators.similarity import term_counts
 
     docs = documents(spark, sf_dir)
     q = term_counts(table(spark, sf_dir, "benchmark"), "text", "item_id").select(F.col("item_id").alias("query_id"), "term")
-    out = gazetteer.term_search(q, term_counts(docs, "text", "doc_id"), docs.count(), 3)
+    counts = cut_lineage(term_counts(docs, "text", "doc_id"))  # read twice: texts are cut once
+    out = gazetteer.term_search(q, counts, docs.count(), 3)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -350,10 +351,10 @@ def name_variants(spark, sf_dir):
 ROOTS = "(VALUES ('is', 'be'), ('are', 'be'), ('was', 'be'), ('thes', 'the'), ('ands', 'and')) AS t(form, root)"
 
 
-@query(f"WITH {TOKENS} SELECT root, count(*) AS n FROM (SELECT coalesce(r.root, lower(string)) AS root FROM tok LEFT JOIN {ROOTS.replace('AS t(', 'AS r(')} ON r.form = lower(string) WHERE kind = 'word') GROUP BY root HAVING count(*) >= 100")
+@query(f"WITH {TOKENS} SELECT root, count(*) AS n FROM (SELECT coalesce(r.root, lower(string)) AS root FROM tok LEFT JOIN {ROOTS.replace('AS t(', 'AS r(')} ON r.form = lower(string) WHERE kind = 'word') GROUP BY root")
 def lemma_counts(spark, sf_dir):
-    t = tagging.lemmas(tokens.tokenize(documents(spark, sf_dir)).where("kind = 'word'"), inline(spark, ROOTS))
-    return t.groupBy("root").agg(F.count("*").alias("n")).where("n >= 100")
+    words = tokens.strings(documents(spark, sf_dir)).where("kind = 'word'").groupBy("string").agg(F.count("*").alias("n"))
+    return tagging.lemmas(words, inline(spark, ROOTS)).groupBy("root").agg(F.sum("n").alias("n"))
 
 
 CAMEL = "(VALUES (1, 'SaveTheWhales'), (2, 'NASALaunch'), (3, 'iPhone'), (4, 'plain'), (5, 'ABCd')) AS t(id, s)"
