@@ -140,19 +140,27 @@ def by_feature(spans: DataFrame, dictionary: DataFrame, feature: str, mode: str
     AddNewAnnotation (the matches alone). With at_start or at_end off, a value matches an entry inside it.
     """
     d = dictionary.groupBy("norm").agg(F.min("value").alias("_value"))
-    v, n = F.coalesce(F.upper(feature), F.lit("")), F.col("norm")
+    spans = spans.withColumn("_v", F.coalesce(F.upper(feature), F.lit("")))
     if at_start and at_end:
-        on = v == n
+        d = d.withColumnRenamed("norm", "_v")
     else:
-        on = v.startswith(n) if at_start else v.endswith(n) if at_end else v.contains(n)
+        # distinct values meet entries on their pieces of the lengths that entries have, so no value is compared with a whole dictionary
+        lengths = [r.n for r in d.select(F.length("norm").alias("n")).distinct().collect()]  # as many as the longest entry has characters
+        size, fits = F.length("_v"), lambda k, pieces: F.when(F.length("_v") >= k, pieces).otherwise(F.array().cast("array<string>"))
+        if at_start or at_end:
+            piece = lambda k: F.array(F.substring("_v", 1, k) if at_start else F.expr(f"right(_v, {k})"))
+        else:
+            piece = lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substr("_v", i, F.lit(k)))
+        pieces = F.array_distinct(F.flatten(F.array(*[fits(k, piece(k)) for k in lengths]))) if lengths else F.array().cast("array<string>")
+        d = spans.select("_v").distinct().select("_v", F.explode(pieces).alias("norm")).join(d, "norm").select("_v", "_value")
     if mode in ("KeepAnnotation", "RemoveAnnotation"):
-        return spans.join(d, on, "left_semi" if mode == "KeepAnnotation" else "left_anti")
+        return spans.join(d, "_v", "left_semi" if mode == "KeepAnnotation" else "left_anti").drop("_v")
     if mode == "AddNewAnnotation":
-        return spans.join(d, on).withColumn(f"{prefix}value", F.col("_value")).drop("norm", "_value")
+        return spans.join(d, "_v").withColumn(f"{prefix}value", F.col("_value")).drop("_v", "_value")
     name = f"{prefix}value"
     old = F.col(name) if name in spans.columns else F.lit(None).cast("string")
     new = F.coalesce(old, F.col("_value")) if mode == "AddFeatures" else F.coalesce(F.col("_value"), old)
-    return spans.join(d, on, "left").withColumn(name, new).drop("norm", "_value")
+    return spans.join(d, "_v", "left").withColumn(name, new).drop("_v", "_value")
 
 
 def term_search(queries: DataFrame, docs_terms: DataFrame, n_docs: int, top: int) -> DataFrame:
