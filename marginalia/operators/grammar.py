@@ -13,8 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.rules import control
-from marginalia.operators.spans import span_join
+from marginalia.model import cut_lineage
+from marginalia.operators.rules import PHASES, control, entity_spans
+from marginalia.operators.spans import matched, span_join
+from marginalia.operators.tokens import sentence_numbers, tokenize
 
 
 @dataclass(frozen=True)
@@ -182,6 +184,27 @@ def find_names(tokens: DataFrame, lookups: DataFrame | None = None) -> DataFrame
     return j.select("doc_id", "start", "stop", F.coalesce("_type", "type").alias("type"), F.coalesce("_rule", "rule").alias("rule"))
 
 
+def entity_cascade(docs: DataFrame, lookups: DataFrame | None = None) -> DataFrame:
+    """doc_id, start, stop, type, rule of all phases: addresses, amounts, dates and identifiers by expressions, then names by
+    rules over coded tokens, unknown ones last.
+
+    A match that overlaps one of an earlier phase goes; inside a phase the longer goes first, then the earlier.
+    """
+    facts = entity_spans(docs, PHASES).select("doc_id", "start", "stop", "type", F.col("type").alias("rule"), F.col("rule_no").alias("phase"))
+    t = numbered(tokens_of(docs))
+    names = find_names(t, lookups)
+    last = F.when(F.col("type") == "Unknown", len(PHASES) + 1).otherwise(len(PHASES))
+    every = cut_lineage(facts.unionByName(names.withColumn("phase", last)))
+    every = every.withColumn("ann_id", F.xxhash64("doc_id", "start", "stop", "type", "rule"))
+    size = F.col("stop") - F.col("start")
+    before = (F.col("b_phase") < F.col("phase")) | (F.col("b_phase") == F.col("phase")) & ((F.col("b_stop") - F.col("b_start") > size) | (F.col("b_stop") - F.col("b_start") == size) & (F.col("b_start") < F.col("start")))
+    return matched(every, every.select("doc_id", "start", "stop", "phase"), "overlap", keep=False, extra=before).select("doc_id", "start", "stop", "type", "rule")
+
+
+def tokens_of(docs: DataFrame) -> DataFrame:
+    return sentence_numbers(tokenize(docs))
+
+
 def numbered(tokens: DataFrame) -> DataFrame:
     """Tokens without white space, numbered anew so that neighbours have neighbouring numbers."""
     w = Window.partitionBy("doc_id").orderBy("start")

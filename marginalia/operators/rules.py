@@ -125,6 +125,18 @@ ENTITIES = {
     "Identifier": r"\b[A-Z]+[0-9]+[A-Z0-9]*\b",
     "Street": r"\b[0-9]+ (?:[A-Z][a-z]+ )+(?:Street|St|Road|Rd|Avenue|Ave|Lane|Square|Drive|Close)\b",
 }
+_DAYS = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
+_SPANS = "second|minute|hour|day|week|month|quarter|year|decade|century"
+#: Dates that are told from the day of writing, and lengths of time.
+RELATIVE_DATES = (
+    rf"\b(?:[Yy]esterday|[Tt]oday|[Tt]omorrow|[Tt]onight)\b|\b(?:[Ll]ast|[Nn]ext|[Tt]his|[Ee]very) (?:{_DAYS}|{MONTHS}|{_SPANS}|spring|summer|autumn|winter|weekend|morning|evening|night)\b"
+    rf"|\b(?:[0-9]+|a|an|one|two|three|four|five|six|seven|eight|nine|ten) (?:{_SPANS})s? (?:ago|earlier|later|from now)\b|\b(?:{_DAYS})\b|\b(?:early|mid|late)[ -](?:{MONTHS}|[0-9]{{4}}s?)\b|\b[0-9]{{4}}s\b"
+)
+#: The phases of the cascade in order of precedence: a match that overlaps one of an earlier phase goes.
+PHASES = [
+    ("Url", ENTITIES["Url"]), ("Email", ENTITIES["Email"]), ("Ip", ENTITIES["Ip"]), ("Money", ENTITIES["Money"]), ("Percent", ENTITIES["Percent"]), ("Date", ENTITIES["Date"]), ("Time", ENTITIES["Time"]),
+    ("Date", RELATIVE_DATES), ("Phone", ENTITIES["Phone"]), ("Street", ENTITIES["Street"]), ("Postcode", ENTITIES["Postcode"]), ("Identifier", ENTITIES["Identifier"]),
+]
 # Words that tell persons, organizations and places.
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Sir|Lord|Lady|Dame|President|Senator|Judge|Captain|General"
 FRENCH_TITLES = "M|Mme|Mlle|Docteur|Monsieur|Madame|Mademoiselle|Maître|Président"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia import model
 from marginalia.operators import candidates as C
-from marginalia.operators import entities, gazetteer, graph, rules, similarity, spans, tagging, tokens
+from marginalia.operators import entities, gazetteer, grammar, graph, rules, similarity, spans, tagging, tokens
 from marginalia.plans.pipeline import Plan, Step, read_config
 from marginalia.plans.registry import derived, inline, query, table
 from marginalia.plans.table_queries import CAP1, CAP2, W1, W2, _union
@@ -211,6 +211,19 @@ def regex_sentence_split(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).cast("long").alias("chars"))
 
 
+STATEMENTS = f"""SELECT p_partkey AS doc_id, 'Mr. J. ' || {CAP1} || ' paid $' || p_size || ',500 (' || p_size || '.5%) for ' || {CAP2} || ' Ltd on 3 May ' || (1950 + p_size) || ' at ' || p_size % 12 || ':30 pm, two weeks ago; see https://x.org/' || {W1} || ' or mail ' || {W2} || '@y.org about AB' || p_size || '7 near Mount ' || {CAP1} || '.' AS text FROM part"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS doc_id, p_size AS k, {W1} AS a, {W2} AS b, {CAP1} AS ca, {CAP2} AS cb FROM part) SELECT doc_id, 'Person' AS type, 'Mr. J. ' || ca AS string FROM p UNION ALL SELECT doc_id, 'Money', '$' || k || ',500' FROM p UNION ALL SELECT doc_id, 'Percent', k || '.5%' FROM p UNION ALL
+  SELECT doc_id, 'Organization', cb || ' Ltd' FROM p UNION ALL SELECT doc_id, 'Date', '3 May ' || (1950 + k) FROM p UNION ALL SELECT doc_id, 'Time', k % 12 || ':30 pm' FROM p UNION ALL SELECT doc_id, 'Date', 'two weeks ago' FROM p UNION ALL
+  SELECT doc_id, 'Url', 'https://x.org/' || a FROM p UNION ALL SELECT doc_id, 'Email', b || '@y.org' FROM p UNION ALL SELECT doc_id, 'Identifier', 'AB' || k || '7' FROM p UNION ALL SELECT doc_id, 'Location', 'Mount ' || ca FROM p""")
+def entity_cascade(spark, sf_dir):
+    """All phases over a statement for each part: what an earlier phase takes, a later one does not."""
+    docs = derived(spark, sf_dir, STATEMENTS)
+    e = grammar.entity_cascade(docs).join(docs, "doc_id")
+    return e.select("doc_id", "type", F.expr("substring(text, start + 1, stop - start)").alias("string"))
+
+
 # ---- dictionaries and indexes ------------------------------------------------------------------------------------
 
 
