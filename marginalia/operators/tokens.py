@@ -15,6 +15,9 @@ from marginalia.functions.text import token_kind, token_orth
 TILE = r"(?s)\p{L}+|\p{N}+|[ \t\n\r\f]|."
 #: Tokens of short messages come before the plain ones.
 MESSAGE_TILE = r"(?s)https?://[^ \t\n\r\f]+|#[\p{L}\p{N}_]+|@[A-Za-z0-9_]+|[:;=][-']?[()DPpO/|]|" + TILE[4:]
+#: A lower-case word and a number that touch are one token of a message (gr8, 2day).
+RECOMBINED = r"\p{Ll}+\p{N}+|\p{N}+\p{Ll}+(?!\p{L})"
+RECOMBINING_TILE = MESSAGE_TILE.replace(TILE[4:], f"{RECOMBINED}|{TILE[4:]}")
 # What is joined to an apostrophe, and words after which a full stop ends nothing.
 AFTER_APOSTROPHE = "30s 40s 50s 60s 70s 80s 90s Cause cause Em em N S s T d ll m re til ve".split()
 ABBREVIATIONS = "Adm Brig CO CORP Capt Cmdr Co Col Comdr DR Dr Fig GMBH Gen Gov INC LTD Lt Ltd MP Maj Mr Mrs Ms NA NV Oy PLC Prof Rep SA SIR SR Sen Sgt St VP ad al ed eds eg et etc fig ie op pp vol".split()

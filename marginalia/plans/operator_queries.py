@@ -224,6 +224,24 @@ def entity_cascade(spark, sf_dir):
     return e.select("doc_id", "type", F.expr("substring(text, start + 1, stop - start)").alias("string"))
 
 
+@query(f"SELECT p_partkey AS doc_id, unnest([{W1} || p_size, p_size || {W2}, {CAP1}, CAST(p_size AS VARCHAR), '#' || {W1} || '7']) AS string FROM part")
+def message_recombine(spark, sf_dir):
+    """Words and numbers that touch in messages; capitals keep them apart."""
+    d = derived(spark, sf_dir, f"SELECT p_partkey AS doc_id, {W1} || p_size || ' ' || p_size || {W2} || ' ' || {CAP1} || p_size || ' #' || {W1} || '7' AS text FROM part")
+    return tokens.visible(tokens.tiles(d, tokens.RECOMBINING_TILE)).select("doc_id", "string")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS norm FROM part), t AS (SELECT DISTINCT CASE p_size % 2 WHEN 0 THEN 'x' || substr({W1}, 2) ELSE 'X' || substr({W2}, 2) END AS word FROM part)
+  SELECT word, coalesce(CASE WHEN word[1] = 'x' THEN (SELECT min((levenshtein(word, norm), norm)) FROM d WHERE levenshtein(word, norm) <= 1)[2] END, word) AS norm FROM t""")
+def normalise_words(spark, sf_dir):
+    """Spelling is corrected but for words with a capital first letter, which may be names."""
+    from marginalia.functions.text import token_orth
+
+    known = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    words = derived(spark, sf_dir, f"SELECT DISTINCT CASE p_size % 2 WHEN 0 THEN 'x' || substr({W1}, 2) ELSE 'X' || substr({W2}, 2) END AS word FROM part")
+    return tagging.correct_spelling(words.withColumn("orth", token_orth(F.col("word"))), known, inline(spark, "(VALUES ('zz', 'yy')) AS t(form, norm)"))
+
+
 # ---- dictionaries and indexes ------------------------------------------------------------------------------------
 
 
