@@ -32,6 +32,11 @@ def type_names(sty: Column) -> Column:
     return F.array_distinct(F.split(F.regexp_replace(F.trim(F.regexp_replace(sty, r",\s", "_")), r"\s+", "_"), ","))
 
 
+def vocabularies(vocabs: Column) -> Column:
+    """The vocabularies of a comma-joined list; empty parts at its end are none."""
+    return F.split(F.regexp_replace(vocabs, ",+$", ""), ",")
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Mentions without an identifier or of another type get a reason in deleted_because."""
     bad = F.when(F.coalesce("inst", F.lit("")) == "", "no inst").when(~F.coalesce("sty", F.lit("")).isin(KEPT_TYPES), "type")

@@ -92,6 +92,20 @@ def with_proper_noun(spans: DataFrame, tokens: DataFrame, proper: Column) -> Dat
     return matched(spans, tokens.where(proper), "covers")
 
 
+def drop_common_words(lookups: DataFrame, tokens: DataFrame, off: DataFrame | None = None, entities: DataFrame | None = None, major: str = "dbpedia", exempt: tuple[str, ...] = ("demonym", "adjectival")) -> DataFrame:
+    """Look-ups (with major and minor types) of the major type stay only if a token inside is tagged as a proper noun (NNP...), or,
+    where entities are given, if an entity has just their extent. Those of other major or exempt minor types stay, and so do
+    all in the documents of off (doc_id)."""
+    free = F.coalesce(F.col("major") != major, F.lit(True)) | F.coalesce(F.col("minor").isin(*exempt), F.lit(False))
+    asked = lookups.where(~free)
+    kept = lookups.where(free)
+    if off is not None:
+        kept = kept.unionByName(asked.join(off.select("doc_id").distinct(), "doc_id", "left_semi").select(*lookups.columns))
+        asked = asked.join(off.select("doc_id").distinct(), "doc_id", "left_anti")
+    good = matched(asked, entities, "coextensive") if entities is not None else with_proper_noun(asked, tokens, F.col("tag").startswith("NNP"))
+    return kept.unionByName(good.select(*lookups.columns))
+
+
 def drop_stop_words(spans: DataFrame, stop_words: DataFrame, tokens: DataFrame) -> DataFrame:
     """Spans that are exactly a stop word or a number go."""
     bad = stop_words.select("doc_id", "start", "stop").unionByName(tokens.where("kind = 'number'").select("doc_id", "start", "stop"))

@@ -257,10 +257,6 @@ def export_arff_rows(spark, sf_dir):
 # ---- statistics --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT source, count(*) AS texts, count(DISTINCT lang) AS langs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
-def corpus_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("texts"), F.countDistinct("lang").alias("langs"), F.sum("n_chars").alias("chars"))
-
 
 
 @query("SELECT p_brand, string_agg(DISTINCT w, '|' ORDER BY w) AS combined FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY ALL")
@@ -323,10 +319,3 @@ def corpus_subset(spark, sf_dir):
 
     d = corpora.subset(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
     return corpora.subset(d, F.col("lang") == "de").select("doc_id", "lang")
-
-
-@query("SELECT l_returnflag AS doc_id, count(*) FILTER (l_quantity < 10) AS removed, count(*) AS n FROM lineitem GROUP BY ALL")
-def removal_counters(spark, sf_dir):
-    """How many spans a filter took from each document."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_returnflag").alias("doc_id")).agg(F.count_if(F.col("l_quantity") < 10).alias("removed"), F.count("*").alias("n"))

@@ -5,16 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia import model
+from marginalia.functions import concepts
 from marginalia.operators import candidates as C
 from marginalia.operators import entities, gazetteer, grammar, graph, rules, similarity, spans, tagging, tokens
 from marginalia.plans.pipeline import Plan, Step, read_config
 from marginalia.plans.registry import derived, inline, query, table
 from marginalia.plans.table_queries import CAP1, CAP2, W1, W2, _union
-from marginalia.plans.text_queries import BENCH, BGRAMS, CHUNK_RULES, DICTIONARY, GRAMS, LEXICON, SENTENCES, TOKENS, dictionary, documents
+from marginalia.plans.text_queries import BENCH, BGRAMS, CHUNK_RULES, DICTIONARY, GRAMS, LEXICON, MATCHES, SENTENCES, TERM_SQL, TOKENS, dictionary, documents, mentions
 from marginalia.sources import corpora, dictionaries, sinks
 from marginalia.streaming import documents as streams
 
@@ -29,6 +30,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@query("SELECT p_partkey, unnest([p_type, lower(p_brand), 'UMLS']) AS vocab FROM part")
+def concept_vocabularies(spark, sf_dir):
+    d = derived(spark, sf_dir, "SELECT p_partkey, p_type || ',' || lower(p_brand) || ',UMLS,,' AS vocabs FROM part")
+    return d.select("p_partkey", F.explode(concepts.vocabularies(F.col("vocabs"))).alias("vocab"))
+
+
 # ---- candidates --------------------------------------------------------------------------------------------------
 
 LOCATIONS = [
@@ -242,6 +249,33 @@ def normalise_words(spark, sf_dir):
     return tagging.correct_spelling(words.withColumn("orth", token_orth(F.col("word"))), known, inline(spark, "(VALUES ('zz', 'yy')) AS t(form, norm)"))
 
 
+LOOKUP_TAGS = TAGS.replace("g AS (SELECT tok", "gt AS (SELECT tok").replace("FROM g)", "FROM gt)")
+
+
+@query(rf"""{MATCHES}, {LOOKUP_TAGS}, l AS (SELECT DISTINCT doc_id, start, stop, CASE WHEN item_id % 4 = 0 THEN 'other' ELSE 'dbpedia' END AS major, CASE WHEN item_id % 4 = 1 THEN 'demonym' END AS minor FROM m)
+  SELECT doc_id, major, coalesce(minor, '') AS minor, count(*) AS n FROM l WHERE major = 'other' OR minor = 'demonym' OR doc_id % 10 = 0 OR EXISTS (SELECT 1 FROM tagged t WHERE t.doc_id = l.doc_id AND t.start >= l.start AND t.stop <= l.stop AND tag LIKE 'NNP%') GROUP BY ALL""")
+def pos_filter_gated(spark, sf_dir):
+    """Look-ups without a proper noun go, but for exempt kinds and documents that ask for no filter."""
+    m = mentions(spark, sf_dir, longest_only=False)
+    kind = F.col("item_id") % 4
+    look = m.select("doc_id", "start", "stop", F.when(kind == 0, "other").otherwise("dbpedia").alias("major"), F.when(kind == 1, "demonym").alias("minor")).distinct()
+    look = look.withColumn("ann_id", F.xxhash64("start", "stop", "major", "minor"))
+    off = documents(spark, sf_dir).where("doc_id % 10 = 0")
+    return spans.drop_common_words(look, tagged(spark, sf_dir), off).groupBy("doc_id", "major", F.coalesce("minor", F.lit("")).alias("minor")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH dt AS (SELECT doc_id, term, count(*) AS tf FROM ({TERM_SQL}) GROUP BY ALL), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark),
+  df AS (SELECT term, count(*) AS df FROM dt GROUP BY term), sc AS (SELECT query_id, doc_id, round(sum(tf * ln((SELECT count(*) FROM documents) / df)), 6) AS score FROM q JOIN df USING (term) JOIN dt USING (term) WHERE df < (SELECT count(*) FROM documents) GROUP BY ALL),
+  r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 500) SELECT query_id, doc_id, round(1 - (rank - 1) / count(*) OVER (PARTITION BY query_id) + 0.001, 6) AS rank_score FROM r""")
+def search_rank_scores(spark, sf_dir):
+    """The first 500 hits of each context, scored by their places."""
+    counts = model.cut_lineage(similarity.term_counts(documents(spark, sf_dir), "text", "doc_id"))
+    q = similarity.term_counts(table(spark, sf_dir, "benchmark"), "text", "item_id").select(F.col("item_id").alias("query_id"), "term")
+    hits = gazetteer.term_search(q, counts, documents(spark, sf_dir).count(), 500)
+    size = F.count("*").over(Window.partitionBy("query_id"))
+    return hits.select("query_id", "doc_id", F.round(gazetteer.rank_score(F.col("rank") - 1, size), 6).alias("rank_score"))
+
+
 # ---- dictionaries and indexes ------------------------------------------------------------------------------------
 
 
