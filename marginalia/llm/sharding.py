@@ -90,19 +90,21 @@ def propagate(state: DataFrame, links: DataFrame, quota: int, shards: int, round
     still = 0
     for number in range(rounds):
         load = {r.shard: r.s for r in state.groupBy("shard").agg(F.sum("cnt").alias("s")).collect()}  # one row per shard
-        room = F.element_at(F.array(*[F.lit(max(0, quota - load.get(s, 0))).cast("long") for s in range(shards)]), F.col("target") + 1)
-        # shards x 12 bytes at most for each link, written so that a hot link's nodes can be split over tasks
+        room = F.array(*[F.lit(max(0, quota - load.get(s, 0))).cast("long") for s in range(shards)])
+        # shards entries at most for each link, written so that a hot link's nodes can be split over tasks
         held = stash(histogram(state, links).groupBy("key").agg(F.collect_list(F.struct("shard", "held")).alias("h")).where("size(h) > 1"), "link-shards")
-        asked = links.join(held, "key").select("node", F.explode("h").alias("x")).groupBy("node", F.col("x.shard").alias("target")).agg(F.sum("x.held").alias("votes"))
+        asked = links.join(held, "key").groupBy("node").agg(F.flatten(F.collect_list("h")).alias("h"))  # three links at most
         mine = state.where(F.pmod(F.xxhash64("node", "shard", F.lit(number)), F.lit(2)) == 0).select("node", F.col("shard").alias("own"), "cnt")
-        votes = mine.join(asked, "node").groupBy("node", "own", "cnt").agg(
-            F.sum(F.when(F.col("own") == F.col("target"), F.col("votes") - F.col("cnt"))).alias("here"),
-            F.max(F.when((F.col("own") != F.col("target")) & (room >= F.col("cnt")), F.struct("votes", (-F.col("target")).alias("minus")))).alias("best"),
-        )
-        moves = votes.where("best.votes > coalesce(here, 0)").select("node", "own", "cnt", (-F.col("best.minus")).cast("int").alias("target"))
+        held_by = lambda s: F.aggregate(F.filter("h", lambda x: x["shard"] == s), F.lit(0).cast("long"), lambda n, x: n + x["held"])
+        votes = mine.join(asked, "node").withColumn("here", F.greatest(held_by(F.col("own")) - F.col("cnt"), F.lit(0)))
+        open_ = F.filter(F.array_distinct(F.transform("h", lambda x: x["shard"])), lambda s: (s != F.col("own")) & (F.get(room, s) >= F.col("cnt")))
+        other = F.filter(F.transform(open_, lambda s: F.struct(held_by(s).alias("votes"), (-s).alias("minus"))), lambda x: x["votes"] > F.col("here"))
+        moves = votes.select("node", "own", "cnt", F.array_max(other).alias("best")).where("best is not null").select("node", "own", "cnt", (-F.col("best.minus")).cast("int").alias("target"))
+        moves = wished = stash(moves, "shard-wishes")
         moves = positions(moves, ["target"], F.xxhash64("node", "own"), ["node", "own"], bits_for(sum(load.values()), shards), "ahead", F.col("cnt"))
-        moves = stash(moves.where(F.col("ahead") + F.col("cnt") <= room).select("node", F.col("own").alias("shard"), "target", "cnt"), "shard-moves")
+        moves = stash(moves.where(F.col("ahead") + F.col("cnt") <= F.get(room, F.col("target"))).select("node", F.col("own").alias("shard"), "target", "cnt"), "shard-moves")
         unstash(held)
+        unstash(wished)
         still = still + 1 if moves.isEmpty() else 0  # each half gets its turn
         if still == 0:
             change = moves.select("node", "shard", (-F.col("cnt")).alias("cnt")).unionByName(moves.select("node", F.col("target").alias("shard"), "cnt"))
