@@ -18,9 +18,12 @@ classes every score is 0. Repeated rows get equal scores; an empty table gives n
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,7 @@ WINDOW = 24
 CUTS = np.array([1.0, 2.0, 3.0, 4.0, 6.0])
 FEATURES = 3 + len(CUTS)
 #: Words and their ratios kept by a worker; texts cut into words at once.
-CACHE, TOGETHER = 600_000, 200
+CACHE, TOGETHER = 200_000, 100
 #: A word is what stands between white space, without marks at its ends. A run of over LONGEST characters is cut at its marks, and what
 #: is longer still counts as words of that length that overlap by half, so all of it is read, and an expression of up to half the length
 #: stands whole in one.
@@ -176,8 +179,8 @@ class Scorer:
             for ws in lists:
                 new.update(set(ws).difference(self.cache))
             fresh = list(new)
-            for i in range(0, len(fresh), 20_000):
-                part = fresh[i : i + 20_000]
+            for i in range(0, len(fresh), 8_000):
+                part = fresh[i : i + 8_000]
                 self.cache.update(zip(part, self.model.ratios(part).tolist(), strict=True))
             get = self.cache.__getitem__
             for row, ws in zip(out[at:], lists, strict=False):
@@ -237,24 +240,38 @@ def train(texts: list[str], labels: list[int]) -> Scorer:
     return Scorer(Model(counts[0]), fit_layer(x, y))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], list[int]]:
-    """At most max_rows distinct labelled texts of each class that are not held out.
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """toxic, h, text: of each class at most max_rows distinct labelled texts that are not held out, those with the smallest hashes.
 
-    They are chosen by hashes alone; then only the chosen texts, of which there is a fixed number, come to the driver.
+    They are chosen by hashes alone; then only the chosen texts are fetched.
     """
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct().where(~held_out())
     h = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
     hashed = known.join(docs.select("doc_id", h), "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
     # each task passes on max_rows of a class at most
     place = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
-    chosen = hashed.withColumn("place", place).where(F.col("place") <= max_rows).select("doc_id", "h", "toxic").collect()
-    if not chosen:
-        return [], []
-    chosen.sort(key=lambda r: (-r.toxic, r.h))
-    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.h) for r in chosen], known.select("doc_id").schema.add("h", "long")).distinct()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h).join(F.broadcast(wanted), ["doc_id", "h"]).groupBy("h").agg(F.first("text").alias("text"))  # at most 2 * max_rows rows are broadcast
-    by_hash = {r.h: r.text for r in texts.collect()}
-    return [by_hash[r.h] for r in chosen], [r.toxic for r in chosen]
+    wanted = hashed.withColumn("place", place).where(F.col("place") <= max_rows).select("doc_id", "h", "toxic")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h).join(F.broadcast(wanted), ["doc_id", "h"])  # at most 2 * max_rows rows are broadcast
+    return texts.groupBy("toxic", "h").agg(F.first("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> bytes:
+    """`train` on the sample, in one task: it gets no more than the sample's bound. The result is packed and may be empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"toxic": [], "text": []}), *batches])
+        scorer = train(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+        yield pd.DataFrame({"fitted": [zlib.compress(pickle.dumps((scorer.model, scorer.layer), 5), 1)]})
+
+    rows = sample(docs, labels, max_rows).repartition(1).sortWithinPartitions(F.desc("toxic"), "h").select("toxic", "text")
+    found = rows.mapInPandas(run, "fitted binary").first()
+    return bytes(found[0]) if found else b""
+
+
+@lru_cache(maxsize=1)
+def unpacked(fitted: bytes) -> tuple[Model | None, np.ndarray | None]:
+    """Model and layer, once for all tasks that a worker runs."""
+    return pickle.loads(zlib.decompress(fitted)) if fitted else (None, None)
 
 
 def held_out():
@@ -264,12 +281,11 @@ def held_out():
 def scorer(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
     """A function of a text column: struct(score double, predicted int). Nothing but the texts goes to Python."""
     tune(docs.sparkSession)
-    fitted = train(*sample(docs, labels, max_rows))
-    shared = docs.sparkSession.sparkContext.broadcast((fitted.model, fitted.layer))  # bounded by max_rows texts of each class
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows))  # bounded by max_rows texts of each class
 
     @F.pandas_udf("score double, predicted int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Scorer(*shared.value)
+        own = Scorer(*unpacked(shared.value))
         for texts in batches:
             s = own.scores(texts.tolist())
             yield pd.DataFrame({"score": s, "predicted": (s >= 0.5).astype(np.int32)})
