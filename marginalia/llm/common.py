@@ -53,11 +53,12 @@ def stash(df: DataFrame, name: str = "stash") -> DataFrame:
     return out
 
 
-def unstash(df: DataFrame) -> None:
+def unstash(*frames: DataFrame) -> None:
     """Delete what `stash` wrote, once nothing reads it any more."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        remove(df.sparkSession, path)
+    for df in frames:
+        path = getattr(df, "_stash_path", None)
+        if path:
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -119,21 +120,19 @@ def positions(df: DataFrame, part: list[str], hashed: Column, ties: list, bits:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a long, b long) -> (node, root): root is the smallest node reachable; nodes with no edge are not listed.
 
-    Alternating large-star and small-star steps; each step is one aggregation and one join, and its results are
+    Alternating large-star and small-star steps; each step is one aggregation and one join, and its result is
     written to the shared folder, so no list of neighbours or of components is ever held in one place.
     """
     e = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written, so that joins with them deal both sides anew and adaptive execution can cut a hub's partition
-        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = stash(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
-        down = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stash(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        for used in (e, low, large, down):
-            unstash(used)
+        unstash(e)
         e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -141,4 +140,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = now
     else:
         raise RuntimeError("components did not converge")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._stash_path = e._stash_path
+    return out

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import connected_components, keep_rows, stash, tune
+from marginalia.llm.common import connected_components, keep_rows, stash, tune, unstash
 
 DISTANCE = 2
 SHINGLE = 3
@@ -228,8 +228,8 @@ def similar_pairs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, sketch: np.nda
             i = live[root[live] != root[live + step]]
             i = i[np.abs(table[i] - table[i + step]).max(axis=1, initial=0) <= BITS]
             i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= BITS]
-            for at in range(0, len(i), 20_000):
-                a = i[at : at + 20_000]
+            for at in range(0, len(i), 4_000):
+                a = i[at : at + 4_000]
                 # n grows with the row, so the second set is the larger one
                 x = a[jaccard(sketch[a], n[a], sketch[a + step], n[a + step]) >= similarity - np.where(n[a + step] > SKETCH, margin, 0)]
                 if apart is None:
@@ -252,11 +252,13 @@ def similar_pairs(key: np.ndarray, fp: np.ndarray, n: np.ndarray, sketch: np.nda
     return order[i], order[j]
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float, written: list[DataFrame]) -> DataFrame:
     """pairs (a, b) of cls -> a, b, alike: whether their whole shingle sets are similar. Only texts of pairs are fetched."""
     ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep.doc_id", "rep.th"), "cls"), "pair-ids")
+    written.append(ids)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("th")).join(ids, ["doc_id", "th"])
     texts = stash(texts.groupBy("cls").agg(F.first("text").alias("text")), "pair-texts")
+    written.append(texts)
     side = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,10 +297,11 @@ def by_key(rows: DataFrame, work, columns: list[str], schema: str) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def shared(rows: DataFrame) -> DataFrame:
+def shared(rows: DataFrame, written: list[DataFrame]) -> DataFrame:
     """Rows whose key others have too, with their number m."""
     # written, so that the join deals both sides anew and adaptive execution can cut a hot key's partition
-    return rows.join(stash(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key-sizes"), "key")
+    written.append(stash(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key-sizes"))
+    return rows.join(written[-1], "key")
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
@@ -320,15 +323,17 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     that of not meeting at all. What is larger even then is cut into blocks of which any two meet, which loses nothing.
     """
     same = ["k", "fp", "n"]  # texts of one set, by its hash beside fingerprint and size
-    prints = stash(sketches(docs, shingle), "sketches")
+    written: list[DataFrame] = []
+    keep = lambda df, name: written.append(stash(df, name)) or written[-1]
+    prints = keep(sketches(docs, shingle), "sketches")
     classes = prints.groupBy(*same).agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    classes = stash(classes.withColumn("cls", F.monotonically_increasing_id()), "sketch-classes")
+    classes = keep(classes.withColumn("cls", F.monotonically_increasing_id()), "sketch-classes")
     # keys are counted and cut without the sketches, which then go only where two texts meet
-    met = shared(classes.select("cls", "n", "keys", F.explode(F.slice("keys", 1, KEYS)).alias("key")))
+    met = shared(classes.select("cls", "n", "keys", F.explode(F.slice("keys", 1, KEYS)).alias("key")), written)
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.01 / similarity))).cast("int")
-    banded = shared(met.where(f"m > {HOT_KEY}").withColumn("band", F.explode(F.array(band, band + 1))).select("cls", "keys", F.col("key").alias("of"), F.xxhash64("key", "band").alias("key")))
+    banded = shared(met.where(f"m > {HOT_KEY}").withColumn("band", F.explode(F.array(band, band + 1))).select("cls", "keys", F.col("key").alias("of"), F.xxhash64("key", "band").alias("key")), written)
     cut = banded.where(f"m > {HOT_KEY}").withColumn("other", F.explode(F.filter("keys", lambda k: k != F.col("of")))).select("cls", F.xxhash64("key", "other").alias("key"))
-    cut = shared(cut)
+    cut = shared(cut, written)
     met = met.where(f"m <= {HOT_KEY}").select("cls", "key").unionByName(banded.where(f"m <= {HOT_KEY}").select("cls", "key"))
     met = met.unionByName(cut.where(f"m <= {HOT_KEY}").select("cls", "key")).unionByName(block_pairs(cut.where(f"m > {HOT_KEY}")))
     held = ["fp", "n", "sketch"]
@@ -340,8 +345,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
         return pd.DataFrame({"key": key[i], "a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j]), "whole": np.maximum(n[i], n[j]) <= SKETCH})
 
     schema = "key long, a long, b long, whole boolean"
-    forest = stash(by_key(met.join(classes.select("cls", *held), "cls"), work, held, schema), "forest")
-    checked = stash(verified(forest.where("not whole").select("a", "b").distinct(), classes, docs, shingle, similarity), "checked")
+    forest = keep(by_key(met.join(classes.select("cls", *held), "cls"), work, held, schema), "forest")
+    checked = keep(verified(forest.where("not whole").select("a", "b").distinct(), classes, docs, shingle, similarity, written), "checked")
     sure = forest.where("whole").select("a", "b").unionByName(checked.where("alike").select("a", "b")).distinct()
     roots = connected_components(sure)
     refuted = checked.where("not alike").select("a", "b")
@@ -350,20 +355,25 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
         keys = forest.where("not whole").join(refuted, ["a", "b"]).select("key").distinct()
         left = forest.join(keys, "key").select("key", F.explode(F.array("a", "b")).alias("cls")).distinct()
         left = left.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-        more = stash(by_key(left.join(classes.select("cls", *held), "cls"), work, [*held, "root"], schema).select("a", "b", "whole").distinct(), "more-pairs")
-        again = verified(more.where("not whole").select("a", "b").join(refuted, ["a", "b"], "left_anti"), classes, docs, shingle, similarity)
-        roots = connected_components(sure.unionByName(more.where("whole").select("a", "b")).unionByName(again.where("alike").select("a", "b")))
-    known = stash(classes.join(roots, F.col("cls") == F.col("node"), "left").select(*same, "rep", F.coalesce("root", "cls").alias("root")), "near-classes")
-    first = stash(known.groupBy("root").agg(F.min("rep").alias("first")), "near-firsts")
-    known = stash(known.join(first, "root").select(*same, "first"), "near-classes")
+        more = keep(by_key(left.join(classes.select("cls", *held), "cls"), work, [*held, "root"], schema).select("a", "b", "whole").distinct(), "more-pairs")
+        again = verified(more.where("not whole").select("a", "b").join(refuted, ["a", "b"], "left_anti"), classes, docs, shingle, similarity, written)
+        first_roots, roots = roots, connected_components(sure.unionByName(more.where("whole").select("a", "b")).unionByName(again.where("alike").select("a", "b")))
+        unstash(first_roots)
+    known = keep(classes.join(roots, F.col("cls") == F.col("node"), "left").select(*same, "rep", F.coalesce("root", "cls").alias("root")), "near-classes")
+    first = keep(known.groupBy("root").agg(F.min("rep").alias("first")), "near-firsts")
+    known = keep(known.join(first, "root").select(*same, "first"), "near-classes")
     out = prints.join(known, same)
-    return out.select("doc_id", "th", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("first")).alias("kept"))
+    out = stash(out.select("doc_id", "th", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("first")).alias("kept")), "near-groups")
+    unstash(*written, roots)
+    return out
 
 
 def keep_distinct(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies: that with the smallest doc_id. Columns as in docs."""
-    kept = near_groups(docs, shingle, similarity).where("kept").groupBy("doc_id", F.col("th").alias("mark")).agg(F.count("*").alias("copies"))
-    return keep_rows(docs, stash(kept, "kept-texts"), text_hash())
+    groups = near_groups(docs, shingle, similarity)
+    kept = stash(groups.where("kept").groupBy("doc_id", F.col("th").alias("mark")).agg(F.count("*").alias("copies")), "kept-texts")
+    unstash(groups)
+    return keep_rows(docs, kept, text_hash())
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
