@@ -11,7 +11,8 @@ Blocks are independent, so many are coded side by side as the lanes of numpy arr
 
 Null texts are empty and have the end id alone. Rows that share a doc_id stand side by side, ordered by their texts.
 An empty table gives no files and no rows. A task writes its files under names of its own attempt, and only the files that
-its rows name are read, so a lost executor costs a rewrite of its part.
+its rows name are read, so a lost executor costs a rewrite of its part. In a store that pyarrow doesn't know but Spark does
+(s3a://, abfss://), the bytes of each file are a row of a table that Spark writes.
 """
 
 from __future__ import annotations
@@ -269,8 +270,21 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:/", "file:///"))
 
 
+def reachable(folder: str) -> bool:
+    """Whether pyarrow can write there."""
+    try:
+        _open(folder)
+    except (ValueError, OSError, ImportError):
+        return False
+    return True
+
+
 def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """Write docs into files of the folder; returns their list (part, seq, path, n_ids), in document order."""
+    """Write docs into files of the folder; returns their list (part, seq, path, n_ids, payload), in document order.
+
+    payload: the bytes of a file that only Spark can write; null for the others.
+    """
+    direct = reachable(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -284,15 +298,22 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
             nonlocal seq, size
             if doc_ids:
                 path = f"{folder}/part-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.tids"
-                store, name = _open(path)
-                store.create_dir(name.rpartition("/")[0], recursive=True)
-                with store.open_output_stream(name) as f:
-                    f.write(file_bytes(doc_ids, ids))
-                rows.append((part, seq, path, size))
+                data = file_bytes(doc_ids, ids)
+                if direct:
+                    store, name = _open(path)
+                    store.create_dir(name.rpartition("/")[0], recursive=True)
+                    with store.open_output_stream(name) as f:
+                        f.write(data)
+                rows.append((part, seq, path, size, None if direct else data))
                 doc_ids.clear()
                 ids.clear()
                 seq, size = seq + 1, 0
 
+        def listed() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["part", "seq", "path", "n_ids", "payload"])
+            rows.clear()
+            return out
+
         for b in batches:
             for doc, text in zip(b["doc_id"].tolist(), b["text"], strict=True):
                 doc_ids.append(doc)
@@ -300,28 +321,31 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
                 size += len(ids[-1])
                 if size >= FILE_IDS:
                     flush()
+                    yield listed()
         flush()
-        yield pd.DataFrame(rows, columns=["part", "seq", "path", "n_ids"])
+        yield listed()
 
     tune(docs.sparkSession)
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInPandas(run, "part int, seq int, path string, n_ids long")
+    return ordered.mapInPandas(run, "part int, seq int, path string, n_ids long, payload binary")
 
 
 def read_back(files: DataFrame) -> DataFrame:
-    """files (path, start) -> doc_id, start, n_tokens, ids_crc32 of each document in them."""
+    """files (path, start, payload) -> doc_id, start, n_tokens, ids_crc32 of each document in them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for path, start in zip(b["path"], b["start"], strict=True):
-                store, name = _open(path)
-                with store.open_input_stream(name) as f:
-                    docs, ids = read_file(f.read())
+            for path, start, payload in zip(b["path"], b["start"], b["payload"], strict=True):
+                if payload is None:
+                    store, name = _open(path)
+                    with store.open_input_stream(name) as f:
+                        payload = f.read()
+                docs, ids = read_file(bytes(payload))
                 lens = np.fromiter(map(len, ids), np.int64, len(ids))
                 yield pd.DataFrame({"doc_id": docs, "start": start + np.cumsum(lens) - lens, "n_tokens": lens, "ids_crc32": [zlib.crc32(x.astype("<u4")) for x in ids]})
 
-    return files.select("path", "start").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("path", "start", "payload").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, folder: str | None = None) -> DataFrame:

@@ -62,3 +62,11 @@ def test_repeated_rows_and_empty_table(spark):
     spans = sorted((r.start, r.n_tokens) for r in got)
     assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
     assert T.token_output(edge.empty(spark)).collect() == []
+
+
+def test_store_that_only_spark_can_write(spark, monkeypatch):
+    want = sorted(map(tuple, T.token_output(edge.frame(spark)).collect()))
+    monkeypatch.setattr(T, "reachable", lambda folder: False)
+    assert sorted(map(tuple, T.token_output(edge.frame(spark), "nosuch://bucket/ids").collect())) == want
+    monkeypatch.undo()
+    assert not T.reachable("s3a://bucket/ids") and T.reachable("file:/tmp/ids")
