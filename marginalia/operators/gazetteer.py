@@ -17,8 +17,8 @@ from marginalia.functions.text import dictionary_entry
 from marginalia.operators.tokens import visible
 
 
-def ngrams(tokens: DataFrame, longest: int, case_sensitive: bool = False, chunk: str | None = None) -> DataFrame:
-    """doc_id, start, stop, n_tokens, norm of every run of 1 to `longest` tokens with white space between them.
+def ngrams(tokens: DataFrame, longest: int, case_sensitive: bool = False, chunk: str | None = None, shortest: int = 1) -> DataFrame:
+    """doc_id, start, stop, n_tokens, norm of every run of `shortest` to `longest` tokens with white space between them.
 
     chunk: a column of tokens (a sentence number, say) that no run may cross.
     """
@@ -33,18 +33,21 @@ def ngrams(tokens: DataFrame, longest: int, case_sensitive: bool = False, chunk:
     for n in range(1, longest + 1):
         if n > 1:
             fine = fine & (F.col("apart" if n == 2 else f"a{n - 2}") == 1)
+        if n < shortest:
+            continue
         stop = F.col("stop" if n == 1 else f"e{n - 1}")
         text = F.concat_ws(" ", "w", *[f"w{k}" for k in range(1, n)])
         runs.append(F.when(fine, F.struct(stop.alias("stop"), F.lit(n).alias("n_tokens"), text.alias("norm"))))
     return seen.select("doc_id", "start", F.explode(F.filter(F.array(*runs), lambda x: x.isNotNull())).alias("r")).select("doc_id", "start", "r.stop", "r.n_tokens", "r.norm")
 
 
-def match(tokens: DataFrame, dictionary: DataFrame, longest: int, longest_only: bool = True, case_sensitive: bool = False, chunk: str | None = None) -> DataFrame:
-    """Spans of dictionary entries, with the dictionary's columns; longest_only: the longest of those with one start.
+def match(tokens: DataFrame, dictionary: DataFrame, longest: int, longest_only: bool = True, case_sensitive: bool = False, chunk: str | None = None, shortest: int = 1) -> DataFrame:
+    """Spans of dictionary entries, with the dictionary's columns; longest_only: the longest of those with one start. Entries have
+    `shortest` to `longest` tokens: runs of other lengths are not built.
 
     Matches that begin at different tokens may overlap.
     """
-    found = ngrams(tokens, longest, case_sensitive, chunk).drop("n_tokens").join(dictionary, "norm")
+    found = ngrams(tokens, longest, case_sensitive, chunk, shortest).drop("n_tokens").join(dictionary, "norm")
     if longest_only:
         found = found.withColumn("_m", F.max("stop").over(Window.partitionBy("doc_id", "start"))).where("stop = _m").drop("_m")
     return found

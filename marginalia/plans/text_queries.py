@@ -41,12 +41,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two or three words of the benchmark texts, with the first item that has them."""
     items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
-    grams = gazetteer.ngrams(tokens.tokenize(items), 3).where("n_tokens >= 2")
+    grams = gazetteer.ngrams(tokens.tokenize(items), 3, shortest=2)
     return grams.groupBy("norm").agg(F.min("doc_id").alias("item_id"))
 
 
 def mentions(spark: SparkSession, sf_dir: str, longest_only: bool = True) -> DataFrame:
-    return gazetteer.match(tokens.tokenize(documents(spark, sf_dir)), dictionary(spark, sf_dir), 3, longest_only)
+    return gazetteer.match(tokens.tokenize(documents(spark, sf_dir)), dictionary(spark, sf_dir), 3, longest_only, shortest=2)
 
 
 @query(f"""{MATCHES}, best AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, start) AS m FROM m), l AS (SELECT * FROM best WHERE stop = m),
