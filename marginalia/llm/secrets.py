@@ -33,11 +33,12 @@ MASK = "[SECRET]"
 CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]{3,40}-----\s(?P<block>[\s\S]*?)-----END [A-Z ]{3,40}-----"
     r"|[:=][ \t]*(?P<mark>[\"'])(?P<quoted>(?:(?!(?P=mark))[^\n\\]|\\.){6,})(?P=mark)"
-    r"|(?:passw\w*|pwd|secret\w*|token|\w*key)[ \t]*[:=][ \t]*(?P<short>[^\s\"',;<>(){}\[\]]{6,})"
-    r"|[:=][ \t]*[\"']?(?P<value>[^\s\"',;<>(){}\[\]]{8,})"
-    r"|(?<![\w+/=\-])(?P<bare>[A-Za-z0-9+/_\-]{16,}={0,2}(?![=\w]))", re.I)
-KINDS = ("block", "quoted", "short", "value", "bare")
-NAMES = re.compile(r"passw|passwd|pwd|secret|token|api.?key|access|credential|auth|private|bearer|login|client", re.I)
+    r"|[:=][ \t]*[\"']?(?P<value>[^\s\"',;<>(){}\[\]]{6,})"
+    r"|(?<![\w+/=\-])(?P<bare>[A-Za-z0-9+/_\-]{16,}={0,2}(?![=\w]))")
+KINDS = ("block", "quoted", "value", "bare")
+#: A value of fewer characters, out of quotes, needs a name before it that tells of secrets.
+SHORT = 8
+NAMES = re.compile(r"passw|passwd|pwd|key|secret|token|api.?key|access|credential|auth|private|bearer|login|client", re.I)
 HARMLESS = re.compile(r"commit|sha|md5|checksum|digest|hash|uuid|guid|etag|revision|version|isbn|order|invoice|tracking|phone|card|build|example|placeholder|sample", re.I)
 DICTIONARY = sorted(set("""able about access account action address after again align alpha analysis answer apple archive array article aside
 background bank base batch before below best beta between bind blue board body book border bottom box branch bridge build button cache call
@@ -72,6 +73,8 @@ def candidates(text: str) -> list[tuple[int, int]]:
         while kind != "quoted" and e > s and text[e - 1] in ".,:!?\n":
             e -= 1
         value = text[s:e]
+        if kind == "value" and len(value) < SHORT and not NAMES.search(text[max(0, s - 24) : s]):
+            continue
         if value and (kind != "bare" or value.isupper() or any(c.isdigit() for c in value)):
             out.append((s, e))
     return out
