@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import tune
+from marginalia.llm.common import stash, tune, unstash
 
 ORDER = 8
 MAX_ROWS = 2000
@@ -241,16 +241,22 @@ def train(texts: list[str], labels: list[int]) -> Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """toxic, h, text: of each class at most max_rows distinct labelled texts that are not held out, those with the smallest hashes.
+    """toxic, h, text: of each class at most max_rows distinct labelled texts that are not held out, those with the smallest hashes (of texts, without their last bit).
 
     They are chosen by hashes alone; then only the chosen texts are fetched.
     """
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct().where(~held_out())
     h = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
-    hashed = known.join(docs.select("doc_id", h), "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
-    # each task passes on max_rows of a class at most
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
-    wanted = hashed.withColumn("place", place).where(F.col("place") <= max_rows).select("doc_id", "h", "toxic")
+    hashed = stash(known.join(docs.select("doc_id", h), "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id")), "labelled")
+    # of a large class a multiple of max_rows is numbered, chosen by a bound on the hash, so no window holds a whole class
+    size = {r.toxic: r.n for r in hashed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two classes
+    key = F.shiftrightunsigned("h", 1)
+    near = F.lit(False)
+    for y, n in size.items():
+        near = near | ((F.col("toxic") == y) & (key <= int(min(1.0, 4 * max_rows / n) * (2**63 - 1024))) if n > 8 * max_rows else F.col("toxic") == y)
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(key, "h"))
+    wanted = stash(hashed.where(near).withColumn("place", place).where(F.col("place") <= max_rows).select("doc_id", "h", "toxic"), "sample")
+    unstash(hashed)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h).join(F.broadcast(wanted), ["doc_id", "h"])  # at most 2 * max_rows rows are broadcast
     return texts.groupBy("toxic", "h").agg(F.first("text").alias("text"))
 

@@ -46,7 +46,8 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
 def test_sample_is_bounded_and_distinct(spark):
     docs = [(i, f"text {i % 7}") for i in range(300)]
     labels = [(i, i % 2) for i in range(300)]
-    texts, ys = toxicity.sample(edge.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"), max_rows=5)
+    rows = toxicity.sample(edge.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"), max_rows=5).collect()
+    texts, ys = [r.text for r in rows], [r.toxic for r in rows]
     assert len(texts) == 10 and sum(ys) == 5 and len(set(zip(texts, ys, strict=True))) == 10
 
 
