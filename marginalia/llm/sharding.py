@@ -100,11 +100,9 @@ def propagate(state: DataFrame, links: DataFrame, quota: int, shards: int, round
         open_ = F.filter(F.array_distinct(F.transform("h", lambda x: x["shard"])), lambda s: (s != F.col("own")) & (F.get(room, s) >= F.col("cnt")))
         other = F.filter(F.transform(open_, lambda s: F.struct(held_by(s).alias("votes"), (-s).alias("minus"))), lambda x: x["votes"] > F.col("here"))
         moves = votes.select("node", "own", "cnt", F.array_max(other).alias("best")).where("best is not null").select("node", "own", "cnt", (-F.col("best.minus")).cast("int").alias("target"))
-        moves = wished = stash(moves, "shard-wishes")
         moves = positions(moves, ["target"], F.xxhash64("node", "own"), ["node", "own"], bits_for(sum(load.values()), shards), "ahead", F.col("cnt"))
         moves = stash(moves.where(F.col("ahead") + F.col("cnt") <= F.get(room, F.col("target"))).select("node", F.col("own").alias("shard"), "target", "cnt"), "shard-moves")
         unstash(held)
-        unstash(wished)
         still = still + 1 if moves.isEmpty() else 0  # each half gets its turn
         if still == 0:
             change = moves.select("node", "shard", (-F.col("cnt")).alias("cnt")).unionByName(moves.select("node", F.col("target").alias("shard"), "cnt"))
