@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import exact_dedup, packing, secrets, simhash, toxicity
-from marginalia.llm.common import stash
+from marginalia.llm.common import stash, unstash
 
 #: The similarity stage works on shingles of five words.
 SHINGLE = 5
@@ -49,8 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stash(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        unstash(before)  # the next stage reads what this one wrote
+    return STAGES[-1][1](spark, docs, sf_dir)
