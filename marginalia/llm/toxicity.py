@@ -39,7 +39,7 @@ WINDOW = 24
 CUTS = np.array([1.0, 2.0, 3.0, 4.0, 6.0])
 FEATURES = 3 + len(CUTS)
 #: Words and their ratios kept by a worker; texts cut into words at once.
-CACHE, TOGETHER = 200_000, 100
+CACHE, TOGETHER = 400_000, 100
 #: A word is what stands between white space, without marks at its ends. A run of over LONGEST characters is cut at its marks, and what
 #: is longer still counts as words of that length that overlap by half, so all of it is read, and an expression of up to half the length
 #: stands whole in one.
