@@ -23,6 +23,7 @@ text are apart; an empty table gives no rows. Only doc_id and text are read, who
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -43,6 +44,8 @@ HOT_KEY = 4096
 SIMILARITY, KEYS, CUTS, SKETCH, BITS = 0.8, 8, 16, 160, 28
 #: How far under the similarity asked for an estimate may be: 4.7 standard deviations of one from SKETCH hashes at 0.8.
 MARGIN = 0.15
+#: A hash that more sketches have comes after all others in the prefixes of sketches.
+COMMON = 256
 #: Reference fingerprints: fixed pseudo-random numbers, the same in every run.
 PIVOTS = np.random.default_rng(20240501).integers(0, 2**64, 12, dtype=np.uint64)
 
@@ -313,14 +316,66 @@ def block_pairs(rows: DataFrame) -> DataFrame:
     return met.select("cls", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
 
 
+def prefixes(classes: DataFrame, similarity: float, written: list[DataFrame]) -> DataFrame:
+    """classes (cls, n, sketch) -> cls, key: of each sketch so many hashes, those that few sketches have first, that any two which
+    `similar_pairs` takes have one in common.
+
+    It asks that sketches have `least` hashes in common, so the first common one, in any order of all hashes, comes before a sketch's last least - 1.
+    """
+    most = math.ceil((similarity - MARGIN) * SKETCH - 1e-9)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(np.frombuffer(x, "<u4")).astype(np.int64).tolist() for x in b["sketch"]]
+            least = [min(math.ceil(similarity * n - 1e-9), most) for n in b["n"].tolist()]
+            # upper halves may be equal; then one more for each
+            take = [2 * (len(x) // 4) - len(y) - m + 1 for x, y, m in zip(b["sketch"], sets, least, strict=True)]
+            yield pd.DataFrame({"cls": b["cls"], "take": take, "hs": sets})
+
+    sets = stash(classes.select("cls", "n", "sketch").mapInPandas(run, "cls long, take int, hs array<long>"), "hot-sketches")
+    each = sets.select("cls", F.explode("hs").alias("h"))
+    common = stash(each.groupBy("h").agg(F.count("*").alias("f")).where(f"f > {COMMON}"), "common-hashes")
+    written += [sets, common]
+    often = each.join(common, "h").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("f", "h")))["h"].alias("often"))  # at most SKETCH
+    often_ = F.coalesce("often", F.array().cast("array<long>"))
+    order = F.concat(F.array_except("hs", often_), often_)
+    return sets.join(often, "cls", "left").select("cls", F.explode(F.slice(order, F.lit(1), F.col("take"))).alias("h")).select("cls", F.xxhash64("h").alias("key"))
+
+
+def hot_keys(hot: DataFrame, classes: DataFrame, similarity: float, written: list[DataFrame]) -> DataFrame:
+    """hot (cls, key), keys of over HOT_KEY texts -> cls, key: no key holds many more, and similar texts of a key still meet.
+
+    Texts meet on the prefixes of their sketches instead, which loses nothing. Where a hash of a text's prefix is one that over HOT_KEY prefixes
+    have (near copies of many texts), the text stays in its keys, which are cut by bands of their size: a text goes to its own and the
+    next band, and two texts of similar size have one in common, so nothing is lost. What is still larger is cut by each other of
+    the CUTS least hashes of a text: two texts of similarity 0.8 that meet there have none other in common with a chance of 0.2 ** 15, far below
+    that of not meeting at all. What is larger even then is cut into blocks of which any two meet, which loses nothing.
+    """
+    ids = stash(hot.select("cls").distinct(), "hot-texts")
+    written.append(ids)
+    first = stash(shared(prefixes(classes.join(ids, "cls", "left_semi"), similarity, written), written), "prefix-keys")
+    written.append(first)
+    out, many = first.where(f"m <= {HOT_KEY}").select("cls", "key"), first.where(f"m > {HOT_KEY}").select("cls").distinct()
+    if many.isEmpty():
+        return out
+    left = hot.join(many, "cls", "left_semi").join(classes.select("cls", "n", "keys"), "cls")
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.01 / similarity))).cast("int")
+    banded = shared(left.withColumn("band", F.explode(F.array(band, band + 1))).select("cls", "keys", F.col("key").alias("of"), F.xxhash64("key", "band").alias("key")), written)
+    banded = stash(banded, "banded-keys")
+    written.append(banded)
+    out = out.unionByName(banded.where(f"m <= {HOT_KEY}").select("cls", "key"))
+    still = banded.where(f"m > {HOT_KEY}")
+    if still.isEmpty():
+        return out
+    cut = shared(still.withColumn("other", F.explode(F.filter("keys", lambda k: k != F.col("of")))).select("cls", F.xxhash64("key", "other").alias("key")), written)
+    return out.unionByName(cut.where(f"m <= {HOT_KEY}").select("cls", "key")).unionByName(block_pairs(cut.where(f"m > {HOT_KEY}")))
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, th (hash of the text), component_id (the smallest doc_id reachable by similarities of `similarity` and more) and kept (in one text
     of each component) of every row of docs.
 
-    A key of over HOT_KEY texts is cut by bands of their size: a text goes to its own and the next band, and two texts of
-    similar size have one in common, so nothing is lost. What is still larger is cut by each other of the CUTS least
-    hashes of a text: two texts of similarity 0.8 that meet there have none other in common with a chance of 0.2 ** 15, far below
-    that of not meeting at all. What is larger even then is cut into blocks of which any two meet, which loses nothing.
+    Keys of over HOT_KEY texts go through `hot_keys`.
     """
     same = ["k", "fp", "n"]  # texts of one set, by its hash beside fingerprint and size
     written: list[DataFrame] = []
@@ -329,13 +384,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     classes = prints.groupBy(*same).agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = keep(classes.withColumn("cls", F.monotonically_increasing_id()), "sketch-classes")
     # keys are counted and cut without the sketches, which then go only where two texts meet
-    met = shared(classes.select("cls", "n", "keys", F.explode(F.slice("keys", 1, KEYS)).alias("key")), written)
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.01 / similarity))).cast("int")
-    banded = shared(met.where(f"m > {HOT_KEY}").withColumn("band", F.explode(F.array(band, band + 1))).select("cls", "keys", F.col("key").alias("of"), F.xxhash64("key", "band").alias("key")), written)
-    cut = banded.where(f"m > {HOT_KEY}").withColumn("other", F.explode(F.filter("keys", lambda k: k != F.col("of")))).select("cls", F.xxhash64("key", "other").alias("key"))
-    cut = shared(cut, written)
-    met = met.where(f"m <= {HOT_KEY}").select("cls", "key").unionByName(banded.where(f"m <= {HOT_KEY}").select("cls", "key"))
-    met = met.unionByName(cut.where(f"m <= {HOT_KEY}").select("cls", "key")).unionByName(block_pairs(cut.where(f"m > {HOT_KEY}")))
+    met = keep(shared(classes.select("cls", F.explode(F.slice("keys", 1, KEYS)).alias("key")), written), "met")
+    hot = met.where(f"m > {HOT_KEY}").select("cls", "key")
+    met = met.where(f"m <= {HOT_KEY}").select("cls", "key")
+    if not hot.isEmpty():
+        met = met.unionByName(hot_keys(hot, classes, similarity, written))
+    # a frame of its own, so no one plan holds all that cuts keys
+    met = keep(met, "met")
     held = ["fp", "n", "sketch"]
 
     def work(b: pd.DataFrame) -> pd.DataFrame:

@@ -204,3 +204,17 @@ def test_repeated_lines_do_not_part_equal_sets(spark):
         docs += [(1000 + 2 * i, f"{t} {line}"), (1001 + 2 * i, f"{t} " + " ".join([line] * 1000))]
     got = sorted((x.doc_id, x.component_id) for x in simhash.near_groups(edge.frame(spark, docs)).collect())
     assert got == [(d, d - d % 2) for d, _ in docs]
+
+
+def test_texts_of_a_common_line_meet_in_few_keys(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_KEY", 30)
+    monkeypatch.setattr(simhash, "COMMON", 10)
+    r = random.Random(8)
+    line = "all rights reserved by the house that made this text for its many readers"
+    docs = [(i, line + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(12))) for i in range(300)]
+    docs += [(1000 + i, docs[i][1] + " end") for i in range(20)]
+    met, by_key = [], simhash.by_key
+    monkeypatch.setattr(simhash, "by_key", lambda rows, *rest: met.append(rows.count()) or by_key(rows, *rest))
+    got = simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {d: d % 1000 for d, _ in docs}
+    assert met[0] < 10 * len(docs)
