@@ -6,7 +6,10 @@ import functools
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from marginalia.model import settle
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 #: At most 2**MAX_BITS buckets per part in `positions`: one window sums up their totals.
 MAX_BITS = 22
+#: Up to so many edges (16 bytes each) components are found in one task.
+FEW_EDGES = 200_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -117,13 +122,44 @@ def positions(df: DataFrame, part: list[str], hashed: Column, ties: list, bits:
     return joined.withColumn(out, pos.cast("long")).drop("_h", "_b", "_w", "_pb", "_before", *[f"_p{i}" for i in range(len(part))])
 
 
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b) that are not the smallest of their component, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while not np.array_equal(flat := new[new], new):
+            new = flat
+        if np.array_equal(new, root):
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a long, b long) -> (node, root): root is the smallest node reachable; nodes with no edge are not listed.
 
     Alternating large-star and small-star steps; each step is one aggregation and one join, and its result is
-    written to the shared folder, so no list of neighbours or of components is ever held in one place.
+    written to the shared folder, so no list of neighbours or of components is ever held in one place. At most FEW_EDGES
+    edges are held in one task, which spares the driver the plans of the rounds.
     """
     e = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if e.count() <= FEW_EDGES:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = list(batches)
+            if rows:
+                node, root = roots_of(*(np.concatenate([b[c].to_numpy() for b in rows]) for c in ("u", "v")))
+                yield pd.DataFrame({"node": node, "root": root})
+
+        out = stash(e.coalesce(1).mapInPandas(run, "node long, root long"), "edges")
+        unstash(e)
+        return out
     mark = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

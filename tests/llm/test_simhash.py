@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from marginalia.llm import simhash
+from marginalia.llm import common, simhash
 from tests.llm import edge
 
 
@@ -218,3 +218,23 @@ def test_texts_of_a_common_line_meet_in_few_keys(spark, monkeypatch):
     got = simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {x.doc_id: x.component_id for x in got} == {d: d % 1000 for d, _ in docs}
     assert met[0] < 10 * len(docs)
+
+
+@pytest.mark.parametrize("few", [common.FEW_EDGES, 0])
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    r = random.Random(3)
+    pairs = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(-5, 700), (700, 700)]
+    root = {x: x for p in pairs for x in p}
+    for _ in range(len(root)):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    spark.sparkContext.setJobGroup(f"components-{few}", "components")
+    found = common.connected_components(edges)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{few}"))
+    spark.sparkContext.setJobGroup("", "")
+    found = {x.node: x.root for x in found.collect()}
+    assert {n: found.get(n, n) for n in root} == root
+    assert (jobs <= 6) == (few > 0)
+    assert common.connected_components(edges.where("a > 1000")).collect() == []
