@@ -38,7 +38,7 @@ def ngrams(tokens: DataFrame, longest: int, case_sensitive: bool = False, chunk:
         stop = F.col("stop" if n == 1 else f"e{n - 1}")
         text = F.concat_ws(" ", "w", *[f"w{k}" for k in range(1, n)])
         runs.append(F.when(fine, F.struct(stop.alias("stop"), F.lit(n).alias("n_tokens"), text.alias("norm"))))
-    return seen.select("doc_id", "start", F.explode(F.filter(F.array(*runs), lambda x: x.isNotNull())).alias("r")).select("doc_id", "start", "r.stop", "r.n_tokens", "r.norm")
+    return seen.select("doc_id", "start", F.explode(F.array(*runs)).alias("r")).where("r is not null").select("doc_id", "start", "r.stop", "r.n_tokens", "r.norm")
 
 
 def match(tokens: DataFrame, dictionary: DataFrame, longest: int, longest_only: bool = True, case_sensitive: bool = False, chunk: str | None = None, shortest: int = 1) -> DataFrame:
@@ -53,16 +53,20 @@ def match(tokens: DataFrame, dictionary: DataFrame, longest: int, longest_only:
     return found
 
 
-def match_in(words: DataFrame, dictionary: DataFrame, longest: int, feature: str = "string", within: DataFrame | None = None, splits: DataFrame | None = None, longest_only: bool = True, case_sensitive: bool = False) -> DataFrame:
+def match_in(words: DataFrame, dictionary: DataFrame, longest: int, feature: str = "string", within: DataFrame | str | None = None, splits: DataFrame | None = None, longest_only: bool = True, case_sensitive: bool = False) -> DataFrame:
     """`match` over a feature of the words (a root, say) in place of their strings, whatever white space lies between them.
 
-    within: only words inside one of these spans count, and no match leaves its span; splits: places (start) that no match crosses.
+    within: only words inside one of these spans count, and no match leaves its span (or the words' column that numbers their spans, where
+    these do not overlap: nothing is joined then); splits: places (start) that no match crosses.
     """
     from marginalia.operators.spans import span_join
 
     w = words.withColumn("string", F.coalesce(feature, "string")) if feature != "string" else words
     chunk = []
-    if within is not None:
+    if isinstance(within, str):
+        w = w.withColumn("_in", F.col(within)).where("_in is not null")
+        chunk.append("_in")
+    elif within is not None:
         spans = within.select("doc_id", "start", "stop").distinct().withColumn("_in", F.col("start"))
         w = span_join(w, spans, "within").withColumnRenamed("b__in", "_in").drop("b_start", "b_stop")
         chunk.append("_in")

@@ -55,6 +55,21 @@ def matched(a: DataFrame, b: DataFrame, kind: str = "overlap", keep: bool = True
     return a.join(hits, on, "left_semi" if keep else "left_anti")
 
 
+def marked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a's spans, each once, with the columns (b_...) of the span of b that holds it, or nulls. b's spans (sentences, say) do not overlap
+    each other.
+
+    One pass over both in the order of their starts, without pairs: only the last of b's spans that begins no later can hold one of a's.
+    """
+    cols = [c for c in b.columns if c != "doc_id"]
+    own = b.select("doc_id", F.col("start").alias("_at"), F.struct(*[F.col(c).alias(f"b_{c}") for c in cols]).alias("_b"), F.lit(None).cast(a.schema).alias("_a"))
+    both = own.unionByName(a.select("doc_id", F.col("start").alias("_at"), F.struct(*a.columns).alias("_a")), allowMissingColumns=True)
+    w = Window.partitionBy("doc_id").orderBy("_at", F.col("_a").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_b", F.last("_b", ignorenulls=True).over(w)).where("_a is not null")
+    inside = F.col("_a.stop") <= F.col("_b.b_stop")
+    return found.select("_a.*", *[F.when(inside, F.col("_b")[f"b_{c}"]).alias(f"b_{c}") for c in cols])
+
+
 def mark(a: DataFrame, rejected: DataFrame, reason: str) -> DataFrame:
     """a with deleted_because set on the rejected spans that have no reason yet: the audit trail of a filter."""
     if "deleted_because" not in a.columns:
@@ -63,6 +78,30 @@ def mark(a: DataFrame, rejected: DataFrame, reason: str) -> DataFrame:
     return a.join(gone, ["doc_id", "ann_id"], "left").withColumn("deleted_because", F.coalesce("deleted_because", "_gone")).drop("_gone")
 
 
+def overlap_sums(a: DataFrame, b: DataFrame, value: str = "ann_id", bucket: int = BUCKET) -> DataFrame:
+    """doc_id, ann_id, n, total: how many of b's spans overlap each of a's, and the sum of their values; spans of a that none overlaps are left out.
+
+    No pair is built: what begins before a span's stop less what ends by its start, as running sums over the places of all spans. They
+    are summed up inside pieces of the text, and each piece adds what the pieces before it hold, so one long document is spread over many tasks.
+    """
+    v, none, zero = F.col(value).cast("long"), F.lit(None), F.col("start") == F.col("stop")
+    row = lambda df, at, order, ann, sign, n, total: df.select("doc_id", F.col(at).cast("long").alias("at"), order.alias("o"), ann.alias("ann_id"), F.lit(sign).alias("sign"), *[x.cast("long").alias(c) for x, c in ((n, "n"), (total, "total"))])
+    # at one place: stops asked for, starts, stops, starts asked for; spans of no length at one place do not overlap
+    of = lambda sign: (F.lit(1), v) if sign else (F.lit(0), F.lit(0))
+    places = row(a, "stop", F.lit(0), F.col("ann_id"), 1, *of(0)).unionByName(row(a, "start", F.when(zero, 3).otherwise(5), F.col("ann_id"), -1, *of(0)))
+    kind = a.schema["ann_id"].dataType
+    places = places.unionByName(row(b, "start", F.lit(1), none.cast(kind), 1, *of(1))).unionByName(row(b, "stop", F.when(zero, 4).otherwise(2), none.cast(kind), -1, *of(1)))
+    places = places.withColumn("_piece", F.floor(F.col("at") / bucket))
+    before = Window.partitionBy("doc_id", "sign").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    held = places.groupBy("doc_id", "sign", "_piece").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    held = held.select("doc_id", "sign", "_piece", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("n", "total")])
+    here = Window.partitionBy("doc_id", "sign", "_piece").orderBy("at", "o")
+    run = places.select("doc_id", "sign", "_piece", "ann_id", *[F.sum(c).over(here).alias(c) for c in ("n", "total")]).where("ann_id is not null")
+    run = run.join(held, ["doc_id", "sign", "_piece"])
+    sums = [F.sum(F.col("sign") * (F.col(c) + F.col(f"_{c}"))).cast("long").alias(c) for c in ("n", "total")]
+    return run.groupBy("doc_id", "ann_id").agg(*sums).where("n > 0")
+
+
 def contained_or_covering(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs where b lies within a or covers it; equal spans once."""
     return span_join(a, b, "covers").unionByName(span_join(a, b, "within")).distinct()
@@ -88,8 +127,11 @@ def drop_contained(spans: DataFrame) -> DataFrame:
 
 
 def with_proper_noun(spans: DataFrame, tokens: DataFrame, proper: Column) -> DataFrame:
-    """Spans that hold a token for which `proper` is true."""
-    return matched(spans, tokens.where(proper), "covers")
+    """Spans that hold a token for which `proper` is true: of those that begin no earlier one ends no later. One pass, without pairs."""
+    those = tokens.where(proper).select("doc_id", F.col("start").cast("long").alias("_at"), F.col("stop").cast("long").alias("_end"), F.lit(None).cast(spans.schema).alias("_a"))
+    both = those.unionByName(spans.select("doc_id", F.col("start").cast("long").alias("_at"), F.struct(*spans.columns).alias("_a")), allowMissingColumns=True)
+    w = Window.partitionBy("doc_id").orderBy(F.desc("_at"), F.col("_a").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_end", F.min("_end").over(w)).where("_a is not null and _end <= _a.stop").select("_a.*")
 
 
 def drop_common_words(lookups: DataFrame, tokens: DataFrame, off: DataFrame | None = None, entities: DataFrame | None = None, major: str = "dbpedia", exempt: tuple[str, ...] = ("demonym", "adjectival")) -> DataFrame:
@@ -156,6 +198,18 @@ def context_tokens(spans: DataFrame, tokens: DataFrame, window: int) -> DataFram
     return near.join(tokens, ["doc_id", "tok_no"]).select("doc_id", "ann_id", "tok_no", "string", "start", "stop")
 
 
+def near_tokens(tokens: DataFrame, spot: Column, window: int) -> DataFrame:
+    """context_tokens for spans that are single tokens, those for which `spot` is true: doc_id, ann_id (number of the spot), tok_no, string, ...
+
+    Each token looks for spots among its neighbours in order; tokens meet in no join. tokens are numbered without gaps.
+    """
+    w = Window.partitionBy("doc_id").orderBy("tok_no")
+    t = tokens.withColumn("_spot", F.when(spot, F.col("tok_no")))
+    t = t.withColumns({f"_{k}": F.lag("_spot", k).over(w) if k > 0 else F.lead("_spot", -k).over(w) for k in range(-window, window + 1) if k})
+    around = F.filter(F.array(*[f"_{k}" for k in range(-window, window + 1) if k]), lambda x: x.isNotNull())
+    return t.where(F.size(around) > 0).select(F.explode(around).alias("ann_id"), *tokens.columns)
+
+
 def context_words(spans: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """words: the distinct words of `length` characters (and two more) on either side of each span, cut ones left out."""
     # a document's spans are gathered first, so that its text is in one row only
@@ -194,9 +248,16 @@ def with_value(spans: DataFrame, feature: str, *values: str) -> DataFrame:
     return spans.where(F.coalesce(F.col(feature).isin(*values), F.lit(False)))
 
 
-def context_nouns(spans: DataFrame, tokens: DataFrame, glosses: str | None = None) -> DataFrame:
-    """nouns: the distinct strings of the tokens inside each span whose tag begins with NN, and the parts of its glosses (a column, ;-joined)."""
-    inside = span_join(spans.select("doc_id", "ann_id", "start", "stop"), tokens.where(F.col("tag").startswith("NN")).select("doc_id", "start", "stop", "string"), "covers")
+def context_nouns(spans: DataFrame, tokens: DataFrame, glosses: str | None = None, apart: bool = False) -> DataFrame:
+    """nouns: the distinct strings of the tokens inside each span whose tag begins with NN, and the parts of its glosses (a column, ;-joined).
+
+    apart: the spans do not overlap each other, so each token looks for its span in one pass, without pairs.
+    """
+    mine, those = spans.select("doc_id", "ann_id", "start", "stop"), tokens.where(F.col("tag").startswith("NN")).select("doc_id", "start", "stop", "string")
+    if apart:
+        inside = marked(those, mine).where("b_ann_id is not null").select("doc_id", F.col("b_ann_id").alias("ann_id"), F.col("string").alias("b_string")).distinct()
+    else:
+        inside = span_join(mine, those, "covers")
     words = inside.groupBy("doc_id", "ann_id").agg(F.collect_set("b_string").alias("nouns"))
     none = F.array().cast("array<string>")
     more = F.filter(F.transform(F.split(F.coalesce(F.col(glosses), F.lit("")), ";"), F.trim), lambda x: x != "") if glosses else none

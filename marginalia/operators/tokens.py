@@ -24,10 +24,29 @@ ABBREVIATIONS = "Adm Brig CO CORP Capt Cmdr Co Col Comdr DR Dr Fig GMBH Gen Gov
 # End of fixed values.
 
 
+#: Characters of text in one part. A token takes some hundred bytes of memory while its part is sorted: a part of this size never spills.
+PART = 2_000_000
+
+
+def deal(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) dealt by doc_id into parts of some PART characters of text, whatever the session's number of partitions.
+
+    The texts are measured, as sizes of files or plans tell little about them. Each part is sorted, so that its tokens come in order.
+    """
+    n = 1 if docs.isStreaming else docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return docs.repartition(-(-n // PART) or 1, "doc_id").sortWithinPartitions("doc_id")
+
+
+def _cut(docs: DataFrame, parts: Column, number: str, part: str) -> DataFrame:
+    """The parts of each text with their numbers. The outer form of explode spares the test for empty lists that the optimizer puts
+    before the plain one, which would cut each text twice more."""
+    out = deal(docs.select("doc_id", "text")).select("doc_id", F.posexplode_outer(parts).alias(number, part))
+    return out.where(F.col(number).isNotNull())
+
+
 def tiles(docs: DataFrame, pattern: str = TILE) -> DataFrame:
     """doc_id, tok_no (from 0), start, stop, string of every tile. Null and empty texts have none."""
-    dealt = docs.select("doc_id", "text").repartition("doc_id")
-    out = dealt.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("tok_no", "string"))
+    out = _cut(docs, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "tok_no", "string")
     stop = F.sum(F.length("string")).over(Window.partitionBy("doc_id").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     return out.withColumn("stop", stop).select("doc_id", "tok_no", (F.col("stop") - F.length("string")).alias("start"), "stop", "string")
 
@@ -50,7 +69,17 @@ def tokenize(docs: DataFrame, pattern: str = TILE) -> DataFrame:
 
 def visible(tokens: DataFrame) -> DataFrame:
     """Tokens without white space."""
-    return tokens.where(~F.col("string").rlike(r"^[ \t\n\r\f]$"))
+    return tokens.where(~F.col("string").isin(*" \t\n\r\f"))
+
+
+def words(docs: DataFrame) -> DataFrame:
+    """visible(tokenize(docs)) with tok_no anew from 0: white space is cut together with the token after it, so it makes no rows."""
+    pattern = r"(?s)[ \t\n\r\f]*(?:\p{L}+|\p{N}+|.)"
+    cut = _cut(docs, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "tok_no", "_raw")
+    stop = F.sum(F.length("_raw")).over(Window.partitionBy("doc_id").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    out = cut.withColumn("stop", stop).withColumn("string", F.ltrim("_raw", F.lit(" \t\n\r\f"))).where("string <> ''")
+    out = out.select("doc_id", "tok_no", (F.col("stop") - F.length("string")).alias("start"), "stop", "string")
+    return out.withColumns({"kind": token_kind(F.col("string")), "orth": token_orth(F.col("string"))})
 
 
 def message_kind(c: Column) -> Column:
@@ -116,6 +145,31 @@ def sentences(tokens: DataFrame, newline_splits: bool = False) -> DataFrame:
     return out.where("start is not null").withColumn("string", F.regexp_replace("string", r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", ""))
 
 
+#: A token of letters that is not a part of a longer one begins here. Java looks back by chars: `(?:(?!)x)?`, which never matches,
+#: makes it look back far enough for a letter of two chars.
+_TWO = "(?:(?!)x)?"
+_NO_LETTER = rf"(?<!\p{{L}}{_TWO})"
+#: The characters with which sentence_numbers() ends a sentence.
+_MARK = rf"[.!?](?=[ \t\n\r\f]|\z)(?<!{_NO_LETTER}(?:{'|'.join(ABBREVIATIONS)})[.])(?<!{_NO_LETTER}\p{{Lu}}{_TWO}[.])(?<![.]{{5}})"
+
+
+def sentence_texts(docs: DataFrame, newline_splits: bool = False) -> DataFrame:
+    """doc_id, sent_no, first, last, start, stop, string: the sentences of sentences(), cut out of the texts without building a token.
+
+    first and last are the ends with the white space around. Sentences of white space are left out.
+    """
+    pattern = _MARK + ("|\n" if newline_splits else "|\n(?<=\n\n)")
+    ends = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    raw = F.zip_with(F.split("text", pattern, -1), ends, lambda piece, end: F.concat(piece, F.coalesce(end, F.lit(""))))
+    cut = _cut(docs, raw, "sent_no", "_raw")
+    last = F.sum(F.length("_raw")).over(Window.partitionBy("doc_id").orderBy("sent_no").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    space = F.lit(" \t\n\r\f")
+    out = cut.withColumn("last", last).withColumn("first", F.col("last") - F.length("_raw")).withColumn("_left", F.ltrim("_raw", space))
+    bare = F.reverse(F.ltrim(F.reverse("_left"), space))  # rtrim() walks through the whole string with a search for each char
+    out = out.withColumns({"start": F.col("last") - F.length("_left"), "string": bare}).where("_left <> ''")
+    return out.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "first", "last", "start", (F.col("start") + F.length("string")).alias("stop"), "string")
+
+
 def label_runs(tokens: DataFrame, label: str = "label", outside: str = "O") -> DataFrame:
     """Spans from sequence labels: neighbours of one label are one span (B- starts anew, I- goes on)."""
     w = Window.partitionBy("doc_id").orderBy("tok_no")
