@@ -69,8 +69,7 @@ def interval_overlap_bucketed(spark, sf_dir):
     """Five documents with all spans between them: pieces of the time line spread each over many tasks."""
     second = F.unix_timestamp(F.date_trunc("second", F.col("ts"))) - 1704067200
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("doc_id"), F.col("event_id").alias("ann_id"), (F.col("user_id") % 2).alias("side"), second.alias("start"), (second + F.col("user_id") * 60).alias("stop"))
-    pairs = spans.span_join(e.where("side = 0"), e.where("side = 1"), "overlap", bucket=14400)
-    return pairs.groupBy("doc_id", "ann_id").agg(F.count("*").alias("n"), F.sum("b_ann_id").alias("others"))
+    return spans.overlap_sums(e.where("side = 0"), e.where("side = 1"), bucket=14400).withColumnRenamed("total", "others")
 
 
 @query(f"WITH {ITEMS} SELECT DISTINCT a.doc_id, a.ann_id, b.ann_id AS b_ann_id FROM items a JOIN items b ON a.doc_id = b.doc_id AND a.type = 'N' AND b.type <> 'N' AND ((b.start >= a.start AND b.stop <= a.stop) OR (b.start <= a.start AND b.stop >= a.stop))")
