@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
+from marginalia.model import cut_lineage
 from marginalia.operators import candidates as C
 from marginalia.operators import entities, graph, ranking, similarity
 from marginalia.plans.registry import example, inline, query, table
@@ -131,6 +132,7 @@ def prefix_the(spark, sf_dir):
     t = tokenize(table(spark, sf_dir, "documents"))
     head = F.regexp_extract("word", "^[a-z]+", 0)
     t = t.withColumns({"gap": F.lead("string").over(w), "word": F.lead("string", 2).over(w)}).where("string in ('The', 'the') and gap = ' '").withColumn("word", head).where("word <> ''")
+    t = cut_lineage(t.select("doc_id", "start", "stop", "string", "word"))  # read twice: texts are cut once
     outer = t.select("doc_id", F.col("start").alias("ann_id"), "start", (F.col("stop") + 1 + F.length("word")).alias("stop"), F.concat_ws(" ", "string", "word").alias("string"))
     inner = t.select("doc_id", (F.col("stop") + 1).alias("start"), (F.col("stop") + 1 + F.length("word")).alias("stop"), "word")
     pairs = span_join(outer, inner, "covers").where("b_stop = stop and b_start > start")
@@ -155,6 +157,7 @@ def prefix_the_reduce_documents(spark, sf_dir):
     d = Window.partitionBy("doc_id").orderBy("tok_no")
     t = tokenize(table(spark, sf_dir, "documents"))
     t = t.withColumns({"gap": F.lead("string").over(d), "w": F.lead("string", 2).over(d), "k": F.lead("kind", 2).over(d), "z": F.lead("stop", 2).over(d)}).where("string in ('The', 'the') and gap = ' ' and k = 'word'")
+    t = cut_lineage(t.select("doc_id", "start", "stop", "string", "w", "z"))  # read many times: texts are cut once
     outer = t.select("doc_id", (F.col("start") * 2).alias("mention_id"), "start", F.col("z").alias("stop"), F.concat_ws(" ", "string", "w").alias("string"), F.array("w", F.concat(F.lit("the "), "w")).alias("i"))
     other = F.concat(F.lit("other "), "w")
     inner = t.select("doc_id", ((F.col("stop") + 1) * 2 + 1).alias("mention_id"), (F.col("stop") + 1).alias("start"), F.col("z").alias("stop"), F.col("w").alias("string"), F.when(F.length("w") % 2 == 0, F.array(other, "w")).otherwise(F.array(other)).alias("i"))
@@ -216,7 +219,7 @@ def _pairs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Each node of one kind with three of the other."""
     a, b = kind
     ids = table(spark, sf_dir, KEYS[a][0]).select(F.col(KEYS[a][1]).alias("id"), F.explode(F.expr("array(0, 1, 7)")).alias("d"))
-    return ids.select(F.concat(F.lit(a), F.col("id").cast("string")).alias("a"), F.concat(F.lit(b), (F.col("id") + F.col("d")).cast("string")).alias("b")).where("a <> b")
+    return ids.select(F.concat(F.lit(a), F.col("id").cast("string")).alias("a"), F.concat(F.lit(b), (F.col("id") + F.col("d")).cast("string")).alias("b")).where("a <> b").hint("shuffle_merge")  # as derived()
 
 
 def _pairs_sql(kind: str) -> str:
